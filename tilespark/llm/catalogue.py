@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import importlib
 
-#: module, query, whether it has SQL
+#: Module and query; a module's SQL, where it has one, gives the same rows.
 _ALL = [
+    ("tokens", "op1_token_counts"),
+    ("media", "op2_media_columns"),
+    ("packing", "op4_harmonic_packing"),
+    ("brown", "op5_brown_scores"),
     ("quality", "op6_quality_rules"),
     ("mixing", "op7_mix_sources"),
     ("chat", "op8_chat_format"),
+    ("phrases", "op9_repeated_phrases"),
+    ("licenses", "op10_license_scan"),
 ]
 
 
