@@ -8,6 +8,7 @@ import importlib
 _ALL = [
     ("tokens", "op1_token_counts"),
     ("media", "op2_media_columns"),
+    ("near_dedup", "op3_near_duplicates"),
     ("packing", "op4_harmonic_packing"),
     ("brown", "op5_brown_scores"),
     ("quality", "op6_quality_rules"),
