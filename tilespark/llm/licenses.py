@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilespark.llm import batches
+from tilespark.llm.runs import Words
 
 GRAM = 3
 BAND = 2
@@ -95,13 +96,13 @@ def _grams(docs: DataFrame, vocabulary: dict[bytes, int], ks: list[int]) -> Data
 
         row, get = TaskContext.get().partitionId() << 36, vocabulary.get
         for b in batches.pieces(it, "text"):
-            words = [scan_words(t) for t in batches.texts(b)]
-            size = np.array([len(w) for w in words], np.int64)
-            ids = np.array([get(w, 0) for ws in words for w in ws], np.int64)
-            of = np.repeat(np.arange(len(words)), size)
+            words, docs_ = Words([t.encode() for t in batches.texts(b)], _FOLD), b.num_rows
+            size = words.sizes
+            ids = np.fromiter((get(w, 0) for w in words.distinct), np.int64, len(words.distinct))[words.index]
+            of = np.repeat(np.arange(docs_), size)
             begin = np.cumsum(size) - size
             doc_ids = b.column("doc_id")
-            yield batches.batch(schema, [row + np.arange(len(words)), doc_ids, size, np.zeros(len(words), np.int32), pa.nulls(len(words), pa.int64()), pa.nulls(len(words), pa.int64())])
+            yield batches.batch(schema, [row + np.arange(docs_), doc_ids, size, np.zeros(docs_, np.int32), pa.nulls(docs_, pa.int64()), pa.nulls(docs_, pa.int64())])
             for k in ks:
                 n = len(ids) - k + 1
                 if n <= 0:
@@ -114,7 +115,7 @@ def _grams(docs: DataFrame, vocabulary: dict[bytes, int], ks: list[int]) -> Data
                 at = np.flatnonzero(known)
                 if len(at):
                     yield batches.batch(schema, [row + of[at], doc_ids.take(pa.array(of[at])), size[of[at]], np.full(len(at), k, np.int32), at - begin[of[at]], gram[at]])
-            row += len(words)
+            row += docs_
 
     return docs.select("doc_id", "text").mapInArrow(run, f"row long, doc_id {kind}, n_words long, k int, pos long, gram long")
 
