@@ -1 +1,260 @@
-"""Core queries."""
+"""Queries on colour, geometry, entropy coding, primitives, containers and whole-image encoding."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from tilespark.functions import color
+from tilespark.operators import entropy as En
+from tilespark.operators import primitives as P
+from tilespark.plans.catalogue import register
+from tilespark.session import table
+
+
+@register(
+    "srgb_roundtrip",
+    """SELECT l_orderkey, l_linenumber, l_partkey, round(lin, 9) AS linear, round(CASE WHEN lin <= 0.0031308 THEN lin * 12.92 ELSE power(lin, 1 / 2.4) * 1.055 - 0.055 END, 6) AS back,
+      round(0.2126 * lin + 0.7152 * l_tax + 0.0722 * l_discount, 9) AS luma FROM (SELECT *, CASE WHEN l_quantity / 50 <= 0.04045 THEN l_quantity / 50 / 12.92 ELSE power((l_quantity / 50 + 0.055) / 1.055, 2.4) END AS lin FROM lineitem)""",
+)
+def srgb_roundtrip(spark, sf):
+    lin = color.srgb_to_linear(F.col("l_quantity") / 50)
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(lin, 9).alias("linear"), F.round(color.linear_to_srgb(lin), 6).alias("back"),
+                                               F.round(color.luma(lin, F.col("l_tax"), F.col("l_discount")), 9).alias("luma"))
+
+
+_GEO = """s AS (SELECT s_suppkey AS k, (s_suppkey * 7 % 16)::DOUBLE AS ax, (s_suppkey * 11 % 16)::DOUBLE AS ay, (s_suppkey * 13 % 16)::DOUBLE AS bx, (s_suppkey * 5 % 16)::DOUBLE AS "by", (s_suppkey * 3 % 16)::DOUBLE AS cx, (s_suppkey * 9 % 16)::DOUBLE AS cy FROM supplier),
+p AS (SELECT a.range + 0.5::DOUBLE AS y, b.range + 0.5::DOUBLE AS x FROM range(16) a, range(16) b)"""
+
+
+def _shapes(spark, sf):
+    k = F.col("s_suppkey")
+    at = lambda m: (k * m % 16).cast("double")
+    return table(spark, sf, "supplier").select(k.alias("k"), at(7).alias("ax"), at(11).alias("ay"), at(13).alias("bx"), at(5).alias("by"), at(3).alias("cx"), at(9).alias("cy"))
+
+
+def _centres(d, side=16):
+    line = F.sequence(F.lit(0), F.lit(side - 1))
+    d = d.withColumn("i", F.explode(line)).withColumn("j", F.explode(line))
+    return d.select("*", (F.col("i") + 0.5).alias("y"), (F.col("j") + 0.5).alias("x")).drop("i", "j")
+
+
+@register(
+    "triangle_coverage",
+    f"""WITH {_GEO}, d AS (SELECT *, ("by" - cy) * (ax - cx) + (cx - bx) * (ay - cy) AS d FROM s, p),
+    u AS (SELECT k, abs(d) >= 1e-8 AS ok, (("by" - cy) * (x - cx) + (cx - bx) * (y - cy)) / CASE WHEN abs(d) >= 1e-8 THEN d END AS u, ((cy - ay) * (x - cx) + (ax - cx) * (y - cy)) / CASE WHEN abs(d) >= 1e-8 THEN d END AS v FROM d)
+    SELECT k, count(*) FILTER (ok AND u >= 0 AND v >= 0 AND u + v <= 1) AS covered FROM u GROUP BY 1""",
+)
+def triangle_coverage(spark, sf):
+    d = _centres(_shapes(spark, sf)).withColumn("d", (F.col("by") - F.col("cy")) * (F.col("ax") - F.col("cx")) + (F.col("cx") - F.col("bx")) * (F.col("ay") - F.col("cy")))
+    d = d.withColumn("d", F.when(F.abs("d") >= 1e-8, F.col("d")))
+    u = F.expr("((`by` - cy) * (x - cx) + (cx - bx) * (y - cy)) / d")
+    v = F.expr("((cy - ay) * (x - cx) + (ax - cx) * (y - cy)) / d")
+    return d.groupBy("k").agg(F.count_if(F.coalesce((u >= 0) & (v >= 0) & (u + v <= 1), F.lit(False))).alias("covered"))
+
+
+_SEG = "least(1.0, greatest(0.0, ((x - {0}) * ({2} - {0}) + (y - {1}) * ({3} - {1})) / greatest(1e-8, power({2} - {0}, 2) + power({3} - {1}, 2))))"
+
+
+@register(
+    "segment_distance",
+    f"""WITH {_GEO}, t AS (SELECT *, {_SEG.format("ax", "ay", "bx", '"by"')} AS t FROM s, p)
+    SELECT k, round(avg(sqrt(power(x - ax - t * (bx - ax), 2) + power(y - ay - t * ("by" - ay), 2))), 6) AS mean_distance,
+      count(*) FILTER ((x - ax) * ("by" - ay) - (y - ay) * (bx - ax) >= 0) AS left_side FROM t GROUP BY 1""",
+)
+def segment_distance(spark, sf):
+    t = F.expr(_SEG.format("ax", "ay", "bx", "`by`"))
+    d = _centres(_shapes(spark, sf)).withColumn("t", t)
+    dist = F.hypot(F.expr("x - ax - t * (bx - ax)"), F.expr("y - ay - t * (`by` - ay)"))
+    side = F.expr("(x - ax) * (`by` - ay) - (y - ay) * (bx - ax) >= 0")
+    return d.groupBy("k").agg(F.round(F.avg(dist), 6).alias("mean_distance"), F.count_if(side).alias("left_side"))
+
+
+@register(
+    "curve_distance",
+    f"""WITH {_GEO}, c AS (SELECT k, CAST(range AS INTEGER) AS i, power(1 - range / 31.0, 2) * ax + 2 * range / 31.0 * (1 - range / 31.0) * cx + power(range / 31.0, 2) * bx AS px,
+      power(1 - range / 31.0, 2) * ay + 2 * range / 31.0 * (1 - range / 31.0) * cy + power(range / 31.0, 2) * "by" AS py FROM s, range(32)),
+    h AS (SELECT a.k, a.px AS x0, a.py AS y0, b.px AS x1, b.py AS y1 FROM c a JOIN c b ON a.k = b.k AND a.i + 1 = b.i), q AS (SELECT * FROM p WHERE x % 4 = 0.5 AND y % 4 = 0.5),
+    t AS (SELECT *, {_SEG.format("x0", "y0", "x1", "y1")} AS t FROM h, q), m AS (SELECT k, x, y, min(sqrt(power(x - x0 - t * (x1 - x0), 2) + power(y - y0 - t * (y1 - y0), 2))) AS d FROM t GROUP BY ALL)
+    SELECT k, round(avg(d), 6) AS mean_distance FROM m GROUP BY 1""",
+)
+def curve_distance(spark, sf):
+    """Distance of some pixel centres to quadratic curves of 31 chords, in whole batches."""
+
+    def run(it):
+        at = np.arange(0, 16, 4) + 0.5
+        y, x = np.meshgrid(at, at, indexing="ij")
+        for b in it:
+            g = [b.column(c).to_pylist() for c in ("ax", "ay", "bx", "by", "cx", "cy")]
+            d = [float(P.curve_distance(x, y, (ax, ay), (cx, cy), (bx, by)).mean()) for ax, ay, bx, by, cx, cy in zip(*g, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(d, pa.float64())], names=["k", "d"])
+
+    return _shapes(spark, sf).mapInArrow(run, "k long, d double").select("k", F.round("d", 6).alias("mean_distance"))
+
+
+@register(
+    "blend_layers",
+    """SELECT o_orderkey, round(acc, 6) AS value, round(visible, 6) AS visible FROM (
+      SELECT o_orderkey, v1 * a1 * (1 - a2) * (1 - a3) + v2 * a2 * (1 - a3) + v3 * a3 AS acc, 1 - (1 - a1) * (1 - a2) * (1 - a3) AS visible FROM (
+        SELECT o_orderkey, (o_orderkey % 10) / 10.0::DOUBLE AS v1, (o_custkey % 7) / 7.0::DOUBLE AS v2, (o_orderkey % 3) / 3.0::DOUBLE AS v3,
+          (o_custkey % 11) / 10.0::DOUBLE AS a1, (o_orderkey % 5) / 5.0::DOUBLE AS a2, (o_custkey % 4) / 4.0::DOUBLE AS a3 FROM orders))""",
+)
+def blend_layers(spark, sf):
+    """Layers over one another as an ordered fold; a layer's visibility is its alpha times what those above let through."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    layer = lambda v, a: F.struct(v.alias("v"), a.alias("a"))
+    d = table(spark, sf, "orders").select(o, F.array(layer(o % 10 / 10, c % 11 / 10), layer(c % 7 / 7, o % 5 / 5), layer(o % 3 / 3, c % 4 / 4)).alias("l"))
+    value = F.aggregate("l", F.lit(0.0), lambda s, x: x["v"] * x["a"] + s * (F.lit(1.0) - x["a"]))
+    through = F.aggregate("l", F.lit(1.0), lambda s, x: s * (F.lit(1.0) - x["a"]))
+    return d.select("o_orderkey", F.round(value, 6).alias("value"), F.round(F.lit(1.0) - through, 6).alias("visible"))
+
+
+_BYTES = """x AS (SELECT lang, doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS h FROM documents), c AS (SELECT lang, CAST('0x' || h AS INTEGER) AS byte, count(*) AS n FROM x GROUP BY ALL)"""
+_MODEL = """f AS (SELECT *, greatest(1, CAST(round_even(n::DOUBLE / sum(n) OVER (PARTITION BY lang) * 4096, 0) AS BIGINT)) AS f0 FROM c), l AS (SELECT *, 4096 - sum(f0) OVER (PARTITION BY lang) AS rest FROM f),
+a AS (SELECT *, rest > 0 OR f0 > 1 AS able FROM l), r AS (SELECT *, row_number() OVER (PARTITION BY lang, able ORDER BY n DESC, byte) AS r, count(*) FILTER (able) OVER (PARTITION BY lang) AS m FROM a),
+m AS (SELECT lang, byte, n, CAST(f0 + CASE WHEN able THEN sign(rest) * (abs(rest) // m + CASE WHEN r <= abs(rest) % m THEN 1 ELSE 0 END) ELSE 0 END AS BIGINT) AS freq FROM r)"""
+
+
+@register("byte_histogram", f"WITH {_BYTES} SELECT * FROM c")
+def byte_histogram(spark, sf):
+    return En.byte_counts(table(spark, sf, "documents"), "text", ["lang"])
+
+
+@register("freq_model_12bit", f"WITH {_BYTES}, {_MODEL} SELECT * FROM m")
+def freq_model_12bit(spark, sf):
+    return En.model(En.byte_counts(table(spark, sf, "documents"), "text", ["lang"]), ["lang"])
+
+
+@register("ideal_code_bits", f"WITH {_BYTES}, {_MODEL} SELECT lang, round(sum(n * -log2(freq / 4096.0)), 3) AS bits, CAST(sum(n) AS BIGINT) AS bytes FROM m GROUP BY 1")
+def ideal_code_bits(spark, sf):
+    m = En.model(En.byte_counts(table(spark, sf, "documents"), "text", ["lang"]), ["lang"])
+    return m.groupBy("lang").agg(F.round(F.sum(F.col("n") * -F.log2(F.col("freq") / 4096.0)), 3).alias("bits"), F.sum("n").alias("bytes"))
+
+
+@register("rans_chunk_roundtrip")
+def rans_chunk_roundtrip(spark, sf):
+    """Chunks of the texts' bytes through the range coder and back."""
+    d = table(spark, sf, "documents").select("doc_id", F.substring(F.col("text").cast("binary"), F.lit(1), F.lit(4096)).alias("b"))
+    return En.chunk_roundtrip(d, "doc_id", "b")
+
+
+_STACK = """SELECT c_custkey AS k, (c_custkey % 9) / 9.0 AS v, (c_custkey % 16)::DOUBLE AS x0, (c_custkey * 3 % 16)::DOUBLE AS y0, (c_custkey * 5 % 16 + 1)::DOUBLE AS x1, (c_custkey * 7 % 16 + 2)::DOUBLE AS y1, (c_custkey % 5) / 5.0 AS a FROM customer WHERE c_custkey % 10 = 0"""
+
+
+@register(
+    "primitive_render",
+    f"""WITH s AS ({_STACK}), p AS (SELECT a.range + 0.5::DOUBLE AS y, b.range + 0.5::DOUBLE AS x FROM range(8) a, range(8) b),
+    t AS (SELECT k, v, a, x, y, least(1.0, greatest(0.0, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / (power(x1 - x0, 2) + power(y1 - y0, 2) + 1e-8))) AS t FROM s, p),
+    r AS (SELECT k, x, y, (1 - t) * v * a + t * 1.0 * a + v * (1 - a) AS v FROM t)
+    SELECT k, round(avg(v), 6) AS mean_value, round(max(v), 6) AS top FROM r GROUP BY 1""",
+)
+def primitive_render(spark, sf):
+    """A constant under a linear patch, on 8 by 8 pixels."""
+    k = F.col("c_custkey")
+    d = table(spark, sf, "customer").filter(k % 10 == 0).select(k.alias("k"), (k % 9 / 9.0).alias("v"), *[e.cast("double").alias(n) for n, e in
+        {"x0": k % 16, "y0": k * 3 % 16, "x1": k * 5 % 16 + 1, "y1": k * 7 % 16 + 2}.items()], (k % 5 / 5.0).alias("a"))
+
+    def run(it):
+        for b in it:
+            out = []
+            for r in b.to_pylist():
+                base = {"kind": P.CONST, "geom": [], "color0": [r["v"]] * 3, "color1": None, "alpha": 1.0}
+                patch = {"kind": P.LINEAR, "geom": [r["x0"], r["y0"], r["x1"], r["y1"]], "color0": [r["v"]] * 3, "color1": [1.0] * 3, "alpha": r["a"]}
+                t = P.render([base, patch], 8)[:, :, 0]
+                out.append((r["k"], float(t.mean()), float(t.max())))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*out, strict=True)], names=["k", "m", "t"])
+
+    return d.mapInArrow(run, "k long, m double, t double").select("k", F.round("m", 6).alias("mean_value"), F.round("t", 6).alias("top"))
+
+
+def _colour_tiles(spark, sf):
+    from tilespark.plans.tiles_q import embeddings
+
+    d = embeddings(spark, sf).groupBy(F.expr("tile div 3").alias("tile")).agg(F.array_sort(F.collect_list(F.struct("tile", "v"))).alias("c")).filter("size(c) = 3")
+    # to [0, 1]
+    return d.select("tile", *[F.transform(F.col("c")[i]["v"], lambda e: F.least(F.lit(1.0), F.greatest(F.lit(0.0), e + 0.5))).alias(n) for i, n in enumerate("rgb")])
+
+
+def _over_colour(d, ddl, made):
+    """made(tile id, (8, 8, 3) array) to rows."""
+
+    def run(it):
+        for b in it:
+            rows = []
+            rgb = [np.array(b.column(c).to_pylist()).reshape(-1, 8, 8) for c in "rgb"] if b.num_rows else []
+            for i, tile in enumerate(b.column("tile").to_pylist()):
+                rows += made(tile, np.stack([c[i] for c in rgb], axis=2))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows, strict=True)], names=[x.split()[0] for x in ddl.split(", ")])
+
+    return d.mapInArrow(run, ddl)
+
+
+@register("candidate_generation")
+def candidate_generation(spark, sf):
+    """Every candidate of every tile with its objective, numbered in the order that ties go by."""
+
+    def made(tile, t):
+        return [(tile, i, c["kind"], P.objective(t, [c], 1e-4)) for i, c in enumerate(P.candidates(t))]
+
+    return _over_colour(_colour_tiles(spark, sf).limit(64), "tile long, ord long, kind long, objective double", made)
+
+
+@register("greedy_tile_fit")
+def greedy_tile_fit(spark, sf):
+    """Primitives that the greedy fit chooses: how many, their bytes and the objective before and after."""
+
+    def made(tile, t):
+        prims, trace = P.fit(t, 1e-4, rounds=2)
+        return [(tile, len(prims), len(P.pack_tile(prims, 8)), trace[0], trace[-1])]
+
+    return _over_colour(_colour_tiles(spark, sf).limit(64), "tile long, n long, bytes long, before double, after double", made)
+
+
+@register("primitive_codec_roundtrip")
+def primitive_codec_roundtrip(spark, sf):
+    """Candidates through the wire form and back: reading and writing again gives the same bytes."""
+
+    def made(tile, t):
+        blob = P.pack_tile(P.candidates(t), 8)
+        again = P.pack_tile(P.unpack_tile(blob, 8), 8)
+        return [(tile, len(blob), again == blob)]
+
+    return _over_colour(_colour_tiles(spark, sf), "tile long, bytes long, same boolean", made)
+
+
+@register("container_roundtrip")
+def container_roundtrip(spark, sf):
+    """Tiles of an image as blocks of one container, and the blocks read again."""
+    from tilespark.operators import codec
+    from tilespark.plans.tiles_q import embeddings
+
+    return codec.decode(codec.encode(embeddings(spark, sf), 75)).groupBy("image").agg(
+        F.count(F.lit(1)).alias("tiles"), F.round(F.avg("mse"), 9).alias("mse"), F.max("bytes").alias("bytes"))
+
+
+@register(
+    "encoder_verification",
+    """SELECT label AS image, count(*) AS tiles, true AS within_rate FROM embeddings GROUP BY 1""",
+)
+def encoder_verification(spark, sf):
+    """Decoding in the loop: no tile's error exceeds what its quantisation step and the bits that bicubic saves allow."""
+    from tilespark.operators import codec
+    from tilespark.plans.tiles_q import embeddings, step_of
+
+    most = step_of(75) ** 2 + 0.26**2 * 1e-3 * (64 * 4 + 32 - 128)
+    d = codec.decode(codec.encode(embeddings(spark, sf), 75))
+    return d.groupBy("image").agg(F.count(F.lit(1)).alias("tiles"), (F.max("mse") <= most).alias("within_rate"))
+
+
+@register(
+    "live_leaderboard",
+    """SELECT event_type AS profile, time_bucket(INTERVAL '1 day', ts) AS day, count(*) AS n, round(avg(value), 6) AS avg_value FROM events GROUP BY ALL""",
+)
+def live_leaderboard(spark, sf):
+    """What the streaming leaderboard ends with, as a batch: see tilespark.streaming.leaderboard."""
+    from tilespark.streaming import leaderboard
+
+    return leaderboard.windowed(table(spark, sf, "events"), "1 day").select("profile", F.col("window.start").alias("day"), "n", "avg_value")
