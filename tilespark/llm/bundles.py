@@ -67,23 +67,6 @@ def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-class Hashes(dict):
-    """64-bit hashes of words, with a bounded memo."""
-
-    MOST = 500_000
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
-
-        if len(self) >= self.MOST:
-            self.clear()
-        self[word] = h = xxh64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits in which each bit of the input sways all of the output (the splitmix64 finaliser)."""
     x = x ^ (x >> np.uint64(30))

@@ -6,14 +6,14 @@ smaller id. Texts are written once as bundles; everything that moves is packed a
 1. Each window elects an anchor, its smallest PHRASE-word phrase by hash. Equal windows elect the same anchor, so a window can
    only recur if its anchor is elected in two documents. Distinct anchors of a bundle (about a fifth of its
    words) are dealt out by hash, and those elected in two documents or more are confirmed as recurring phrases.
-2. Each bundle gets its recurring phrases back and compiles them into an Aho-Corasick automaton over word numbers (pyahocorasick):
-   the automata are sharded by bundle, so each holds only phrases that this bundle needs, and all documents
-   of the bundle are streamed through it. Windows around the located phrases are dealt out by hash.
+2. Each bundle gets its recurring phrases back and compiles them into an Aho-Corasick automaton (pyahocorasick): the automata are
+   sharded by bundle, so each holds only phrases that this bundle needs, and all documents of the bundle are
+   streamed through it. Words are spelled as one of LETTERS letters of their hash, which keeps the automaton small and its
+   nodes narrow; each hit is then compared as a whole phrase. Windows around located phrases are dealt out by hash.
 3. Windows that meet there from several documents give their smallest document; all others get their positions back.
 4. Each bundle marks the words of those windows and the kept words come out.
 
-So every document is streamed once, whatever the number of phrases. Phrases are compared by 64-bit hashes when confirmed and
-as words by the automaton; windows are equal if 96 bits of two hashes are. A hash shared by many documents sends one
+So every document is streamed once, whatever the number of phrases. Phrases are compared by 64-bit hashes, which only chooses what is looked at; windows are equal if 96 bits of two hashes are. A hash shared by many documents sends one
 entry a bundle and document.
 
 Ids are integers; a null id counts as larger than any, and documents with equal ids don't affect each other. Null, empty and short
@@ -33,9 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tilespark.llm import batches, bundles, store
+from tilespark.llm.runs import Words
 
 WINDOW = 13
 PHRASE = 6
+LETTERS = 26
 #: Groups by hash for each shuffle partition.
 BUCKETS = 4
 _LAST = np.iinfo(np.int64).max
@@ -44,25 +46,16 @@ _SCHEMA = pa.schema([("bucket", pa.int32()), ("bundle", pa.string()), ("blob", p
 
 
 class Windows:
-    """Of the documents of a bundle: words, hashes, windows and their anchors."""
+    """Of the documents of a bundle: words' hashes, windows and their anchors."""
 
-    def __init__(self, texts: list[bytes], hashes: bundles.Hashes):
-        words = [t.split() for t in texts]
-        self.sizes = np.array([len(w) for w in words], np.int64)
-        self.words = [w for ws in words for w in ws]
-        self.hash = hashes.of(self.words)
+    def __init__(self, texts: list[bytes]):
+        words = Words(texts)
+        self.sizes, self.hash = words.sizes, words.hashes()
         self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), self.sizes)
-        n = len(self.words) - WINDOW + 1
-        if n <= 0:
-            self.start, self.anchor = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-            self.phrase = np.zeros(0, np.uint64)
-            return
-        self.start = np.flatnonzero(self.doc[:n] == self.doc[WINDOW - 1 :])
         self.phrase = bundles.rolling(self.hash, PHRASE, 1)
-        least = self.phrase[:n].copy()
-        for j in range(1, WINDOW - PHRASE + 1):
-            np.minimum(least, self.phrase[j : j + n], out=least)
-        self.anchor = least[self.start]
+        n = max(0, len(self.hash) - WINDOW + 1)
+        self.start = np.flatnonzero(self.doc[:n] == self.doc[WINDOW - 1 :])
+        self.anchor = _least(self.phrase, n)[self.start]
 
     def elected(self) -> tuple[np.ndarray, np.ndarray]:
         """Anchors and the documents that elect them; neighbours that agree are given once."""
@@ -71,37 +64,32 @@ class Windows:
         return self.anchor[new], doc[new]
 
     def near(self, recurring: np.ndarray) -> np.ndarray:
-        """Indices into start of the windows whose anchor is among the recurring ones, located by an automaton."""
+        """Indices into start of the windows whose anchor is among the recurring ones (sorted), located by an automaton."""
         import ahocorasick
 
         if not len(recurring) or not len(self.start):
             return np.zeros(0, np.int64)
-        there = np.flatnonzero(_among(self.phrase, recurring))  # where the phrases' words can be taken from
+        letters = (self.hash % np.uint64(LETTERS) + np.uint64(97)).astype(np.uint8).tobytes().decode("latin-1")
+        there = np.flatnonzero(_among(self.phrase, recurring))  # where the phrases can be spelled from
         _, first = np.unique(self.phrase[there], return_index=True)
-        starts = there[first]
-        number: dict[bytes, int] = {}
-        for s in starts.tolist():
-            for w in self.words[s : s + PHRASE]:
-                number.setdefault(w, len(number) + 1)
-        machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for i, s in enumerate(starts.tolist()):
-            machine.add_word(tuple(number[w] for w in self.words[s : s + PHRASE]), i)
+        machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for s in there[first].tolist():
+            machine.add_word(letters[s : s + PHRASE])
         machine.make_automaton()
-        get, end = number.get, 0
-        found = np.zeros(len(self.words), bool)
-        for size in self.sizes.tolist():
-            if size >= WINDOW:
-                ids = tuple(get(w, 0) for w in self.words[end : end + size])
-                if hits := [e for e, _ in machine.iter(ids)]:
-                    found[np.array(hits, np.int64) + (end - PHRASE + 1)] = True
-            end += size
-        # a window's anchor is located if one of its phrases is and has the anchor's hash
-        value = np.where(found[: len(self.phrase)], self.phrase, np.uint64(0xFFFFFFFFFFFFFFFF))
-        n = len(self.words) - WINDOW + 1
-        least = value[:n].copy()
-        for j in range(1, WINDOW - PHRASE + 1):
-            np.minimum(least, value[j : j + n], out=least)
-        return np.flatnonzero(least[self.start] == self.anchor)
+        hits = np.fromiter((e for e, _ in machine.iter(letters)), np.int64) - (PHRASE - 1)
+        # a phrase is located where the words of a hit have a recurring phrase's hash
+        hits = hits[_among(self.phrase[hits], recurring)]
+        value = np.full(len(self.phrase), 0xFFFFFFFFFFFFFFFF, np.uint64)
+        value[hits] = self.phrase[hits]
+        return np.flatnonzero(_least(value, len(self.hash) - WINDOW + 1)[self.start] == self.anchor)
+
+
+def _least(phrases: np.ndarray, n: int) -> np.ndarray:
+    """The least of the phrases of each of n windows."""
+    out = phrases[:n].copy()
+    for j in range(1, WINDOW - PHRASE + 1):
+        np.minimum(out, phrases[j : j + n], out=out)
+    return out
 
 
 def _among(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
@@ -142,9 +130,8 @@ def _marked(docs: DataFrame, folder: str, ddl: str, made) -> DataFrame:
     n = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def elect(it):
-        hashes = bundles.Hashes()
         for name, table in bundles.write(it, folder):
-            w = Windows(_raw(table), hashes)
+            w = Windows(_raw(table))
             anchor, doc = w.elected()
             yield _rows(list(_dealt(name, n, anchor, anchor, doc)))
 
@@ -172,14 +159,13 @@ def _marked(docs: DataFrame, folder: str, ddl: str, made) -> DataFrame:
             yield _rows(out)
 
     def locate(groups):
-        hashes = bundles.Hashes()
         for name, parts in groups:
             got = [bundles.unpack(x, "u8")[0] for x in batches.column(parts, "blob") if x]
             if not got:
                 yield _rows([_present(name, n)])
                 continue
             table = bundles.read(folder, name)
-            w = Windows(_raw(table), hashes)
+            w = Windows(_raw(table))
             at = w.near(np.sort(np.concatenate(got)))
             start = w.start[at]
             one = bundles.rolling(w.hash, WINDOW, 2)[start]
