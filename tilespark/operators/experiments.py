@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def leaderboard(facts: DataFrame, profile: str, metrics: Sequence[str], objective: str) -> DataFrame:
     """Count and null-skipping means by profile, with the place by mean objective (nulls last, then by name)."""
-    d = facts.groupBy(profile).agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(m), 6).alias(f"avg_{m}") for m in metrics])
+    d = facts.groupBy(profile).agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(m), 10).alias(f"avg_{m}") for m in metrics])
     w = Window.orderBy(F.asc_nulls_last(f"avg_{objective}"), profile)  # a row for each profile
     return d.withColumn("place", F.row_number().over(w))
 
@@ -18,14 +18,14 @@ def leaderboard(facts: DataFrame, profile: str, metrics: Sequence[str], objectiv
 def regression(base: DataFrame, candidate: DataFrame, key: str, metrics: Sequence[str]) -> DataFrame:
     """Deltas of the profiles that both have."""
     a, b = base.alias("a"), candidate.alias("b")
-    return a.join(b, key).select(key, *[F.round(F.col(f"b.{m}") - F.col(f"a.{m}"), 6).alias(f"delta_{m}") for m in metrics])
+    return a.join(b, key).select(key, *[F.round(F.col(f"b.{m}") - F.col(f"a.{m}"), 10).alias(f"delta_{m}") for m in metrics])
 
 
 def paired(facts: DataFrame, profile: str, item: str, metric: str, top: DataFrame) -> DataFrame:
     """Deltas of every other profile to the top one (a one-row table), item by item."""
     best = facts.join(F.broadcast(top.select(profile)), profile, "left_semi").select(item, F.col(metric).alias("__best"))
     others = facts.join(F.broadcast(top.select(profile)), profile, "left_anti")
-    return others.join(best, item).select(profile, item, F.round(F.col(metric) - F.col("__best"), 6).alias("delta"))
+    return others.join(best, item).select(profile, item, F.round(F.col(metric) - F.col("__best"), 10).alias("delta"))
 
 
 def bootstrap(deltas: DataFrame, profile: str, resamples: int = 1000, seed: int = 12345) -> DataFrame:
@@ -49,16 +49,16 @@ def hybrid_weights(board: DataFrame, profile: str, objective: str, n: int = 3) -
     """Inverse-objective weights of the best n, normalised."""
     top = board.orderBy(F.asc_nulls_last(objective), profile).limit(n)
     inverse = F.try_divide(F.lit(1.0), F.col(objective))
-    return top.select(profile, F.round(inverse / F.sum(inverse).over(Window.partitionBy()), 6).alias("weight"))
+    return top.select(profile, F.round(inverse / F.sum(inverse).over(Window.partitionBy()), 10).alias("weight"))
 
 
 def hybrid_suggestion(board: DataFrame, profile: str, objective: str, numeric: Sequence[str], voted: Sequence[str]) -> DataFrame:
     """A configuration from the best three: weighted means of numbers, weighted votes of choices (ties: least)."""
     w = hybrid_weights(board, profile, objective)
     d = board.join(F.broadcast(w), profile)
-    means = d.agg(*[F.round(F.sum(F.col(c) * F.col("weight")), 6).alias(c) for c in numeric])
+    means = d.agg(*[F.round(F.sum(F.col(c) * F.col("weight")), 10).alias(c) for c in numeric])
     for c in voted:
-        vote = d.groupBy(c).agg(F.round(F.sum("weight"), 6).alias("__v")).agg(F.min(F.struct((-F.col("__v")).alias("v"), c))[c].alias(c))
+        vote = d.groupBy(c).agg(F.round(F.sum("weight"), 10).alias("__v")).agg(F.min(F.struct((-F.col("__v")).alias("v"), c))[c].alias(c))
         means = means.crossJoin(vote)
     return means
 
@@ -81,7 +81,7 @@ def gate(board: DataFrame, profile: str, baseline: str, checks: dict[str, tuple[
     d = board.filter(F.col(profile) != baseline).crossJoin(F.broadcast(b))  # one row
     out, ok = [], F.lit(True)
     for m, (kind, bound) in checks.items():
-        delta = F.round(F.col(m) - F.col(f"__{m}"), 6)
+        delta = F.round(F.col(m) - F.col(f"__{m}"), 10)
         passed = delta <= bound if kind == "max" else delta >= bound
         out += [delta.alias(f"delta_{m}")]
         ok = ok & F.coalesce(passed, F.lit(False))

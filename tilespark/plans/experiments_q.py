@@ -11,12 +11,14 @@ from tilespark.plans.catalogue import register
 from tilespark.session import table
 
 _FACTS = """f AS (SELECT o_orderpriority || '/' || o_orderstatus AS profile, c_nationkey AS image, count(*) AS n,
-  round(avg(o_totalprice) / 100000, 6) AS bpp, round(30 + avg(c_acctbal) / 1000, 6) AS psnr, round(max(o_totalprice) / 1000, 6) AS decode_ms,
+  round(avg(o_totalprice) / 100000 + 1.23e-7, 4) AS bpp, round(30 + avg(c_acctbal) / 1000 + 1.23e-7, 4) AS psnr, round(max(o_totalprice) / 1000, 5) AS decode_ms,
   CAST(sum(floor(o_totalprice)) AS BIGINT) AS bytes, CAST(sum(floor(c_acctbal) + 1000) AS BIGINT) AS png_bytes
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
-o AS (SELECT *, round(bpp * 2 + coalesce(CASE WHEN n % 7 <> 0 THEN decode_ms END * 0.001, 0) - psnr * 0.05, 6) AS objective FROM f)"""
-_BOARD = """b AS (SELECT profile, count(*) AS n, round(avg(bpp), 6) AS avg_bpp, round(avg(psnr), 6) AS avg_psnr, round(avg(decode_ms), 6) AS avg_decode_ms,
-  round(avg(objective), 6) AS avg_objective FROM o GROUP BY 1)"""
+o AS (SELECT *, round(bpp * 2 + coalesce(CASE WHEN n % 7 <> 0 THEN decode_ms END * 0.001, 0) - psnr * 0.05, 10) AS objective FROM f)"""
+_BOARD = """b AS (SELECT profile, count(*) AS n, round(avg(bpp), 10) AS avg_bpp, round(avg(psnr), 10) AS avg_psnr, round(avg(decode_ms), 10) AS avg_decode_ms,
+  round(avg(objective), 10) AS avg_objective FROM o GROUP BY 1)"""
+#: Keeps means off the middle between two rounded values; from there on, 10 digits hold means of up to 127 values exactly.
+NUDGE = 1.23e-7
 WEIGHTS = {"bpp": 2.0, "slow": 0.001, "psnr": -0.05}
 
 
@@ -25,12 +27,12 @@ def facts(spark, sf, where=None):
     o = o.filter(where) if where else o
     d = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
     d = d.groupBy(F.concat_ws("/", "o_orderpriority", "o_orderstatus").alias("profile"), F.col("c_nationkey").alias("image")).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("o_totalprice") / 100000, 6).alias("bpp"), F.round(F.avg("c_acctbal") / 1000 + 30, 6).alias("psnr"),
-        F.round(F.max("o_totalprice") / 1000, 6).alias("decode_ms"), F.sum(F.floor("o_totalprice")).cast("long").alias("bytes"),
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("o_totalprice") / 100000 + NUDGE, 4).alias("bpp"), F.round(F.avg("c_acctbal") / 1000 + 30 + NUDGE, 4).alias("psnr"),
+        F.round(F.max("o_totalprice") / 1000, 5).alias("decode_ms"), F.sum(F.floor("o_totalprice")).cast("long").alias("bytes"),
         F.sum(F.floor("c_acctbal") + 1000).cast("long").alias("png_bytes"),
     )
     row = {"bpp": F.col("bpp"), "psnr": F.col("psnr"), "slow": F.when(F.col("n") % 7 != 0, F.col("decode_ms"))}
-    return d.withColumn("objective", F.round(rd.objective(row, WEIGHTS), 6))
+    return d.withColumn("objective", F.round(rd.objective(row, WEIGHTS), 10))
 
 
 def board(spark, sf, where=None):
@@ -64,7 +66,7 @@ def _by_year(test):
 
 @register(
     "regression_delta",
-    f"""SELECT a.profile, round(b.bpp - a.bpp, 6) AS delta_bpp, round(b.psnr - a.psnr, 6) AS delta_psnr FROM ({_by_year("year(o_orderdate) < 1995")}) a
+    f"""SELECT a.profile, round(b.bpp - a.bpp, 10) AS delta_bpp, round(b.psnr - a.psnr, 10) AS delta_psnr FROM ({_by_year("year(o_orderdate) < 1995")}) a
       JOIN ({_by_year("year(o_orderdate) >= 1995")}) b USING (profile)""",
 )
 def regression_delta(spark, sf):
@@ -79,7 +81,7 @@ def regression_delta(spark, sf):
 @register(
     "bootstrap_pairs",
     f"""WITH {_FACTS}, {_BOARD}, t AS (SELECT profile FROM b ORDER BY avg_objective NULLS LAST, profile LIMIT 1)
-      SELECT x.profile, x.image, round(x.objective - y.objective, 6) AS delta FROM o x JOIN o y USING (image) WHERE y.profile IN (FROM t) AND x.profile NOT IN (FROM t)""",
+      SELECT x.profile, x.image, round(x.objective - y.objective, 10) AS delta FROM o x JOIN o y USING (image) WHERE y.profile IN (FROM t) AND x.profile NOT IN (FROM t)""",
 )
 def bootstrap_pairs(spark, sf):
     top = board(spark, sf).filter("place = 1")
@@ -94,7 +96,7 @@ def bootstrap_significance(spark, sf):
 @register(
     "hybrid_weights",
     f"""WITH {_FACTS}, {_BOARD}, t AS (SELECT * FROM b ORDER BY avg_decode_ms NULLS LAST, profile LIMIT 3)
-      SELECT profile, round(1.0 / avg_decode_ms / sum(1.0 / avg_decode_ms) OVER (), 6) AS weight FROM t""",
+      SELECT profile, round(1.0 / avg_decode_ms / sum(1.0 / avg_decode_ms) OVER (), 10) AS weight FROM t""",
 )
 def hybrid_weights(spark, sf):
     return E.hybrid_weights(board(spark, sf), "profile", "avg_decode_ms")
@@ -103,9 +105,9 @@ def hybrid_weights(spark, sf):
 @register(
     "hybrid_suggestion",
     f"""WITH {_FACTS}, {_BOARD}, t AS (SELECT * FROM b ORDER BY avg_decode_ms NULLS LAST, profile LIMIT 3),
-      w AS (SELECT *, split_part(profile, '/', 2) AS status, round(1.0 / avg_decode_ms / sum(1.0 / avg_decode_ms) OVER (), 6) AS weight FROM t)
-      SELECT round(sum(avg_bpp * weight), 6) AS avg_bpp, round(sum(avg_psnr * weight), 6) AS avg_psnr,
-        (SELECT status FROM (SELECT status, round(sum(weight), 6) v FROM w GROUP BY 1) ORDER BY v DESC, status LIMIT 1) AS status FROM w""",
+      w AS (SELECT *, split_part(profile, '/', 2) AS status, round(1.0 / avg_decode_ms / sum(1.0 / avg_decode_ms) OVER (), 10) AS weight FROM t)
+      SELECT round(sum(avg_bpp * weight), 10) AS avg_bpp, round(sum(avg_psnr * weight), 10) AS avg_psnr,
+        (SELECT status FROM (SELECT status, round(sum(weight), 10) v FROM w GROUP BY 1) ORDER BY v DESC, status LIMIT 1) AS status FROM w""",
 )
 def hybrid_suggestion(spark, sf):
     b = board(spark, sf).withColumn("status", F.element_at(F.split("profile", "/"), 2))
@@ -114,14 +116,14 @@ def hybrid_suggestion(spark, sf):
 
 @register(
     "interaction_matrix",
-    f"""WITH {_FACTS}, {_BOARD} SELECT b.profile, round(b.avg_objective - z.avg_objective, 6) AS delta_objective, round(b.avg_bpp - z.avg_bpp, 6) AS delta_bpp
+    f"""WITH {_FACTS}, {_BOARD} SELECT b.profile, round(b.avg_objective - z.avg_objective, 10) AS delta_objective, round(b.avg_bpp - z.avg_bpp, 10) AS delta_bpp
       FROM b, (SELECT * FROM b WHERE profile = '1-URGENT/F') z WHERE b.profile <> z.profile""",
 )
 def interaction_matrix(spark, sf):
     b = board(spark, sf)
     base = b.filter("profile = '1-URGENT/F'").select(F.col("avg_objective").alias("o"), F.col("avg_bpp").alias("p"))
     d = b.filter("profile <> '1-URGENT/F'").crossJoin(F.broadcast(base))  # one row
-    return d.select("profile", F.round(F.col("avg_objective") - F.col("o"), 6).alias("delta_objective"), F.round(F.col("avg_bpp") - F.col("p"), 6).alias("delta_bpp"))
+    return d.select("profile", F.round(F.col("avg_objective") - F.col("o"), 10).alias("delta_objective"), F.round(F.col("avg_bpp") - F.col("p"), 10).alias("delta_bpp"))
 
 
 @register(
@@ -135,8 +137,8 @@ def campaign_winners(spark, sf):
 
 @register(
     "acceptance_gate",
-    f"""WITH {_FACTS}, {_BOARD} SELECT b.profile, round(b.avg_bpp - z.avg_bpp, 6) AS delta_avg_bpp, round(b.avg_psnr - z.avg_psnr, 6) AS delta_avg_psnr,
-      coalesce(round(b.avg_bpp - z.avg_bpp, 6) <= 0.0 AND round(b.avg_psnr - z.avg_psnr, 6) >= -0.1, false) AS accepted
+    f"""WITH {_FACTS}, {_BOARD} SELECT b.profile, round(b.avg_bpp - z.avg_bpp, 10) AS delta_avg_bpp, round(b.avg_psnr - z.avg_psnr, 10) AS delta_avg_psnr,
+      coalesce(round(b.avg_bpp - z.avg_bpp, 10) <= 0.0 AND round(b.avg_psnr - z.avg_psnr, 10) >= -0.1, false) AS accepted
       FROM b, (SELECT * FROM b WHERE profile = '1-URGENT/F') z WHERE b.profile <> z.profile""",
 )
 def acceptance_gate(spark, sf):
@@ -155,22 +157,22 @@ def variant_histogram(spark, sf):
 
 @register(
     "bench_totals",
-    f"""WITH {_FACTS} SELECT CAST(sum(bytes) AS BIGINT) AS total_bytes, round(avg(psnr), 6) AS mean_psnr, round(sum(bytes)::DOUBLE / nullif(sum(png_bytes), 0), 6) AS ratio,
-      count(*) FILTER (psnr > 34) AS wins, round(avg(psnr - 30), 6) AS mean_delta FROM f""",
+    f"""WITH {_FACTS} SELECT CAST(sum(bytes) AS BIGINT) AS total_bytes, round(avg(psnr), 10) AS mean_psnr, round(sum(bytes)::DOUBLE / nullif(sum(png_bytes), 0), 10) AS ratio,
+      count(*) FILTER (psnr > 34) AS wins, round(avg(psnr - 30), 10) AS mean_delta FROM f""",
 )
 def bench_totals(spark, sf):
     return facts(spark, sf).agg(
-        F.sum("bytes").alias("total_bytes"), F.round(F.avg("psnr"), 6).alias("mean_psnr"), F.round(F.try_divide(F.sum("bytes").cast("double"), F.sum("png_bytes").cast("double")), 6).alias("ratio"),
-        F.count_if(F.col("psnr") > 34).alias("wins"), F.round(F.avg(F.col("psnr") - 30), 6).alias("mean_delta"))
+        F.sum("bytes").alias("total_bytes"), F.round(F.avg("psnr"), 10).alias("mean_psnr"), F.round(F.try_divide(F.sum("bytes").cast("double"), F.sum("png_bytes").cast("double")), 10).alias("ratio"),
+        F.count_if(F.col("psnr") > 34).alias("wins"), F.round(F.avg(F.col("psnr") - 30), 10).alias("mean_delta"))
 
 
 @register(
     "size_ratios",
-    f"""WITH {_FACTS} SELECT profile, image, CASE WHEN png_bytes > 0 THEN round(bytes::DOUBLE / png_bytes, 6) END AS vs_source, round(8.0 * bytes / (1024 * 768), 6) AS bits_per_pixel FROM f""",
+    f"""WITH {_FACTS} SELECT profile, image, CASE WHEN png_bytes > 0 THEN round(bytes::DOUBLE / png_bytes, 10) END AS vs_source, round(8.0 * bytes / (1024 * 768), 10) AS bits_per_pixel FROM f""",
 )
 def size_ratios(spark, sf):
-    return facts(spark, sf).select("profile", "image", F.round(F.when(F.col("png_bytes") > 0, F.col("bytes").cast("double") / F.col("png_bytes")), 6).alias("vs_source"),
-                                   F.round(F.col("bytes") * 8.0 / (1024 * 768), 6).alias("bits_per_pixel"))
+    return facts(spark, sf).select("profile", "image", F.round(F.when(F.col("png_bytes") > 0, F.col("bytes").cast("double") / F.col("png_bytes")), 10).alias("vs_source"),
+                                   F.round(F.col("bytes") * 8.0 / (1024 * 768), 10).alias("bits_per_pixel"))
 
 
 @register(

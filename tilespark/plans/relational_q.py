@@ -154,11 +154,11 @@ def distinct_counts(spark, sf):
 
 @register(
     "sensor_summary",
-    """SELECT user_id AS run_id, round(avg(value), 6) AS avg_power, max(value) AS max_power, count(*) AS samples FROM events GROUP BY 1""",
+    """SELECT user_id AS run_id, round(avg(value), 10) AS avg_power, max(value) AS max_power, count(*) AS samples FROM events GROUP BY 1""",
 )
 def sensor_summary(spark, sf):
     return table(spark, sf, "events").groupBy(F.col("user_id").alias("run_id")).agg(
-        F.round(F.avg("value"), 6).alias("avg_power"), F.max("value").alias("max_power"), F.count(F.lit(1)).alias("samples"))
+        F.round(F.avg("value"), 10).alias("avg_power"), F.max("value").alias("max_power"), F.count(F.lit(1)).alias("samples"))
 
 
 @register(

@@ -251,7 +251,7 @@ def encoder_verification(spark, sf):
 
 @register(
     "live_leaderboard",
-    """SELECT event_type AS profile, time_bucket(INTERVAL '1 day', ts) AS day, count(*) AS n, round(avg(value), 6) AS avg_value FROM events GROUP BY ALL""",
+    """SELECT event_type AS profile, time_bucket(INTERVAL '1 day', ts) AS day, count(*) AS n, round(avg(value), 10) AS avg_value FROM events GROUP BY ALL""",
 )
 def live_leaderboard(spark, sf):
     """What the streaming leaderboard ends with, as a batch: see tilespark.streaming.leaderboard."""

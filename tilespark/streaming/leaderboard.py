@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def windowed(events: DataFrame, width: str, late: str | None = None) -> DataFrame:
     """profile, window, n, avg_value; with ``late`` (for streams) older windows are closed."""
     d = events.withWatermark("ts", late) if late else events
-    return d.groupBy(F.col("event_type").alias("profile"), F.window("ts", width)).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("avg_value"))
+    return d.groupBy(F.col("event_type").alias("profile"), F.window("ts", width)).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 10).alias("avg_value"))
 
 
 def start(spark: SparkSession, source: str, schema, checkpoint: str, name: str, width: str = "1 day", late: str = "2 days"):
