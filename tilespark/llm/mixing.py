@@ -50,8 +50,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     return s.withColumn("target", F.least("__cap", level * F.col("__w"))).select("__src", "source_size", "target")
 
 
-def _placed(docs: DataFrame, weights, share: float, most: int) -> DataFrame:
-    """docs with __src, __size, __key, __cell, __sum (its source's size), __target, __before (words before it)."""
+def _placed(docs: DataFrame) -> DataFrame:
+    """docs with __src, __size, __key and __cell."""
     keyed = docs.withColumn("__src", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("~")))
     # "~" follows "s": the null source comes last
     keyed = keyed.withColumn("__size", n_words(F.col("text"))).withColumn("__key", _key(F.col("doc_id")))
@@ -65,7 +65,8 @@ def _cells(thin: DataFrame, weights, share: float, most: int) -> DataFrame:
     cells = cells.withColumn("source_size", F.sum("__words").over(Window.partitionBy("__src")))
     sources = cells.groupBy("__src").agg(F.max("source_size").alias("source_size"))
     goal = targets(sources, weights, share, most).select("__src", "target")
-    return cells.join(goal, "__src").select("__src", "__cell", "__start", "source_size", "target")
+    cells = cells.join(goal, "__src")
+    return cells.select("__src", "__cell", "__start", F.col("source_size").alias("__sum"), F.col("target").alias("__target"))
 
 
 def _taken(placed: DataFrame, cells: DataFrame) -> DataFrame:
@@ -73,26 +74,26 @@ def _taken(placed: DataFrame, cells: DataFrame) -> DataFrame:
     at = Window.partitionBy("__src", "__cell").orderBy("__key", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, -1)
     d = placed.join(cells, ["__src", "__cell"])
     d = d.withColumn("__before", F.col("__start") + F.coalesce(F.sum("__size").over(at), F.lit(0)))
-    budget, zero = F.floor("target"), F.lit(0).cast("long")
+    budget, zero = F.floor("__target"), F.lit(0).cast("long")
     cut = lambda left: F.least(F.col("__size"), F.greatest(zero, left - F.col("__before")))
-    return d.withColumn("__first", cut(budget)).withColumn("__second", cut(budget - F.col("source_size")))
+    return d.withColumn("__first", cut(budget)).withColumn("__second", cut(budget - F.col("__sum")))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """doc_id, size, source_size, target, taken for every document; no text leaves the scan."""
     from tilespark.llm import store
 
-    thin = _placed(docs.select("doc_id", "source", "text"), weights, share, most)
+    thin = _placed(docs.select("doc_id", "source", "text"))
     thin = store.table(thin.select("doc_id", "__src", "__size", "__key", "__cell"), "mix")  # texts are read once
     d = _taken(thin, _cells(thin, weights, share, most))
-    return d.select("doc_id", F.col("__size").alias("size"), "source_size", "target", (F.col("__first") + F.col("__second")).alias("taken"))
+    return d.select("doc_id", F.col("__size").alias("size"), F.col("__sum").alias("source_size"), F.col("__target").alias("target"), (F.col("__first") + F.col("__second")).alias("taken"))
 
 
 def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each epoch that takes a document; the one document
     where the budget ends is cut after its share of words (joined by single spaces; n_chars follows)."""
     kept = docs.columns
-    placed = _placed(docs, weights, share, most)
+    placed = _placed(docs)
     thin = placed.select("__src", "__cell", "__size")
     d = _taken(placed, _cells(thin, weights, share, most))
     d = d.withColumn("__part", F.explode(F.filter(F.array("__first", "__second"), lambda x: x > 0)))
