@@ -27,7 +27,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from tilespark.plans import experiments_q, relational_q, tiles_q, transforms_q  # noqa: F401
+    from tilespark.plans import experiments_q, neighbours_q, relational_q, tiles_q, transforms_q  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
