@@ -8,10 +8,9 @@ still open (fewer than k in each class) are put together by first fit decreasing
 
 A sequence's id is the partition's number and a counter, so a task that runs again gives the same rows.
 
-Ids are those of ``tokenizers`` with the vocabulary's default handling of special strings.  They are looked up by run (a
-stretch between white space with the space before it, or white space): the splitter's pattern never reaches across
-a run's ends.  Runs that the bounded memo lacks are encoded in one call by ``tiktoken`` with the same vocabulary as
-ranks, which tests hold against ``tokenizers``.
+Ids are those of ``tokenizers`` with the vocabulary's default handling of special strings.  They are looked up by run (see
+``runs``): the splitter's pattern never reaches across a run's ends.  Runs that the bounded memo lacks are encoded in one
+call by ``tiktoken`` with the same vocabulary as ranks, which tests hold against ``tokenizers``.
 
 Null and empty texts have the one closing id; ids may be null or repeated (each row is packed by itself); an empty
 table gives no rows; other columns are ignored.
@@ -30,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tilespark.llm import batches
+from tilespark.llm.runs import Runs
 from tilespark.llm.tokens import WHITE
 
 CAPACITY = 2048
@@ -59,12 +59,12 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.memo: dict[str, int] = {SPECIAL: 0}
+        self.memo: dict[bytes, int] = {SPECIAL.encode(): 0}
         self.first, self.size = np.zeros(1, np.int64), np.ones(1, np.int64)
         self.flat = np.array([SPECIAL_ID], np.uint32)
 
-    def _learn(self, new: list[str]) -> None:
-        ids = self.enc.encode_to_numpy(SPECIAL.join(new), allowed_special="all").astype(np.uint32)
+    def _learn(self, new: list[bytes]) -> None:
+        ids = self.enc.encode_to_numpy(SPECIAL.encode().join(new).decode(), allowed_special="all").astype(np.uint32)
         ends = np.append(np.flatnonzero(ids == SPECIAL_ID), len(ids))
         size = np.diff(ends, prepend=-1) - 1
         keep = ids[ids != SPECIAL_ID]
@@ -72,30 +72,36 @@ class Encoder:
         self.memo.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
         self.first, self.size, self.flat = np.append(self.first, first), np.append(self.size, size), np.append(self.flat, keep)
 
-    def _runs(self, text: str) -> list[str]:
-        if SPECIAL not in text:
-            return _RUN.findall(text)
-        out: list[str] = []
+    def _slow(self, text: str) -> list[bytes]:
+        out: list[bytes] = []
         for i, part in enumerate(text.split(SPECIAL)):
-            out += [SPECIAL] * (i > 0) + _RUN.findall(part)
+            out += [SPECIAL.encode()] * (i > 0) + [r.encode() for r in _RUN.findall(part)]
         return out
 
     def __call__(self, many: list[str]) -> list[np.ndarray]:
-        parts = [self._runs(t) for t in many]
-        new = list(set().union(*parts) - self.memo.keys())
+        r = Runs([t.encode() for t in many], (SPECIAL.encode(),), lower=False, spaces=True)
+        slow = {i: self._slow(many[i]) for i, p in enumerate(r.plain) if not p}
+        needed = [*r.distinct, *{x for s in slow.values() for x in s}]
+        new = [x for x in needed if x not in self.memo]
         if len(self.memo) + len(new) > self.most:
             self._clear()
-            new = list(set().union(*parts) - self.memo.keys())
+            new = [x for x in needed if x not in self.memo]
         if new:
             self._learn(new)
-        find, out = self.memo.__getitem__, []
-        for p in parts:
-            at = np.fromiter(map(find, p), np.int64, len(p))
-            size = self.size[at]
-            total = int(size.sum())
-            place = np.repeat(self.first[at] - np.cumsum(size) + size, size) + np.arange(total)
-            out.append(np.append(self.flat[place], np.uint32(END)))
-        return out
+        find = self.memo.__getitem__
+        ids, upto = self._ids(np.fromiter(map(find, r.distinct), np.int64, len(r.distinct))[r.place])
+        cut = upto[r.begin].tolist()
+        out = [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        for i, s in slow.items():
+            out[i] = self._ids(np.fromiter(map(find, s), np.int64, len(s)))[0]
+        return [np.append(x, np.uint32(END)) for x in out]
+
+    def _ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of runs one after another, and how many there are before each run and in all."""
+        size = self.size[at]
+        upto = np.append(0, np.cumsum(size))
+        # the k-th id of a run is that many after its first in the flat array
+        return self.flat[np.repeat(self.first[at] - upto[:-1], size) + np.arange(upto[-1])], upto
 
 
 def cuts(n: int, capacity: int = CAPACITY) -> list[int]:
