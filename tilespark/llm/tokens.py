@@ -8,8 +8,8 @@ it, nor those right of it on what precedes.  A splice needs such a character ins
 give the same tokens from there to the next one.  Where that fails the overlap is doubled, back to the last splice if need
 be; a text without white space is then encoded whole.
 
-Other texts are counted by their runs between white space, which the same proof allows: a run's count is looked up in a
-bounded memo, and runs that are not there are encoded by the library in one batch.
+Other texts are counted by runs (see ``runs``), cut at white space and other places where the splitter must cut: a run's count
+is looked up in a bounded memo, and runs that are not there are encoded by the library in one batch.
 
 Null texts are empty (0 tokens); ids may be null or repeated; an empty table gives no rows; other columns are ignored.
 """
@@ -21,10 +21,12 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tilespark.llm import batches
+from tilespark.llm.runs import Runs
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
@@ -111,18 +113,31 @@ class Counter:
 
     def __init__(self, path: str | None = None, memo: int = MEMO, chunk: int = CHUNK, overlap: int = OVERLAP):
         self.tok, self.most, self.chunk, self.overlap, self.memo = tokenizer(path), memo, chunk, overlap, {}
+        self.specials = tuple(t.content.encode() for t in self.tok.get_added_tokens_decoder().values())
+
+    def _learn(self, new: list[bytes]) -> None:
+        for i in range(0, len(new), 4096):
+            got = self.tok.encode_batch_fast([r.decode() for r in new[i : i + 4096]], add_special_tokens=False)
+            self.memo.update(zip(new[i : i + 4096], map(len, got), strict=True))
 
     def __call__(self, many: list[str]) -> list[int]:
-        parts = [runs(t) if len(t) <= self.chunk else None for t in many]
-        new = list(set().union(*(p for p in parts if p)) - self.memo.keys())
+        huge = [len(t) > self.chunk for t in many]
+        r = Runs([b"" if h else t.encode() for t, h in zip(many, huge, strict=True)], self.specials, lower=True, spaces=False)
+        slow = [runs(t) if not (h or p) else [] for t, h, p in zip(many, huge, r.plain, strict=True)]
+        needed = [*r.distinct, *{x.encode() for s in slow for x in s}]
+        new = [x for x in needed if x not in self.memo]
         if len(self.memo) + len(new) > self.most:
             self.memo.clear()
-            new = list(set().union(*(p for p in parts if p)))
-        for i in range(0, len(new), 4096):
-            got = self.tok.encode_batch_fast(new[i : i + 4096], add_special_tokens=False)
-            self.memo.update(zip(new[i : i + 4096], map(len, got), strict=True))
+            new = needed
+        self._learn(new)
         count = self.memo.__getitem__
-        return [len(spliced_ids(self.tok, t, self.chunk, self.overlap)) if p is None else sum(map(count, p)) for t, p in zip(many, parts, strict=True)]
+        each = np.fromiter(map(count, r.distinct), np.int64, len(r.distinct))
+        upto = np.append(0, np.cumsum(each[r.place]))
+        fast = np.diff(upto[r.begin]).tolist()
+        return [
+            len(spliced_ids(self.tok, t, self.chunk, self.overlap)) if h else f if p else sum(count(x.encode()) for x in s)
+            for t, h, p, f, s in zip(many, huge, r.plain, fast, slow, strict=True)
+        ]
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
