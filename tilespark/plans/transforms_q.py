@@ -258,3 +258,12 @@ def live_leaderboard(spark, sf):
     from tilespark.streaming import leaderboard
 
     return leaderboard.windowed(table(spark, sf, "events"), "1 day").select("profile", F.col("window.start").alias("day"), "n", "avg_value")
+
+
+@register("variant_tournament")
+def variant_tournament(spark, sf):
+    """Every registered encoder variant on every image; the winner by image."""
+    from tilespark.operators import registry
+    from tilespark.plans.tiles_q import embeddings
+
+    return registry.compete(embeddings(spark, sf))
