@@ -155,3 +155,36 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     return assess(read("documents"), read("labels"))
+
+
+def _sql() -> str:
+    grid = ", ".join(f"('{s}', {i}, {c}::DOUBLE)" for s, cuts in SCORES.items() for i, c in enumerate(cuts))
+    values = ", ".join(f"('{s}', {s})" for s in SCORES)
+    strata = ", ".join(f"'{s}'" for s in STRATA)
+    p, level = ALPHA / len(SCORES), DELTA / ((len(STRATA) + 1) * len(SCORES))
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, CASE WHEN lang IN ({strata}) THEN lang ELSE 'other' END AS stratum,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+g AS (SELECT doc_id, i, array_to_string(ws[i : i + 7], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM d)),
+r AS (SELECT doc_id, count(DISTINCT i + k.range) AS n FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) x, range(8) k WHERE c > 1 GROUP BY 1),
+b AS (SELECT l.doc_id, stratum, len(ws) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+    length(regexp_replace(text, '[^A-Z]', '', 'g')) AS upper_, length(regexp_replace(text, '[^!?]', '', 'g')) AS shouts FROM l LEFT JOIN r USING (doc_id)),
+s AS (SELECT doc_id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {REPEATS_PERCENT} * n_words AS base_failed,
+    coalesce(n_symbols::DOUBLE / nullif(word_chars, 0), 0) AS symbol_share, coalesce(n_dup_lines::DOUBLE / nullif(n_lines, 0), 0) AS dup_line_share, coalesce(n_repeat_words::DOUBLE / nullif(n_words, 0), 0) AS repeat_share,
+    coalesce(upper_::DOUBLE / nullif(word_chars, 0), 0) AS upper_share, coalesce(shouts::DOUBLE / nullif(word_chars, 0), 0) AS shout_share, coalesce(word_chars::DOUBLE / nullif(n_words, 0), 0) AS word_length FROM b),
+good AS (SELECT doc_id FROM labels GROUP BY 1 HAVING min(quality) = 1),
+v AS (SELECT s.doc_id, stratum, base_failed, u.score, u.value FROM s, LATERAL (VALUES {values}) u(score, value)),
+k AS (SELECT stratum, c.score, c.i, c.cutoff, count(*) AS n, count(*) FILTER (value > cutoff) AS k FROM v JOIN (VALUES {grid}) c(score, i, cutoff) USING (score)
+    WHERE NOT base_failed AND doc_id IN (FROM good) GROUP BY ALL),
+t AS (SELECT *, CASE WHEN k > n * {p!r}::DOUBLE THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p!r}::DOUBLE) + (n - j) * ln(1 - {p!r}::DOUBLE)))) END <= {level!r}::DOUBLE AS ok FROM k),
+a AS (SELECT *, min(ok) OVER (PARTITION BY stratum, score ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS admitted FROM t),
+cut AS (SELECT stratum, score, min(cutoff) AS cutoff FROM a WHERE admitted GROUP BY ALL),
+over_ AS (SELECT DISTINCT doc_id FROM v JOIN cut USING (stratum, score) WHERE value > cutoff)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+    NOT base_failed AND doc_id NOT IN (FROM over_) AS kept FROM s
+"""
+
+
+SQL = _sql()
