@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,6 +39,23 @@ def hold(doc_id_type: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[doc_id_type]
 
 
+def mapped(df, run, ddl: str):
+    """df.mapInArrow whose workers give freed memory back to the system when a task ends: they live on, and an executor
+    may keep more of them than it has cores."""
+
+    def trimmed(it):
+        import ctypes
+
+        try:
+            yield from run(it)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return df.mapInArrow(trimmed, ddl)
+
+
 def grouped(df, key: str, run, ddl: str, n: int | None = None, order: tuple[str, ...] = ()):
     """df dealt out by key over n partitions (the session's shuffle partitions); ``run`` gets the groups of a partition one
     after another, as an iterator of (key, list of batches), and yields batches. A group must fit into a task."""
@@ -59,7 +77,7 @@ def grouped(df, key: str, run, ddl: str, n: int | None = None, order: tuple[str,
         if held:
             yield now, held
 
-    return df.repartition(n, key).sortWithinPartitions(key, *order).mapInArrow(lambda it: run(groups(it)), ddl)
+    return mapped(df.repartition(n, key).sortWithinPartitions(key, *order), lambda it: run(groups(it)), ddl)
 
 
 def column(parts: list[pa.RecordBatch], name: str) -> list:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text in a bundle, about.
-SIZE = 8 << 20
+SIZE = 4 << 20
 
 
 def write(it: Iterator[pa.RecordBatch], folder: str, column: str = "text", most: int = SIZE) -> Iterator[tuple[str, pa.Table]]:

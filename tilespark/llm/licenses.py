@@ -117,7 +117,7 @@ def _grams(docs: DataFrame, vocabulary: dict[bytes, int], ks: list[int]) -> Data
                     yield batches.batch(schema, [row + of[at], doc_ids.take(pa.array(of[at])), size[of[at]], np.full(len(at), k, np.int32), at - begin[of[at]], gram[at]])
             row += docs_
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"row long, doc_id {kind}, n_words long, k int, pos long, gram long")
+    return batches.mapped(docs.select("doc_id", "text"), run, f"row long, doc_id {kind}, n_words long, k int, pos long, gram long")
 
 
 def spans(docs: DataFrame, base=BASE, notices=NOTICES) -> DataFrame:
@@ -161,3 +161,32 @@ def scan(docs: DataFrame, base=BASE, notices=NOTICES) -> DataFrame:
 
 def op10_license_scan(spark, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _sql() -> str:
+    all_ = [(p, label, True) for p, label in BASE] + [(t, label, False) for label, t in NOTICES]
+    rows = []
+    for tpl, (text, label, base) in enumerate(all_):
+        ws = [w.decode() for w in scan_words(text)]
+        k = len(ws) if base else GRAM
+        rows += [f"({tpl}, '{label}', {base}, {k}, {i}, '{' '.join(ws[i : i + k])}', {len(ws) - k + 1}, {len(ws)})" for i in range(len(ws) - k + 1)]
+    ks = ", ".join(f"({k})" for k in sorted({len(p.split()) for p, _ in BASE} | {GRAM}))
+    return rf"""
+WITH t(tpl, label, base, k, tpos, gram, grams, words) AS (VALUES {", ".join(rows)}),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+g AS (SELECT doc_id, k, i - 1 AS pos, array_to_string(ws[i : i + k - 1], ' ') AS gram FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, (VALUES {ks}) ks(k))),
+v AS (SELECT doc_id, tpl, pos - tpos AS diag, any_value(label) AS label, any_value(base) AS base, any_value(g.k) AS k, any_value(grams) AS grams, any_value(words) AS words, count(*) AS votes, min(pos) AS lo, max(pos) AS hi
+    FROM g JOIN t ON g.k = t.k AND g.gram = t.gram GROUP BY doc_id, tpl, pos - tpos),
+n AS (SELECT *, CASE WHEN coalesce(base OR diag - lag(diag) OVER w > {BAND} OR lo - lag(hi) OVER w > words, true) THEN 1 ELSE 0 END AS new FROM v WINDOW w AS (PARTITION BY doc_id, tpl ORDER BY diag)),
+p AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, tpl ORDER BY diag ROWS UNBOUNDED PRECEDING) AS part FROM n),
+s AS (SELECT doc_id, tpl, part, any_value(label) AS label, any_value(base) AS base, sum(votes) AS votes, min(lo) AS first_pos, max(hi) + any_value(k) - 1 AS last_pos, least(1.0, sum(votes)::DOUBLE / any_value(grams)) AS coverage,
+    any_value(words) AS words FROM p GROUP BY doc_id, tpl, part),
+f AS (SELECT *, coverage >= {COVERAGE}::DOUBLE AND last_pos - first_pos + 1 <= words * {SLACK}::DOUBLE AS verified FROM s),
+r AS (SELECT doc_id, CAST(sum(votes) FILTER (base) AS BIGINT) AS n_base, min(first_pos) FILTER (base) AS first_word, max(first_pos) FILTER (base) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (verified) AS labels, max(coverage) FILTER (verified) AS score FROM f GROUP BY 1)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN r USING (doc_id)
+"""
+
+
+SQL = _sql()

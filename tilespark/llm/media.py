@@ -127,7 +127,7 @@ def write_shards(docs: DataFrame, folder: str) -> DataFrame:
             out.write(bytes(1024))
             out.close()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, digest string, shard string, offset long, length long")
+    return batches.mapped(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_bytes long, digest string, shard string, offset long, length long")
 
 
 def _by_entry(rows: DataFrame) -> DataFrame:
@@ -156,7 +156,7 @@ def _reading(rows: DataFrame, folder: str, names: list[tuple[str, str]], whole:
             new = [pa.array(list(c), type=kinds[t]) for c, (_, t) in zip(zip(*out, strict=True), names, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *(n for n, _ in names)])
 
-    return rows.mapInArrow(run, ddl)
+    return batches.mapped(rows, run, ddl)
 
 
 def headers(rows: DataFrame, folder: str) -> DataFrame:

@@ -192,7 +192,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, wit
             yield out()
 
     ddl = f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names) + (", ids array<int>" if with_ids else "")
-    return docs.select("doc_id", "text").mapInArrow(run, ddl)
+    return batches.mapped(docs.select("doc_id", "text"), run, ddl)
 
 
 def op4_harmonic_packing(spark, sf_dir: str) -> DataFrame:

@@ -209,7 +209,7 @@ def _marked(docs: DataFrame, folder: str, ddl: str, made) -> DataFrame:
                 end += len(w)
             yield from made(table, words, masks)
 
-    packed = docs.mapInArrow(elect, _PACKED)
+    packed = batches.mapped(docs, elect, _PACKED)
     packed = batches.grouped(packed, "bucket", confirm, _PACKED)
     packed = batches.grouped(packed, "bundle", locate, _PACKED)
     packed = batches.grouped(packed, "bucket", first, _PACKED)
@@ -257,3 +257,14 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 def op9_repeated_phrases(spark, sf_dir: str) -> DataFrame:
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+x AS (SELECT doc_id, i, array_to_string(ws[i : i + {WINDOW - 1}], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM d)),
+f AS (SELECT g, min(doc_id) AS first FROM x GROUP BY 1),
+r AS (SELECT DISTINCT x.doc_id, i + k.range AS p FROM x JOIN f USING (g), range({WINDOW}) k WHERE first < x.doc_id),
+w AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM d),
+k AS (SELECT doc_id, count(*) AS n, string_agg(w, ' ' ORDER BY p) AS kept FROM w ANTI JOIN r USING (doc_id, p) GROUP BY 1)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""

@@ -152,7 +152,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
             n = count(texts)
             yield batches.batch(schema, [b.column("doc_id"), [len(t.encode()) for t in texts], n, [x > limit for x in n]])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return batches.mapped(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op1_token_counts(spark, sf_dir: str) -> DataFrame:
