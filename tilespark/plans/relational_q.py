@@ -89,7 +89,7 @@ def kind_stream_offsets(spark, sf):
     return R.segmented_scan(d, "length", ["event_type"], ["event_id"])
 
 
-_CHUNKS = """c AS (SELECT doc_id // 64 AS chunk, min(doc_id) AS start, count(*) AS n FROM documents WHERE doc_id % 97 <> 5 GROUP BY 1)"""
+_CHUNKS = """c AS (SELECT l_orderkey // 64 AS chunk, min(l_orderkey) AS start, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1)"""
 
 
 @register(
@@ -97,8 +97,8 @@ _CHUNKS = """c AS (SELECT doc_id // 64 AS chunk, min(doc_id) AS start, count(*)
     f"""WITH {_CHUNKS} SELECT chunk, start, n, expected FROM (SELECT *, lag(start + n) OVER (ORDER BY chunk) AS expected FROM c) WHERE expected IS NOT NULL AND expected <> start""",
 )
 def contiguity_violations(spark, sf):
-    d = table(spark, sf, "documents").filter("doc_id % 97 <> 5")
-    c = d.groupBy(F.expr("doc_id div 64").alias("chunk")).agg(F.min("doc_id").alias("start"), F.count(F.lit(1)).alias("n"))
+    d = table(spark, sf, "lineitem")
+    c = d.groupBy(F.expr("l_orderkey div 64").alias("chunk")).agg(F.min("l_orderkey").alias("start"), F.countDistinct("l_orderkey").alias("n"))
     return R.violations(c.withColumn("all", F.lit(0)), ["all"], ["chunk"], "start", "n").drop("all")
 
 

@@ -134,12 +134,14 @@ def ideal_code_bits(spark, sf):
 
 @register("rans_chunk_roundtrip")
 def rans_chunk_roundtrip(spark, sf):
-    """Chunks of the texts' bytes through the range coder and back."""
-    d = table(spark, sf, "documents").select("doc_id", F.substring(F.col("text").cast("binary"), F.lit(1), F.lit(4096)).alias("b"))
-    return En.chunk_roundtrip(d, "doc_id", "b")
+    """The texts' bytes, in chunks of 4096, through the range coder and back."""
+    d = table(spark, sf, "documents").select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("b"))
+    at = F.explode(F.sequence(F.lit(0), F.expr("greatest(0, octet_length(b) - 1) div 4096").cast("int"))).alias("chunk")
+    d = d.select("doc_id", "b", at).select(F.concat_ws("-", "doc_id", "chunk").alias("chunk"), F.substring("b", F.col("chunk") * 4096 + 1, F.lit(4096)).alias("b"))
+    return En.chunk_roundtrip(d, "chunk", "b")
 
 
-_STACK = """SELECT c_custkey AS k, (c_custkey % 9) / 9.0 AS v, (c_custkey % 16)::DOUBLE AS x0, (c_custkey * 3 % 16)::DOUBLE AS y0, (c_custkey * 5 % 16 + 1)::DOUBLE AS x1, (c_custkey * 7 % 16 + 2)::DOUBLE AS y1, (c_custkey % 5) / 5.0 AS a FROM customer WHERE c_custkey % 10 = 0"""
+_STACK = """SELECT c_custkey AS k, (c_custkey % 9) / 9.0 AS v, (c_custkey % 16)::DOUBLE AS x0, (c_custkey * 3 % 16)::DOUBLE AS y0, (c_custkey * 5 % 16 + 1)::DOUBLE AS x1, (c_custkey * 7 % 16 + 2)::DOUBLE AS y1, (c_custkey % 5) / 5.0 AS a FROM customer"""
 
 
 @register(
@@ -152,7 +154,7 @@ _STACK = """SELECT c_custkey AS k, (c_custkey % 9) / 9.0 AS v, (c_custkey % 16):
 def primitive_render(spark, sf):
     """A constant under a linear patch, on 8 by 8 pixels."""
     k = F.col("c_custkey")
-    d = table(spark, sf, "customer").filter(k % 10 == 0).select(k.alias("k"), (k % 9 / 9.0).alias("v"), *[e.cast("double").alias(n) for n, e in
+    d = table(spark, sf, "customer").select(k.alias("k"), (k % 9 / 9.0).alias("v"), *[e.cast("double").alias(n) for n, e in
         {"x0": k % 16, "y0": k * 3 % 16, "x1": k * 5 % 16 + 1, "y1": k * 7 % 16 + 2}.items()], (k % 5 / 5.0).alias("a"))
 
     def run(it):
@@ -199,7 +201,7 @@ def candidate_generation(spark, sf):
     def made(tile, t):
         return [(tile, i, c["kind"], P.objective(t, [c], 1e-4)) for i, c in enumerate(P.candidates(t))]
 
-    return _over_colour(_colour_tiles(spark, sf).limit(64), "tile long, ord long, kind long, objective double", made)
+    return _over_colour(_colour_tiles(spark, sf), "tile long, ord long, kind long, objective double", made)
 
 
 @register("greedy_tile_fit")
@@ -210,7 +212,7 @@ def greedy_tile_fit(spark, sf):
         prims, trace = P.fit(t, 1e-4, rounds=2)
         return [(tile, len(prims), len(P.pack_tile(prims, 8)), trace[0], trace[-1])]
 
-    return _over_colour(_colour_tiles(spark, sf).limit(64), "tile long, n long, bytes long, before double, after double", made)
+    return _over_colour(_colour_tiles(spark, sf), "tile long, n long, bytes long, before double, after double", made)
 
 
 @register("primitive_codec_roundtrip")
