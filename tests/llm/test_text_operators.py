@@ -153,6 +153,40 @@ def test_a_large_group_of_near_copies_is_one_class(spark):
     assert {got[i] for i in range(150)} == {0} and got[150] == 150
 
 
+def test_a_family_of_forms_equals_brute_force(spark):
+    """Texts of one template that are too unlike for any hub, with near copies of some among them."""
+    import random
+
+    rng = random.Random(8)
+    base = [f"t{i}" for i in range(182)]  # 178 shingles, of which a form has 150: two forms are similar to 0.73
+    forms = []
+    for i in range(600):
+        own = [f"f{i}x{j}" for j in range(24)]
+        forms.append([*base[:80], *own, *base[104:]])
+        if i % 4 == 0:  # shares ten shingles more with that form: similar to 0.82
+            forms.append([*base[:80], *own[:10], *(f"g{i}x{j}" for j in range(14)), *base[104:]])
+    rng.shuffle(forms)
+    shingles = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in forms]
+    root = list(range(len(forms)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(shingles):
+        for j in range(i):
+            both = len(a & shingles[j])
+            if both / (len(a) + len(shingles[j]) - both) >= 0.8:
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(forms)], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["class_id"] for r in rows(near_dedup.classes(d))}
+    want = {i: find(i) for i in range(len(forms))}
+    assert len(set(want.values())) == 600
+    assert got == want
+
+
 # packing
 
 

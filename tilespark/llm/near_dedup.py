@@ -7,12 +7,19 @@
 3. Representatives that share a number are in a bucket. In a bucket, every member is a candidate of its hub, the member with the most
    copies and whose other numbers are the most widely shared (among near copies of one text, that text); besides, members
    are dealt at random into chunks of about CHUNK, all pairs of which are candidates, so small buckets are exhausted. This is
-   linear in a bucket's size, whatever it is, and there is no cap; a text meets the hubs and chunks of all its numbers.
+   linear in a bucket's size, whatever it is; a text meets the hubs and chunks of all its numbers.
 4. Candidates are verified on whole texts by banded alignment: occurrence-labelled shingles that both have, within BAND of one
    another's place (a share of the longer text), are chained in order; the longest chain of c shingles among a and b
    gives the similarity c / (a + b - c). A pair links from SIMILARITY on, or if the sets of shingles, whatever their order, are
    as similar as that. Hubs' texts are sent once for each GROUP members.
-5. Components of links, over tables in the shared folder, are the classes; a class is named by its smallest doc_id.
+5. Components of links, over tables in the shared folder, are classes so far. A bucket of more than CHUNK that still holds two of
+   them has pairs that were not tried: its members are *crowded*. Among all crowded texts, every pair of different components that
+   can reach SIMILARITY is a candidate, by positional prefix filtering, which loses none: shingles are ordered by the number of
+   crowded texts that have them, rarest first; if two texts share c of their a and b shingles and c / (a + b - c) reaches
+   SIMILARITY, their first common one has at least c left from it on in both. So only the rarest fifth of a text is joined,
+   and neither template nor boilerplate meets itself unless texts hold nearly nothing else. This is done for labelled shingles
+   and for sets, and these candidates are verified like the others.
+6. Components of all links are the classes; a class is named by its smallest doc_id.
 
 Texts with fewer than SHINGLE words are near duplicates only of equal ones; null, empty and blank texts have equal (no) words and
 form a class. Null ids come last; a class without any id has the id null. Repeated rows are copies. An empty table gives
@@ -21,6 +28,7 @@ no rows. Further columns are ignored by ``classes`` and kept by ``keep_one``.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +45,7 @@ SIMILARITY = 0.8
 SKETCHES, LEAST = 24, 4
 CHUNK = 6
 GROUP = 64
+BUCKETS = 4
 BAND = 0.25
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = bundles.mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64) * _ODD)
@@ -124,11 +133,15 @@ def _texts(docs: DataFrame, folder: str) -> DataFrame:
     return store.table(batches.mapped(docs, run, _TEXTS), "near-texts")
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of rows from (row, sketch, copies)."""
+def buckets(reps: DataFrame) -> DataFrame:
+    """A table of band, value, row, copies, n of the buckets of n > 1 rows, from (row, sketch, copies)."""
     bands = reps.select("row", "copies", F.posexplode("sketch").alias("band", "value"))
     many = bands.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    bands = store.table(bands.join(many, ["band", "value"]), "near-bands")  # texts alone in all buckets are gone
+    return store.table(bands.join(many, ["band", "value"]), "near-bands")  # texts alone in all buckets are gone
+
+
+def candidates(bands: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of rows: hubs and chunks."""
     # a text of many copies is likely what near copies were made from
     spread = bands.groupBy("row").agg((F.sum(F.log2(F.least("n", F.lit(64)))) + 8 * F.log2(F.max("copies"))).alias("spread"))
     bands = bands.join(spread, "row")
@@ -141,6 +154,96 @@ def candidates(reps: DataFrame) -> DataFrame:
     return starred.filter("a <> b").unionByName(paired).distinct()
 
 
+def crowded(bands: DataFrame, found: DataFrame) -> DataFrame:
+    """A table of row, root of the members of large buckets that links have not made one component."""
+    large = bands.filter(F.col("n") > CHUNK).select("band", "value", "row")
+    large = large.join(found.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    open_ = large.groupBy("band", "value").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
+    return store.table(large.join(open_.select("band", "value"), ["band", "value"], "left_semi").select("row", "root").distinct(), "near-crowded")
+
+
+_PACKED = "bucket int, bundle string, blob binary"
+_PACKED_SCHEMA = pa.schema([("bucket", pa.int32()), ("bundle", pa.string()), ("blob", pa.binary())])
+_PREFIX = "sets boolean, token long, at int, size int, repeats boolean, row long, root long"
+_PREFIX_SCHEMA = pa.schema([("sets", pa.bool_()), ("token", pa.int64()), ("at", pa.int32()), ("size", pa.int32()), ("repeats", pa.bool_()), ("row", pa.int64()), ("root", pa.int64())])
+
+
+def rest(crowd: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
+    """Distinct pairs (a, b) of (row, root) of different roots that can be similar enough: all of them."""
+    n = BUCKETS * int(crowd.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = lambda rows: batches.batch(_PACKED_SCHEMA, [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], []])
+
+    def shingles(name: str, idx: list[int]) -> Iterator[np.ndarray]:
+        found = bundles.read(folder, name).column("text").cast(pa.binary()).take(pa.array(idx)).to_pylist()
+        words = Words([t or b"" for t in found])
+        h, cut = words.hashes(), np.append(0, np.cumsum(words.sizes)).tolist()
+        return (bundles.rolling(h[a:b], SHINGLE, 4) for a, b in zip(cut[:-1], cut[1:], strict=True))
+
+    def send(groups):
+        for name, parts in groups:
+            members = [np.array(batches.column(parts, c), np.int64) for c in ("idx", "row", "root")]
+            token, count = np.unique(np.concatenate([labelled(x) for x in shingles(name, members[0].tolist())]), return_counts=True)
+            bucket = (bundles.mixed(token) % np.uint64(n)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            start, size = bundles.runs_of(bucket[order])
+            rows = [(-1 - zlib.crc32(name.encode()) % n, name, bundles.pack(*members))]
+            for s, k in zip(start.tolist(), size.tolist(), strict=True):
+                at = order[s : s + k]
+                rows.append((int(bucket[at[0]]), name, bundles.pack(token[at], count[at])))
+            yield packed(rows)
+
+    def meet(groups):
+        for bucket, parts in groups:
+            names, blobs = batches.column(parts, "bundle"), batches.column(parts, "blob")
+            if bucket < 0:
+                yield packed([(bucket, b, x) for b, x in zip(names, blobs, strict=True)])
+                continue
+            got = [bundles.unpack(x, "u8", "i8") for x in blobs]
+            token, of = np.unique(np.concatenate([t for t, _ in got]), return_inverse=True)
+            total = np.zeros(len(token), np.int64)
+            np.add.at(total, of, np.concatenate([c for _, c in got]))
+            rows, end = [], 0
+            for name, (t, _) in zip(names, got, strict=True):
+                count = total[of[end : end + len(t)]]
+                end += len(t)
+                if (count > 1).any():
+                    rows.append((bucket, name, bundles.pack(t[count > 1], count[count > 1])))
+            yield packed(rows)
+
+    def prefixes(groups):
+        for name, parts in groups:
+            blobs = list(zip(batches.column(parts, "bucket"), batches.column(parts, "blob"), strict=True))
+            idx, row, root = (x.tolist() for x in bundles.unpack(next(x for k, x in blobs if k < 0), "i8", "i8", "i8"))
+            got = [bundles.unpack(x, "u8", "i8") for k, x in blobs if k >= 0]
+            if not got:
+                continue
+            shared, count = (np.concatenate(c) for c in zip(*got, strict=True))
+            order = np.argsort(shared)
+            shared, count = shared[order], count[order]
+            for x, r, o in zip(shingles(name, idx), row, root, strict=True):
+                s = labelled(x)
+                first = s == bundles.mixed(x)
+                for sets, t in ((False, s), (True, s[first])):
+                    at = np.minimum(np.searchsorted(shared, t), len(shared) - 1)
+                    often = np.where(shared[at] == t, count[at], 1)
+                    order = np.lexsort((t, often))[: int((1 - SIMILARITY) * len(t) + 1e-6) + 1]
+                    meets = np.flatnonzero(often[order] > 1)
+                    k = len(meets)
+                    if k:
+                        yield batches.batch(_PREFIX_SCHEMA, [[sets] * k, t[order[meets]].view(np.int64), meets, [len(t)] * k, [not first.all()] * k, [r] * k, [o] * k])
+
+    asked = crowd.join(texts.select("row", "bundle", "idx"), "row")
+    counted = batches.grouped(batches.grouped(asked, "bundle", send, _PACKED), "bucket", meet, _PACKED)
+    one = store.table(batches.grouped(counted, "bundle", prefixes, _PREFIX), "near-prefixes")
+    two = one.select("sets", "token", *(F.col(c).alias(f"{c}2") for c in ("at", "size", "repeats", "row", "root")))
+    left = F.least(F.col("size") - F.col("at"), F.col("size2") - F.col("at2"))
+    enough = left + 1e-6 >= SIMILARITY / (1 + SIMILARITY) * (F.col("size") + F.col("size2"))
+    new = F.expr("row < row2 AND root <> root2 AND (NOT sets1 OR repeats OR repeats2)")  # without repeats, sets are the labelled shingles
+    one = one.withColumnsRenamed({"sets": "sets1", "token": "token1"})
+    met = one.join(two, F.expr("sets1 = sets AND token1 = token") & new & enough)
+    return met.select(F.col("row").alias("a"), F.col("row2").alias("b")).distinct()
+
+
 def links(pairs: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
     """(u, v) of the candidates that are similar enough."""
     pairs = store.table(pairs, "near-pairs")
@@ -193,7 +296,12 @@ def _classes(docs: DataFrame, folder: str) -> DataFrame:
     copies = texts.groupBy("content").agg(F.min("row").alias("rep"), F.min(place).alias("least"), F.count(F.lit(1)).alias("copies"))
     copies = store.table(copies, "near-copies")
     reps = texts.join(copies.select(F.col("rep").alias("row"), "copies"), "row").select("row", "copies", "sketch")
-    found = components(links(candidates(reps), texts, folder))
+    bands = buckets(reps)
+    found = components(links(candidates(bands), texts, folder))
+    crowd = crowded(bands, found)
+    if not crowd.isEmpty():
+        more = links(rest(crowd, texts, folder), texts, folder)
+        found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
     copies = copies.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     best = copies.groupBy("root").agg(F.min("least").alias("best"))
     copies = copies.join(best, "root").select("content", "best")
