@@ -187,6 +187,36 @@ def test_a_family_of_forms_equals_brute_force(spark):
     assert got == want
 
 
+def test_repeated_and_reordered_texts_are_near_duplicates(spark):
+    import random
+
+    rng = random.Random(3)
+    say = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    texts, want = [], []
+    for i in range(40):
+        w = say(204)
+        parts = [w[j : j + 51] for j in range(0, 204, 51)]
+        rng.shuffle(parts)
+        moved = sum(parts, [])
+        edited = list(moved)
+        edited[25] = "edited"
+        texts += [w, w * 2, w * 3, moved, edited]
+        want += [5 * i] * 5
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["class_id"] for r in rows(near_dedup.classes(d))}
+    assert got == dict(enumerate(want))
+
+
+def test_sketches_meet_wherever_sets_are_similar():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        a = rng.integers(0, 2**63, 204).astype(np.uint64)
+        parts = np.split(a, 12)
+        for b in (np.tile(a, 3), np.concatenate([a, a]), np.concatenate([parts[i] for i in rng.permutation(12)])):
+            if near_dedup.similarity(a, b) >= near_dedup.SIMILARITY:
+                assert (near_dedup.sketch(a) == near_dedup.sketch(b)).any()
+
+
 # packing
 
 

@@ -1,9 +1,11 @@
 """Near duplicates by Order MinHash.
 
 1. Equal word sequences (by a 128-bit hash) are one class at once and have one representative from here on.
-2. A sketch is SKETCHES numbers. Each orders the text's occurrence-labelled shingles (SHINGLE words, and which of equal ones it
+2. A sketch is SKETCHES ordered numbers and SKETCHES unordered ones. Each ordered one orders the text's occurrence-labelled shingles (SHINGLE words, and which of equal ones it
    is) by a hash of its own, takes the LEAST smallest and hashes them in the order that they have in the text. At a similarity of
-   0.8 one number agrees with a chance of about 0.8 ** LEAST, so all differ in about three of a million pairs.
+   0.8 one number agrees with a chance of about 0.8 ** LEAST, so all differ in about three of a million pairs. SKETCHES further
+   numbers hash the LEAST smallest of the set of shingles, without labels or order, in the same way: they agree for texts
+   that are as similar as sets, whatever was moved or repeated. So both kinds of links (4) have candidates.
 3. Representatives that share a number are in a bucket. In a bucket, every member is a candidate of its hub, the member with the most
    copies and whose other numbers are the most widely shared (among near copies of one text, that text); besides, members
    are dealt at random into chunks of about CHUNK, all pairs of which are candidates, so small buckets are exhausted. This is
@@ -61,18 +63,29 @@ def labelled(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
-    """The numbers of a text, from the hashes of its words; none for a text without shingles."""
-    s = labelled(bundles.rolling(h, SHINGLE, 4))
+    """The numbers of a text, SKETCHES ordered and as many unordered ones, from the hashes of its words; none for a text without shingles."""
+    x = bundles.rolling(h, SHINGLE, 4)
+    s = labelled(x)
     if not len(s):
         return np.zeros(0, np.uint64)
     ranked = bundles.mixed(s[None, :] ^ _SEEDS[:, None])
-    if len(s) > LEAST:
-        at = np.sort(np.argpartition(ranked, LEAST - 1, axis=1)[:, :LEAST], axis=1)
-    else:
-        at = np.tile(np.arange(len(s)), (SKETCHES, 1))
-    out = _SEEDS.copy()
-    for j in range(at.shape[1]):
-        out = bundles.mixed(out * _ODD + s[at[:, j]])
+    ordered = s[_least(ranked)]
+    first = s == bundles.mixed(x)  # one of each set of equal shingles
+    unordered = ordered if first.all() else s[first][_least(ranked[:, first])]
+    return np.concatenate([_hashed(_SEEDS, ordered), _hashed(~_SEEDS, np.sort(unordered, axis=1))])
+
+
+def _least(ranked: np.ndarray) -> np.ndarray:
+    """Places of each row's LEAST smallest, in order of place."""
+    if ranked.shape[1] <= LEAST:
+        return np.tile(np.arange(ranked.shape[1]), (len(ranked), 1))
+    return np.sort(np.argpartition(ranked, LEAST - 1, axis=1)[:, :LEAST], axis=1)
+
+
+def _hashed(seeds: np.ndarray, values: np.ndarray) -> np.ndarray:
+    out = seeds.copy()
+    for j in range(values.shape[1]):
+        out = bundles.mixed(out * _ODD + values[:, j])
     return out
 
 
@@ -142,8 +155,8 @@ def buckets(reps: DataFrame) -> DataFrame:
 
 def candidates(bands: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of rows: hubs and chunks."""
-    # a text of many copies is likely what near copies were made from
-    spread = bands.groupBy("row").agg((F.sum(F.log2(F.least("n", F.lit(64)))) + 8 * F.log2(F.max("copies"))).alias("spread"))
+    # half of the numbers mostly repeat the other half; a text of many copies is likely what near copies were made from
+    spread = bands.groupBy("row").agg((F.sum(F.log2(F.least("n", F.lit(64)))) / 2 + 8 * F.log2(F.max("copies"))).alias("spread"))
     bands = bands.join(spread, "row")
     hub = bands.groupBy("band", "value").agg(F.max(F.struct("spread", "row"))["row"].alias("hub"))
     starred = bands.select("band", "value", "row").join(hub, ["band", "value"]).select(F.least("row", "hub").alias("a"), F.greatest("row", "hub").alias("b"))
