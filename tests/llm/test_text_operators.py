@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tilespark.llm import brown, chat, licenses, media, mixing, near_dedup, packing, phrases, quality, tokens
+from tilespark.llm import brown, chat, licenses, media, mixing, packing, phrases, quality, tokens
 from tests.llm.conftest import rows
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -94,129 +94,6 @@ def test_shards_are_tar_files(spark, docs, tmp_path):
         assert io.BytesIO((tmp_path / "m" / x.shard).read_bytes()[x.offset : x.offset + x.length]).read() == entry
 
 
-# near duplicates
-
-
-def test_near_duplicates(docs, plain):
-    ws = [split(r["text"]) for r in plain]
-    shingles = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in ws]
-    root = list(range(len(ws)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(ws)):
-        for j in range(i):
-            both = len(shingles[i] & shingles[j])
-            if ws[i] == ws[j] or both and both / len(shingles[i] | shingles[j]) >= 0.8:
-                root[find(i)] = find(j)
-    groups = defaultdict(list)
-    for i, r in enumerate(plain):
-        groups[find(i)].append(r["doc_id"])
-    want = []
-    for ids in groups.values():
-        c = min((x for x in ids if x is not None), default=None)
-        want += [(x, c) for x in ids]
-    got = rows(near_dedup.classes(docs))
-    key = lambda x: (x[0] is None, x[0] or 0, x[1] is None, x[1] or 0)
-    assert sorted(((r["doc_id"], r["class_id"]) for r in got), key=key) == sorted(want, key=key)
-    assert sum(r["kept"] for r in got) == len(groups)
-    kept = near_dedup.keep_one(docs)
-    assert kept.columns == docs.columns and kept.count() == len(groups)
-
-
-def test_similarity_sees_order_and_reordering():
-    rng = np.random.default_rng(1)
-    a = rng.integers(0, 2**63, 300).astype(np.uint64)
-    b = a.copy()
-    b[100] += np.uint64(1)
-    assert near_dedup.similarity(a, a) == 1 and near_dedup.similarity(a, b) == pytest.approx(291 / 301)
-    assert near_dedup.similarity(a, np.roll(a, 150)) > 0.8
-    assert near_dedup.similarity(a, rng.integers(0, 2**63, 300).astype(np.uint64)) == 0
-    assert near_dedup.similarity(a[:3], a[:3]) == 1 and near_dedup.similarity(a[:3], a[:4]) == 0
-
-
-def test_a_large_group_of_near_copies_is_one_class(spark):
-    import random
-
-    rng = random.Random(4)
-    base = [f"w{rng.randint(0, 999)}" for _ in range(120)]
-    texts = []
-    for _ in range(150):
-        w = list(base)
-        w[rng.randrange(120)] = f"x{rng.randint(0, 10**6)}"
-        texts.append(" ".join(w))
-    d = spark.createDataFrame(list(enumerate([*texts, " ".join(f"y{i}" for i in range(120))])), "doc_id long, text string").repartition(4)
-    got = {r["doc_id"]: r["class_id"] for r in rows(near_dedup.classes(d))}
-    assert {got[i] for i in range(150)} == {0} and got[150] == 150
-
-
-def test_a_family_of_forms_equals_brute_force(spark):
-    """Texts of one template that are too unlike for any hub, with near copies of some among them."""
-    import random
-
-    rng = random.Random(8)
-    base = [f"t{i}" for i in range(182)]  # 178 shingles, of which a form has 150: two forms are similar to 0.73
-    forms = []
-    for i in range(600):
-        own = [f"f{i}x{j}" for j in range(24)]
-        forms.append([*base[:80], *own, *base[104:]])
-        if i % 4 == 0:  # shares ten shingles more with that form: similar to 0.82
-            forms.append([*base[:80], *own[:10], *(f"g{i}x{j}" for j in range(14)), *base[104:]])
-    rng.shuffle(forms)
-    shingles = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in forms]
-    root = list(range(len(forms)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i, a in enumerate(shingles):
-        for j in range(i):
-            both = len(a & shingles[j])
-            if both / (len(a) + len(shingles[j]) - both) >= 0.8:
-                x, y = sorted((find(i), find(j)))
-                root[y] = x
-    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(forms)], "doc_id long, text string").repartition(4)
-    got = {r["doc_id"]: r["class_id"] for r in rows(near_dedup.classes(d))}
-    want = {i: find(i) for i in range(len(forms))}
-    assert len(set(want.values())) == 600
-    assert got == want
-
-
-def test_repeated_and_reordered_texts_are_near_duplicates(spark):
-    import random
-
-    rng = random.Random(3)
-    say = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
-    texts, want = [], []
-    for i in range(40):
-        w = say(204)
-        parts = [w[j : j + 51] for j in range(0, 204, 51)]
-        rng.shuffle(parts)
-        moved = sum(parts, [])
-        edited = list(moved)
-        edited[25] = "edited"
-        texts += [w, w * 2, w * 3, moved, edited]
-        want += [5 * i] * 5
-    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(4)
-    got = {r["doc_id"]: r["class_id"] for r in rows(near_dedup.classes(d))}
-    assert got == dict(enumerate(want))
-
-
-def test_sketches_meet_wherever_sets_are_similar():
-    rng = np.random.default_rng(5)
-    for _ in range(200):
-        a = rng.integers(0, 2**63, 204).astype(np.uint64)
-        parts = np.split(a, 12)
-        for b in (np.tile(a, 3), np.concatenate([a, a]), np.concatenate([parts[i] for i in rng.permutation(12)])):
-            if near_dedup.similarity(a, b) >= near_dedup.SIMILARITY:
-                assert (near_dedup.sketch(a) == near_dedup.sketch(b)).any()
-
-
 # packing
 
 
@@ -489,7 +366,7 @@ def test_license_notices(spark):
 
 
 def test_empty_tables(spark, nothing, labels, tmp_path):
-    for f in (tokens.count_tokens, media.media, near_dedup.classes, near_dedup.keep_one, packing.pack, brown.score, mixing.mix, mixing.mix_documents, phrases.digests, phrases.dedup, licenses.scan):
+    for f in (tokens.count_tokens, media.media, packing.pack, brown.score, mixing.mix, mixing.mix_documents, phrases.digests, phrases.dedup, licenses.scan):
         assert f(nothing).count() == 0, f
     assert quality.assess(nothing, labels).count() == quality.keep_good(nothing, labels.limit(0)).count() == 0
     spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")

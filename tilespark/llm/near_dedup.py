@@ -1,31 +1,29 @@
 """Near duplicates by Order MinHash.
 
 1. Equal word sequences (by a 128-bit hash) are one class at once and have one representative from here on.
-2. A sketch is SKETCHES ordered numbers and SKETCHES unordered ones. Each ordered one orders the text's occurrence-labelled shingles (SHINGLE words, and which of equal ones it
-   is) by a hash of its own, takes the LEAST smallest and hashes them in the order that they have in the text. At a similarity of
-   0.8 one number agrees with a chance of about 0.8 ** LEAST, so all differ in about three of a million pairs. SKETCHES further
-   numbers hash the LEAST smallest of the set of shingles, without labels or order, in the same way: they agree for texts
-   that are as similar as sets, whatever was moved or repeated. So both kinds of links (4) have candidates.
+2. A sketch is SKETCHES numbers. Each orders the text's occurrence-labelled shingles (SHINGLE words, and which of equal ones it is)
+   by a hash of its own, takes the LEAST smallest and hashes them in the order that they have in the text, so it is
+   sensitive to edits and to order. Texts with a share j of common shingles agree in one number with a chance of about j ** LEAST.
 3. Representatives that share a number are in a bucket. In a bucket, every member is a candidate of its hub, the member with the most
    copies and whose other numbers are the most widely shared (among near copies of one text, that text); besides, members
    are dealt at random into chunks of about CHUNK, all pairs of which are candidates, so small buckets are exhausted. This is
    linear in a bucket's size, whatever it is; a text meets the hubs and chunks of all its numbers.
-4. Candidates are verified on whole texts by banded alignment: occurrence-labelled shingles that both have, within BAND of one
-   another's place (a share of the longer text), are chained in order; the longest chain of c shingles among a and b
-   gives the similarity c / (a + b - c). A pair links from SIMILARITY on, or if the sets of shingles, whatever their order, are
-   as similar as that. Hubs' texts are sent once for each GROUP members.
+4. Candidates are verified on whole texts by banded alignment of their words: a pair links if at most a share of
+   1 - SIMILARITY of the longer text's words has to be inserted, deleted or replaced. Shared shingles, chained in order within the band,
+   give an upper bound, shared words a lower one; only between these the band is filled in. Hubs' texts are sent
+   once for each GROUP members.
 5. Components of links, over tables in the shared folder, are classes so far. A bucket of more than CHUNK that still holds two of
    them has pairs that were not tried: its members are *crowded*. Among all crowded texts, every pair of different components that
-   can reach SIMILARITY is a candidate, by positional prefix filtering, which loses none: shingles are ordered by the number of
-   crowded texts that have them, rarest first; if two texts share c of their a and b shingles and c / (a + b - c) reaches
-   SIMILARITY, their first common one has at least c left from it on in both. So only the rarest fifth of a text is joined,
-   and neither template nor boilerplate meets itself unless texts hold nearly nothing else. This is done for labelled shingles
-   and for sets, and these candidates are verified like the others.
+   can link is a candidate, by positional prefix filtering, which loses none: an edit touches two pairs of neighbouring words at
+   most, so texts of a and b words that link share at least max(a, b) - 1 - 2 (1 - SIMILARITY) max(a, b) labelled pairs. These are
+   ordered by the number of crowded texts that have them, rarest first; only the rarest two fifths of a text are joined, so
+   boilerplate meets itself only where texts hold nearly nothing else. These candidates are verified like the others.
 6. Components of all links are the classes; a class is named by its smallest doc_id.
 
 Texts with fewer than SHINGLE words are near duplicates only of equal ones; null, empty and blank texts have equal (no) words and
-form a class. Null ids come last; a class without any id has the id null. Repeated rows are copies. An empty table gives
-no rows. Further columns are ignored by ``classes`` and kept by ``keep_one``.
+form a class. Ids are integers (or cast to them). Null ids come last; a class without any id has the id null. Repeated rows are copies.
+An empty table gives no rows. Further columns are ignored by ``classes`` and kept by ``keep_one``. Joins on buckets and on
+copies rest on adaptive skew joins (``session.NEEDED``), which split a bucket or a group of copies over tasks.
 """
 
 from __future__ import annotations
@@ -44,11 +42,10 @@ from tilespark.llm.runs import Words
 
 SHINGLE = 5
 SIMILARITY = 0.8
-SKETCHES, LEAST = 24, 4
+SKETCHES, LEAST = 32, 3
 CHUNK = 6
 GROUP = 64
 BUCKETS = 4
-BAND = 0.25
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = bundles.mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64) * _ODD)
 
@@ -63,16 +60,11 @@ def labelled(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
-    """The numbers of a text, SKETCHES ordered and as many unordered ones, from the hashes of its words; none for a text without shingles."""
-    x = bundles.rolling(h, SHINGLE, 4)
-    s = labelled(x)
+    """The SKETCHES numbers of a text from the hashes of its words; none for a text without shingles."""
+    s = labelled(bundles.rolling(h, SHINGLE, 4))
     if not len(s):
         return np.zeros(0, np.uint64)
-    ranked = bundles.mixed(s[None, :] ^ _SEEDS[:, None])
-    ordered = s[_least(ranked)]
-    first = s == bundles.mixed(x)  # one of each set of equal shingles
-    unordered = ordered if first.all() else s[first][_least(ranked[:, first])]
-    return np.concatenate([_hashed(_SEEDS, ordered), _hashed(~_SEEDS, np.sort(unordered, axis=1))])
+    return _hashed(_SEEDS, s[_least(bundles.mixed(s[None, :] ^ _SEEDS[:, None]))])
 
 
 def _least(ranked: np.ndarray) -> np.ndarray:
@@ -89,36 +81,88 @@ def _hashed(seeds: np.ndarray, values: np.ndarray) -> np.ndarray:
     return out
 
 
-def _chain(values: np.ndarray) -> int:
-    """Length of the longest increasing subsequence."""
+def _chain(values: np.ndarray) -> np.ndarray:
+    """Places of a longest increasing subsequence."""
     from bisect import bisect_left
 
     if len(values) < 2 or (np.diff(values) > 0).all():
-        return len(values)
+        return np.arange(len(values))
     tails: list[int] = []
-    for v in values.tolist():
+    last: list[int] = []
+    back = []
+    for n, v in enumerate(values.tolist()):
         i = bisect_left(tails, v)
-        tails[i : i + 1] = [v]
-    return len(tails)
-
-
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two texts, from hashes of their words (uint64): the better of aligned and unordered shingles."""
-    x, y = bundles.rolling(a, SHINGLE, 4), bundles.rolling(b, SHINGLE, 4)
-    if not len(x) or not len(y):
-        return float(len(a) == len(b) and bool((a == b).all()))
-    u, v = np.unique(x), np.unique(y)
-    both = len(np.intersect1d(u, v, assume_unique=True))
-    sets = both / (len(u) + len(v) - both)
-    shared, i, j = np.intersect1d(labelled(x), labelled(y), assume_unique=True, return_indices=True)
-    most = len(shared) / (len(x) + len(y) - len(shared))
-    if most < SIMILARITY:  # a bound on what an alignment can reach
-        return sets
-    band = max(8, int(BAND * max(len(x), len(y))))
-    keep = np.abs(i - j) <= band
-    order = np.argsort(i[keep])
-    c = _chain(j[keep][order])
-    return max(sets, c / (len(x) + len(y) - c))
+        back.append(last[i - 1] if i else -1)
+        tails[i : i + 1], last[i : i + 1] = [v], [n]
+    out, n = [], last[-1]
+    while n >= 0:
+        out.append(n)
+        n = back[n]
+    return np.array(out[::-1])
+
+
+def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    """Edit distance of two sequences, most + 1 if it is above most: rows of the alignment are filled in within most of its diagonal."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    width = 2 * most + 1  # cell j of row i stands for the column i + j - most
+    far, steps = most + 1, np.arange(width)
+    row = np.where(steps >= most, steps - most, far)  # row 0
+    padded = np.concatenate([np.zeros(most, b.dtype), b, np.zeros(2 * most + 1, b.dtype)])
+    for i in range(1, len(a) + 1):
+        column = i + steps - most
+        new = np.where((column > 0) & (column <= len(b)), row + (padded[i - 1 : i - 1 + width] != a[i - 1]), far)
+        new[:-1] = np.minimum(new[:-1], row[1:] + 1)
+        if i <= most:
+            new[most - i] = i  # column 0
+        new[(column < 0) | (column > len(b))] = far
+        row = np.minimum(np.minimum.accumulate(new - steps) + steps, far)
+        if row.min() > most:
+            return most + 1
+    return int(row[len(b) - len(a) + most])
+
+
+class Text:
+    """What a text's alignments need, from the hashes of its words (uint64)."""
+
+    def __init__(self, h: np.ndarray):
+        self.h = h
+        self.words, self.counts = np.unique(h, return_counts=True)
+        self.shingles = labelled(bundles.rolling(h, SHINGLE, 4))
+
+
+def _bounds(x: Text, y: Text, most: int) -> tuple[int, int]:
+    """At least and at most so many edits."""
+    a, b = len(x.h), len(y.h)
+    _, i, j = np.intersect1d(x.words, y.words, assume_unique=True, return_indices=True)
+    low = max(a, b) - int(np.minimum(x.counts[i], y.counts[j]).sum())
+    if low > most:
+        return low, max(a, b)
+    _, i, j = np.intersect1d(x.shingles, y.shingles, assume_unique=True, return_indices=True)
+    keep = np.abs(i - j) <= most
+    i, j = i[keep], j[keep]
+    order = np.argsort(i)
+    i, j = i[order], j[order]
+    chain = _chain(j)
+    if not len(chain):
+        return low, max(a, b)
+    i, j = i[chain], j[chain]
+    di, dj = np.diff(i), np.diff(j)
+    between = np.maximum(di, dj) - np.minimum(np.minimum(di, dj), SHINGLE)
+    return low, int(between.sum()) + int(max(i[0], j[0])) + int(max(a - i[-1], b - j[-1])) - SHINGLE
+
+
+def edits_allowed(a: int, b: int) -> int:
+    return int((1 - SIMILARITY) * max(a, b) + 1e-9)
+
+
+def near(x: Text, y: Text) -> bool:
+    """Whether the texts link."""
+    most = edits_allowed(len(x.h), len(y.h))
+    if abs(len(x.h) - len(y.h)) > most or min(len(x.h), len(y.h)) < SHINGLE:
+        return len(x.h) == len(y.h) and bool((x.h == y.h).all())
+    low, high = _bounds(x, y, most)
+    return low <= most and (high <= most or banded_distance(x.h, y.h, most) <= most)
 
 
 _TEXTS = "row long, doc_id long, bundle string, idx int, content binary, sketch array<long>"
@@ -177,25 +221,30 @@ def crowded(bands: DataFrame, found: DataFrame) -> DataFrame:
 
 _PACKED = "bucket int, bundle string, blob binary"
 _PACKED_SCHEMA = pa.schema([("bucket", pa.int32()), ("bundle", pa.string()), ("blob", pa.binary())])
-_PREFIX = "sets boolean, token long, at int, size int, repeats boolean, row long, root long"
-_PREFIX_SCHEMA = pa.schema([("sets", pa.bool_()), ("token", pa.int64()), ("at", pa.int32()), ("size", pa.int32()), ("repeats", pa.bool_()), ("row", pa.int64()), ("root", pa.int64())])
+_PREFIX = "token long, at int, size int, row long, root long"
+_PREFIX_SCHEMA = pa.schema([("token", pa.int64()), ("at", pa.int32()), ("size", pa.int32()), ("row", pa.int64()), ("root", pa.int64())])
+
+
+def _least_shared(size):
+    """How many labelled pairs of neighbouring words texts that link have in common, if the longer has so many."""
+    return size - 2 * (1 - SIMILARITY) * (size + 1)
 
 
 def rest(crowd: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
-    """Distinct pairs (a, b) of (row, root) of different roots that can be similar enough: all of them."""
+    """Distinct pairs (a, b) of (row, root) of different roots that can link: all of them. Tokens are labelled pairs of neighbouring words."""
     n = BUCKETS * int(crowd.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packed = lambda rows: batches.batch(_PACKED_SCHEMA, [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], []])
 
-    def shingles(name: str, idx: list[int]) -> Iterator[np.ndarray]:
+    def tokens(name: str, idx: list[int]) -> Iterator[np.ndarray]:
         found = bundles.read(folder, name).column("text").cast(pa.binary()).take(pa.array(idx)).to_pylist()
         words = Words([t or b"" for t in found])
         h, cut = words.hashes(), np.append(0, np.cumsum(words.sizes)).tolist()
-        return (bundles.rolling(h[a:b], SHINGLE, 4) for a, b in zip(cut[:-1], cut[1:], strict=True))
+        return (labelled(bundles.rolling(h[a:b], 2, 5)) for a, b in zip(cut[:-1], cut[1:], strict=True))
 
     def send(groups):
         for name, parts in groups:
             members = [np.array(batches.column(parts, c), np.int64) for c in ("idx", "row", "root")]
-            token, count = np.unique(np.concatenate([labelled(x) for x in shingles(name, members[0].tolist())]), return_counts=True)
+            token, count = np.unique(np.concatenate(list(tokens(name, members[0].tolist()))), return_counts=True)
             bucket = (bundles.mixed(token) % np.uint64(n)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             start, size = bundles.runs_of(bucket[order])
@@ -233,27 +282,23 @@ def rest(crowd: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
             shared, count = (np.concatenate(c) for c in zip(*got, strict=True))
             order = np.argsort(shared)
             shared, count = shared[order], count[order]
-            for x, r, o in zip(shingles(name, idx), row, root, strict=True):
-                s = labelled(x)
-                first = s == bundles.mixed(x)
-                for sets, t in ((False, s), (True, s[first])):
-                    at = np.minimum(np.searchsorted(shared, t), len(shared) - 1)
-                    often = np.where(shared[at] == t, count[at], 1)
-                    order = np.lexsort((t, often))[: int((1 - SIMILARITY) * len(t) + 1e-6) + 1]
-                    meets = np.flatnonzero(often[order] > 1)
-                    k = len(meets)
-                    if k:
-                        yield batches.batch(_PREFIX_SCHEMA, [[sets] * k, t[order[meets]].view(np.int64), meets, [len(t)] * k, [not first.all()] * k, [r] * k, [o] * k])
+            for t, r, o in zip(tokens(name, idx), row, root, strict=True):
+                at = np.minimum(np.searchsorted(shared, t), len(shared) - 1)
+                often = np.where(shared[at] == t, count[at], 1)
+                order = np.lexsort((t, often))[: len(t) - int(np.ceil(_least_shared(len(t)) - 1e-6)) + 1]
+                meets = np.flatnonzero(often[order] > 1)
+                k = len(meets)
+                if k:
+                    yield batches.batch(_PREFIX_SCHEMA, [t[order[meets]].view(np.int64), meets, [len(t)] * k, [r] * k, [o] * k])
 
     asked = crowd.join(texts.select("row", "bundle", "idx"), "row")
     counted = batches.grouped(batches.grouped(asked, "bundle", send, _PACKED), "bucket", meet, _PACKED)
     one = store.table(batches.grouped(counted, "bundle", prefixes, _PREFIX), "near-prefixes")
-    two = one.select("sets", "token", *(F.col(c).alias(f"{c}2") for c in ("at", "size", "repeats", "row", "root")))
+    two = one.select("token", *(F.col(c).alias(f"{c}2") for c in ("at", "size", "row", "root")))
     left = F.least(F.col("size") - F.col("at"), F.col("size2") - F.col("at2"))
-    enough = left + 1e-6 >= SIMILARITY / (1 + SIMILARITY) * (F.col("size") + F.col("size2"))
-    new = F.expr("row < row2 AND root <> root2 AND (NOT sets1 OR repeats OR repeats2)")  # without repeats, sets are the labelled shingles
-    one = one.withColumnsRenamed({"sets": "sets1", "token": "token1"})
-    met = one.join(two, F.expr("sets1 = sets AND token1 = token") & new & enough)
+    most, least = F.greatest("size", "size2"), F.least("size", "size2")
+    can = (left + 1e-6 >= _least_shared(most)) & (least + 1 + 1e-6 >= SIMILARITY * (most + 1))
+    met = one.join(two, "token").filter(F.expr("row < row2 AND root <> root2") & can)
     return met.select(F.col("row").alias("a"), F.col("row2").alias("b")).distinct()
 
 
@@ -293,8 +338,8 @@ def links(pairs: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
         for _, parts in groups:
             rows = [(s, r, i, b) for b in parts for i, (s, r) in enumerate(zip(b.column("side").to_pylist(), b.column("row").to_pylist(), strict=True))]
             (_, lead, i, b), *members = sorted(rows, key=lambda x: x[:2])
-            one = words(b.column("words")[i].as_py())
-            out = [(lead, r) for _, r, i, b in members if similarity(one, words(b.column("words")[i].as_py())) >= SIMILARITY]
+            one = Text(words(b.column("words")[i].as_py()))
+            out = [(lead, r) for _, r, i, b in members if near(one, Text(words(b.column("words")[i].as_py())))]
             if out:
                 yield batches.batch(schema, [list(c) for c in zip(*out, strict=True)])
 
