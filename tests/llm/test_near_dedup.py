@@ -31,6 +31,20 @@ def linked(a, b):
     return min(len(a), len(b)) >= 5 and abs(len(a) - len(b)) <= most and len(set(a) & set(b)) > 0 and distance(a, b) <= most
 
 
+def trimmed(w, seen_before=16):
+    seen, out = defaultdict(int), []
+    for i, x in enumerate(w):
+        g = tuple(w[i : i + 5])
+        if len(g) < 5 or seen[g] < seen_before:
+            out.append(x)
+        seen[g] += 1
+    return out
+
+
+def both(a, b):
+    return linked(a, b) and linked(trimmed(a), trimmed(b))
+
+
 def grouped(words, link):
     root = list(range(len(words)))
 
@@ -53,7 +67,7 @@ def hashed(words):
 
 def test_near_duplicates(docs):
     plain = rows(docs.select("doc_id", "text"))
-    of = grouped([WORD.findall(r["text"] or "") for r in plain], linked)
+    of = grouped([WORD.findall(r["text"] or "") for r in plain], both)
     groups = defaultdict(list)
     for g, r in zip(of, plain, strict=True):
         groups[g].append(r["doc_id"])
@@ -99,6 +113,15 @@ def test_moved_blocks_do_not_link():
     assert not near_dedup.near(near_dedup.Text(hashed(w)), near_dedup.Text(hashed(moved)))
 
 
+def test_repeated_filler_makes_nothing_similar():
+    own = [[f"{c}{i}" for i in range(60)] for c in "ab"]
+    filler = ["is", "so."] * 200
+    x, y = (near_dedup.Text(hashed(w + filler)) for w in own)
+    assert linked(own[0] + filler, own[1] + filler) and not both(own[0] + filler, own[1] + filler)
+    assert not near_dedup.near(x, y) and near_dedup.near(x, near_dedup.Text(hashed([*own[0], "more", *filler])))
+    assert (near_dedup.trimmed(x.h) == hashed(trimmed(own[0] + filler))).all()
+
+
 def test_a_large_group_of_near_copies_is_one_class(spark):
     rng = random.Random(4)
     base = [f"w{rng.randint(0, 999)}" for _ in range(120)]

@@ -4,18 +4,20 @@
 2. A sketch is SKETCHES numbers. Each orders the text's occurrence-labelled shingles (SHINGLE words, and which of equal ones it is)
    by a hash of its own, takes the LEAST smallest and hashes them in the order that they have in the text, so it is
    sensitive to edits and to order. Texts with a share j of common shingles agree in one number with a chance of about j ** LEAST.
-3. Representatives that share a number are in a bucket. In a bucket, every member is a candidate of its hub, the member with the most
-   copies and whose other numbers are the most widely shared (among near copies of one text, that text); besides, members
-   are dealt at random into chunks of about CHUNK, all pairs of which are candidates, so small buckets are exhausted. This is
-   linear in a bucket's size, whatever it is; a text meets the hubs and chunks of all its numbers.
+3. Representatives that share a number are in a bucket. First candidates are every member and its bucket's hub, the member with the
+   most copies and whose other numbers are the most widely shared (among near copies of one text, that text): linear in a
+   bucket's size, whatever it is, and a text meets the hubs of all its numbers.
 4. Candidates are verified on whole texts by banded alignment of their words: a pair links if at most a share of
-   1 - SIMILARITY of the longer text's words has to be inserted, deleted or replaced. Shared shingles, chained in order within the band,
+   1 - SIMILARITY of the longer text's words has to be inserted, deleted or replaced, both as the texts are and trimmed: without the
+   words of shingles that the text has said REPEATS times before, so filler that is repeated hundreds of times makes
+   nothing similar. Shared shingles, chained in order within the band,
    give an upper bound, shared words a lower one; only between these the band is filled in. Hubs' texts are sent
    once for each GROUP members.
-5. Components of links, over tables in the shared folder, are classes so far. A bucket of more than CHUNK that still holds two of
-   them has pairs that were not tried: its members are *crowded*. Among all crowded texts, every pair of different components that
+5. Components of links, over tables in the shared folder, are classes so far. A bucket that still holds two of them has pairs that
+   were not tried. In one of at most CHUNK texts, all pairs of different components are tried; the members of a larger one are
+   *crowded*. Among all crowded texts, every pair of different components that
    can link is a candidate, by positional prefix filtering, which loses none: an edit touches two pairs of neighbouring words at
-   most, so texts of a and b words that link share at least max(a, b) - 1 - 2 (1 - SIMILARITY) max(a, b) labelled pairs. These are
+   most, so texts of a and b (trimmed) words that link share at least max(a, b) - 1 - 2 (1 - SIMILARITY) max(a, b) labelled pairs. These are
    ordered by the number of crowded texts that have them, rarest first; only the rarest two fifths of a text are joined, so
    boilerplate meets itself only where texts hold nearly nothing else. These candidates are verified like the others.
 6. Components of all links are the classes; a class is named by its smallest doc_id.
@@ -42,21 +44,37 @@ from tilespark.llm.runs import Words
 
 SHINGLE = 5
 SIMILARITY = 0.8
-SKETCHES, LEAST = 32, 3
+SKETCHES, LEAST = 24, 3
 CHUNK = 6
 GROUP = 64
+#: Of a shingle that a text repeats, so many count in its trimmed words.
+REPEATS = 16
 BUCKETS = 4
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = bundles.mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64) * _ODD)
+_FACTORS = bundles.mixed(~_SEEDS) | np.uint64(1)
 
 
-def labelled(shingles: np.ndarray) -> np.ndarray:
-    """Shingles with the number of equal ones before them mixed in."""
+def _nth(shingles: np.ndarray) -> np.ndarray:
+    """How many equal ones are before each shingle."""
     order = np.argsort(shingles, kind="stable")
     start, size = bundles.runs_of(shingles[order])
     nth = np.empty(len(shingles), np.uint64)
     nth[order] = np.arange(len(shingles)) - np.repeat(start, size)
-    return bundles.mixed(shingles + nth * _ODD)
+    return nth
+
+
+def labelled(shingles: np.ndarray) -> np.ndarray:
+    """Shingles with the number of equal ones before them mixed in."""
+    return bundles.mixed(shingles + _nth(shingles) * _ODD)
+
+
+def trimmed(h: np.ndarray) -> np.ndarray:
+    """A text's words without those that begin a shingle said REPEATS times before."""
+    nth = _nth(bundles.rolling(h, SHINGLE, 4))
+    if not len(nth) or nth.max() < REPEATS:
+        return h
+    return h[np.append(nth < REPEATS, np.ones(SHINGLE - 1, bool))]
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
@@ -64,7 +82,7 @@ def sketch(h: np.ndarray) -> np.ndarray:
     s = labelled(bundles.rolling(h, SHINGLE, 4))
     if not len(s):
         return np.zeros(0, np.uint64)
-    return _hashed(_SEEDS, s[_least(bundles.mixed(s[None, :] ^ _SEEDS[:, None]))])
+    return _hashed(_SEEDS, s[_least((s[None, :] ^ _SEEDS[:, None]) * _FACTORS[:, None])])
 
 
 def _least(ranked: np.ndarray) -> np.ndarray:
@@ -157,7 +175,14 @@ def edits_allowed(a: int, b: int) -> int:
 
 
 def near(x: Text, y: Text) -> bool:
-    """Whether the texts link."""
+    """Whether the texts link: as they are, and trimmed."""
+    if not _aligned(x, y):
+        return False
+    a, b = trimmed(x.h), trimmed(y.h)
+    return a is x.h and b is y.h or _aligned(Text(a), Text(b))
+
+
+def _aligned(x: Text, y: Text) -> bool:
     most = edits_allowed(len(x.h), len(y.h))
     if abs(len(x.h) - len(y.h)) > most or min(len(x.h), len(y.h)) < SHINGLE:
         return len(x.h) == len(y.h) and bool((x.h == y.h).all())
@@ -197,26 +222,32 @@ def buckets(reps: DataFrame) -> DataFrame:
     return store.table(bands.join(many, ["band", "value"]), "near-bands")  # texts alone in all buckets are gone
 
 
-def candidates(bands: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of rows: hubs and chunks."""
-    # half of the numbers mostly repeat the other half; a text of many copies is likely what near copies were made from
-    spread = bands.groupBy("row").agg((F.sum(F.log2(F.least("n", F.lit(64)))) / 2 + 8 * F.log2(F.max("copies"))).alias("spread"))
-    bands = bands.join(spread, "row")
-    hub = bands.groupBy("band", "value").agg(F.max(F.struct("spread", "row"))["row"].alias("hub"))
-    starred = bands.select("band", "value", "row").join(hub, ["band", "value"]).select(F.least("row", "hub").alias("a"), F.greatest("row", "hub").alias("b"))
-    chunk = F.pmod(F.xxhash64("row", "band"), F.ceil(F.col("n") / CHUNK))
-    dealt = bands.select("band", "value", "row", chunk.alias("chunk"))
-    other = dealt.withColumnRenamed("row", "other")
-    paired = dealt.join(other, ["band", "value", "chunk"]).filter("row < other").select(F.col("row").alias("a"), F.col("other").alias("b"))
-    return starred.filter("a <> b").unionByName(paired).distinct()
+def hubs(bands: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of rows: members and hubs."""
+    # a text of many copies is likely what near copies were made from
+    spread = bands.groupBy("row").agg((F.sum(F.log2(F.least("n", F.lit(64)))) + 8 * F.log2(F.max("copies"))).alias("spread"))
+    hub = bands.join(spread, "row").groupBy("band", "value").agg(F.max(F.struct("spread", "row"))["row"].alias("hub"))
+    starred = bands.select("band", "value", "row").join(hub, ["band", "value"])
+    return starred.select(F.least("row", "hub").alias("a"), F.greatest("row", "hub").alias("b")).filter("a <> b").distinct()
+
+
+def still_open(bands: DataFrame, found: DataFrame) -> DataFrame:
+    """A table of band, value, row, n, root of the buckets that links have not made one component."""
+    placed = bands.select("band", "value", "row", "n").join(found.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    open_ = placed.groupBy("band", "value").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
+    return store.table(placed.join(open_.select("band", "value"), ["band", "value"], "left_semi"), "near-open")
+
+
+def small(opened: DataFrame) -> DataFrame:
+    """All pairs (a, b) of different components in buckets of at most CHUNK texts."""
+    one = opened.filter(F.col("n") <= CHUNK)
+    two = one.select("band", "value", F.col("row").alias("b"), F.col("root").alias("other"))
+    return one.join(two, ["band", "value"]).filter("row < b AND root <> other").select(F.col("row").alias("a"), "b").distinct()
 
 
-def crowded(bands: DataFrame, found: DataFrame) -> DataFrame:
-    """A table of row, root of the members of large buckets that links have not made one component."""
-    large = bands.filter(F.col("n") > CHUNK).select("band", "value", "row")
-    large = large.join(found.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-    open_ = large.groupBy("band", "value").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
-    return store.table(large.join(open_.select("band", "value"), ["band", "value"], "left_semi").select("row", "root").distinct(), "near-crowded")
+def crowded(opened: DataFrame) -> DataFrame:
+    """A table of row, root of the members of larger buckets."""
+    return store.table(opened.filter(F.col("n") > CHUNK).select("row", "root").distinct(), "near-crowded")
 
 
 _PACKED = "bucket int, bundle string, blob binary"
@@ -239,7 +270,7 @@ def rest(crowd: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
         found = bundles.read(folder, name).column("text").cast(pa.binary()).take(pa.array(idx)).to_pylist()
         words = Words([t or b"" for t in found])
         h, cut = words.hashes(), np.append(0, np.cumsum(words.sizes)).tolist()
-        return (labelled(bundles.rolling(h[a:b], 2, 5)) for a, b in zip(cut[:-1], cut[1:], strict=True))
+        return (labelled(bundles.rolling(trimmed(h[a:b]), 2, 5)) for a, b in zip(cut[:-1], cut[1:], strict=True))
 
     def send(groups):
         for name, parts in groups:
@@ -355,11 +386,14 @@ def _classes(docs: DataFrame, folder: str) -> DataFrame:
     copies = store.table(copies, "near-copies")
     reps = texts.join(copies.select(F.col("rep").alias("row"), "copies"), "row").select("row", "copies", "sketch")
     bands = buckets(reps)
-    found = components(links(candidates(bands), texts, folder))
-    crowd = crowded(bands, found)
+    found = components(links(hubs(bands), texts, folder))
+    opened = still_open(bands, found)
+    crowd = crowded(opened)
+    pairs = small(opened)
     if not crowd.isEmpty():
-        more = links(rest(crowd, texts, folder), texts, folder)
-        found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+        pairs = pairs.unionByName(rest(crowd, texts, folder)).distinct()
+    more = links(pairs, texts, folder)
+    found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
     copies = copies.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     best = copies.groupBy("root").agg(F.min("least").alias("best"))
     copies = copies.join(best, "root").select("content", "best")
