@@ -371,3 +371,54 @@ def test_empty_tables(spark, nothing, labels, tmp_path):
     assert quality.assess(nothing, labels).count() == quality.keep_good(nothing, labels.limit(0)).count() == 0
     spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert [r["conv_id"] for r in rows(chat.op8_chat_format(spark, str(tmp_path)))] == [-7]
+
+
+# automata
+
+
+def shard(texts, splits=1, n=1):
+    """Windows that go, by document, from parcels of one document each, all in this process."""
+    windows = [phrases.Windows([t.encode()]) for t in texts]
+    anchor, often, twice = phrases._merged(*(np.concatenate(c) for c in zip(*(w.elected() for w in windows), strict=True)))
+    anchor, parts = anchor[twice], np.full(int(twice.sum()), splits)
+    sent, places = defaultdict(list), []
+    for i, w in enumerate(windows):
+        p = phrases.Parcel()
+        p.add(0, w, np.array([i]), anchor, parts, n)
+        where, rows_ = p.close()
+        places.append(where)
+        for bucket, blob, text in rows_:
+            sent[bucket].append((i, *phrases.bundles.unpack(blob, "u4", "u4", "i8", "i8"), phrases.bundles.unpack(text, "u1")[0].tobytes()))
+    goes = set()
+    for got in sent.values():
+        number, size, least, most = (np.concatenate(c) for c in list(zip(*got, strict=True))[1:5])
+        of = np.repeat([g[0] for g in got], [len(g[1]) for g in got])
+        for passage, offset, _ in zip(*phrases.recurring([g[5] for g in got], size.astype(np.int64), least, most), strict=True):
+            where = places[of[passage]]
+            goes |= {(int(of[passage]), int(s + offset)) for s in where[2][where[0] == number[passage]].tolist()}
+    return goes
+
+
+def wanted(texts):
+    first = {}
+    at = [(i, j, tuple(t.split()[j : j + 13])) for i, t in enumerate(texts) for j in range(len(t.split()) - 12)]
+    for i, _, g in at:
+        first[g] = min(first.get(g, i), i)
+    return {(i, j) for i, j, g in at if first[g] < i}
+
+
+def test_automata_locate_every_recurring_window(monkeypatch):
+    import random
+
+    rng = random.Random(9)
+    say = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randint(0, 9)) for _ in range(n))
+    common = [say(30), say(60)]
+    texts = [" ".join([say(rng.randint(0, 40)), rng.choice(common), say(rng.randint(0, 20))]) for _ in range(30)]
+    want = wanted(texts)
+    assert len(want) > 300
+    assert shard(texts) == want == shard(texts, n=7) == shard(texts, splits=5, n=11)
+    automaton = phrases.located
+    monkeypatch.setattr(phrases, "located", lambda line, many: automaton(line, many[1:]))
+    assert shard(texts) < want  # windows of the phrase that the automaton lacks are not found
+    monkeypatch.setattr(phrases, "located", lambda line, many: automaton(line, []))
+    assert not shard(texts)
