@@ -139,10 +139,12 @@ class Parcel:
         new = np.append(True, (np.diff(start) > 1) | (bucket[1:] != bucket[:-1]) | (doc[1:] != doc[:-1]))
         first = np.flatnonzero(new)
         size = np.diff(np.append(first, len(start))) + WINDOW - 1
-        put = self.number.setdefault
-        spelled = np.fromiter((put(x, len(self.number)) for x in w.words.distinct), np.int32, len(w.words.distinct))
         begin = start[first]
-        self.held.append((bucket[first], size, ids[doc[first]], np.full(len(first), bundle, np.uint32), begin.astype(np.uint32), spelled[w.words.index[_ranges(begin, size)]]))
+        said = w.words.index[_ranges(begin, size)]
+        used = np.flatnonzero(np.bincount(said, minlength=len(w.words.distinct)))
+        put, spelled = self.number.setdefault, np.zeros(len(w.words.distinct), np.int32)
+        spelled[used] = [put(w.words.distinct[i], len(self.number)) for i in used.tolist()]
+        self.held.append((bucket[first], size, ids[doc[first]], np.full(len(first), bundle, np.uint32), begin.astype(np.uint32), spelled[said]))
 
     def close(self) -> tuple[list[np.ndarray], list[tuple]]:
         """The places of all passages (passage, bundle, start, id), and rows (bucket, arrays, words) of distinct passages."""
