@@ -126,24 +126,38 @@ def test_packing(docs, plain):
     assert used / (2048 * len(seqs)) > 0.5  # three small partitions
 
 
-@pytest.mark.parametrize("n", [1, 2, 63, 64, 65, 682, 683, 1023, 1024, 1025, 1500, 2047, 2048, 2049, 5000])
-def test_cuts(n):
-    c = packing.cuts(n)
-    assert sum(c) == n and min(c) > 0 and len(c) <= n // 2048 + 3
-
-
-def test_little_padding():
+@pytest.mark.parametrize("longest", [300, 1500, 2048, 9000])
+def test_packer(longest):
+    """Nothing is lost, little is padding, and documents that fit are cut only where classes can't place them."""
     rng = np.random.default_rng(3)
-    p, done, total = packing.Packer(), [], 0
-    for i in range(3000):
-        n = int(rng.integers(1, 4000))
-        total += n
-        for c in packing.cuts(n):
-            if s := p.add(c, i):
-                done.append(s)
+    lengths = [int(rng.integers(1, longest + 1)) for _ in range(3000)] + [1, 2048, 2047, 2049]
+    p, done = packing.Packer(), []
+    for i, n in enumerate(lengths):
+        done += p.add(n, i)
     done += p.rest()
-    assert sum(x[0] for s in done for x in s) == total
-    assert total / (2048 * len(done)) > 0.98
+    pieces = defaultdict(list)
+    for s in done:
+        assert 0 < sum(n for _, _, n in s) <= 2048
+        for i, start, n in s:
+            pieces[i].append((start, n))
+    for i, n in enumerate(lengths):
+        at = 0
+        for start, k in sorted(pieces[i]):
+            assert start == at and k > 0
+            at += k
+        assert at == n
+    assert sum(lengths) / (2048 * len(done)) > 0.985
+    fit = [i for i, n in enumerate(lengths) if n <= 2048]
+    assert sum(len(pieces[i]) > 1 for i in fit) < {300: 0.05, 1500: 0.3, 2048: 0.3, 9000: 0.1}[longest] * len(fit)
+    again = packing.Packer()
+    assert [s for i, n in enumerate(lengths) for s in again.add(n, i)] + again.rest() == done
+
+
+def test_packer_ends_early():
+    for lengths in ([], [5], [2048], [5000], [1500, 1500], [700, 700, 700, 1300]):
+        p = packing.Packer()
+        done = [s for i, n in enumerate(lengths) for s in p.add(n, i)] + p.rest()
+        assert sum(n for s in done for _, _, n in s) == sum(lengths) and len(done) == -(-sum(lengths) // 2048)
 
 
 # language model
@@ -223,22 +237,42 @@ def test_exact_binomial(spark, n, k):
 
 
 def test_thresholds_hold_their_risk(spark):
-    """Good documents have few symbols, bad ones many: a cutoff is admitted, and it rejects at most ALPHA of the good."""
-    n = 6000
-    rows_ = [(i, "en", 0.30 if i % 10 == 0 else 0.0 if i % 500 else 0.06, i % 10 != 0) for i in range(n)]
-    f = spark.createDataFrame(rows_, "doc_id long, __stratum string, __symbol_share double, good boolean")
-    for s in quality.SCORES:
-        if s != "symbol_share":
-            f = f.selectExpr("*", f"0.0D AS __{s}")
-    f = f.selectExpr("*", "false AS __base_failed")
+    """Good documents have little risk, bad ones much: cutoffs are admitted by stratum, and they reject at most ALPHA of the good."""
+    made = []
+    for i in range(9000):
+        lang = "en" if i % 3 else "fr" if i % 2 else None if i % 4 else f"x{i % 60}"
+        good = i % 10 != 0
+        made.append((i, lang, (1.4 if lang == "fr" else 0.5) * (i % 100 < 97) + 0.45 if good else 2.4, good, False))
+    f = spark.createDataFrame(made, "doc_id long, __lang string, __risk double, good boolean, __base_failed boolean")
     labels = f.selectExpr("doc_id", "CAST(good AS int) quality")
+    t = {r["__stratum"]: r["__cut"] for r in rows(quality.thresholds(f, labels))}
+    assert set(t) == {"len", "lfr", "~"} and t["lfr"] == 2.0 and t["len"] == 1.0 == t["~"]
     j = quality.judged(f, labels)
-    lost = j.filter("good AND NOT __kept").count() / j.filter("good").count()
-    assert lost <= quality.ALPHA and j.filter("NOT good AND __kept").count() == 0
+    for lang in ("en", "fr", None):
+        part = j.filter(f.__getattr__("__lang").eqNullSafe(lang)) if lang else j.filter("__lang IS NULL OR __lang LIKE 'x%'")
+        assert part.filter("good AND NOT __kept").count() <= quality.ALPHA * part.filter("good").count()
+        assert part.filter("NOT good AND __kept").count() == 0
     few = quality.judged(f.filter("doc_id < 100"), labels)
     assert few.filter("NOT __kept").count() == 0
 
 
+def test_names_never_clash(spark, labels):
+    """Columns with the names that the operators use inside come through."""
+    odd = ["__text", "__size", "__src", "__key", "__row", "__risk", "__lang", "__kept", "__n_words", "__cell", "__first", "__target", "a.b"]
+    made = [(i, f"words of {i} " * (i + 1) + " ".join(f"w{i}x{j}" for j in range(30)), "en", "s", *[f"{c}{i}" for c in odd]) for i in range(12)]
+    d = spark.createDataFrame(made, ["doc_id", "text", "lang", "source", *odd])
+    got = rows(quality.keep_good(d, labels))
+    assert got and all(r[c] == f"{c}{r['doc_id']}" for r in got for c in odd) and all(r["text"].startswith(f"words of {r['doc_id']} ") for r in got)
+    mixed = mixing.mix_documents(d)
+    assert mixed.columns == d.columns and all(r[c] == f"{c}{r['doc_id']}" for r in rows(mixed) for c in odd)
+
+
+def test_equal_keys_and_sizes_are_told_apart(spark):
+    made = [(None, "s", f"w{i} w{i}") for i in range(10)]
+    one, two = (rows(mixing.mix_documents(spark.createDataFrame(x, "doc_id long, source string, text string").coalesce(1), share=0.75)) for x in (made, made[::-1]))
+    same(one, two)
+
+
 # mixing
 
 

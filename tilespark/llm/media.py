@@ -1,10 +1,11 @@
 """Media columns: payloads as grey images in tar shards, addressed by content.
 
 A text's UTF-8 bytes, with zeros up to a positive multiple of 64, are the samples of a 64 pixel wide, 8-bit grey PNG.  Each
-task writes tar shards of its own into the shared folder; an entry's name is its payload's SHA-256, and a shard
+task writes tar shards into the shared folder, under a name of the attempt and then moved to that of the partition, a counter and a
+digest of the entries: a task that runs again gives the same shards, and never touches those of one that met its rows in another order; an entry's name is its payload's SHA-256, and a shard
 holds a payload once however often it occurs.  Rows carry digest, shard, offset and length, and nothing else of
 the payload travels: ``headers`` fills width, height and depth from a range read of 33 bytes, ``contents`` reads
-whole entries and computes digests and a feature.  No shuffle moves media; a shard written by a lost attempt is never named.
+whole entries and computes digests and a feature.  Bytes read back must have the digest that they are addressed by. No shuffle moves media.
 
 Feature: sixteen hex digits, one for each sixteenth of the byte range (its share of the samples, in sixteenths), a colon and
 sixteen more: bit j tells whether column j is brighter than the mean of all.
@@ -31,7 +32,8 @@ WIDTH = 64
 #: Bytes of media after which a task begins another shard.
 SHARD = 64 << 20
 #: Reading tasks are cut at so many bytes of a shard.
-CELL = 4 << 20
+CELL = 1 << 20
+TASK = 32 << 20
 HEADER = 33
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
@@ -99,40 +101,52 @@ def write_shards(docs: DataFrame, folder: str) -> DataFrame:
         import uuid
 
         from pyarrow import fs
+        from pyspark import TaskContext
 
         where, top = fs.FileSystem.from_uri(folder)
-        out, name, at, known = None, "", 0, {}
+        part, number = TaskContext.get().partitionId(), 0
+        out, attempt, at, known, entries, rows = None, "", 0, {}, hashlib.sha256(), []
+
+        def close() -> pa.RecordBatch:
+            """Ends the shard and gives its rows their name."""
+            nonlocal out, number, rows
+            out.write(bytes(1024))
+            out.close()
+            name = f"{part:06d}-{number:06d}-{entries.hexdigest()[:16]}.tar"
+            where.move(attempt, f"{top}/{name}")
+            doc_id, n, digest, offset, length = (list(c) for c in zip(*rows, strict=True))
+            out, number, rows = None, number + 1, []
+            return batches.batch(schema, [doc_id, n, digest, [name] * len(n), offset, length])
+
         for b in batches.pieces(it, "text"):
-            rows = []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), batches.texts(b), strict=True):
                 data = payload(text)
                 digest = hashlib.sha256(data).hexdigest()
                 if out is None:
                     where.create_dir(top, recursive=True)
-                    name = f"{uuid.uuid4().hex}.tar"
-                    out, at, known = where.open_output_stream(f"{top}/{name}"), 0, {}
+                    attempt = f"{top}/.{uuid.uuid4().hex}"
+                    out, at, known, entries = where.open_output_stream(attempt), 0, {}, hashlib.sha256()
                 if digest not in known:
                     image = encode(data)
                     block = tar_header(f"{digest}.png", len(image)) + image + bytes(-len(image) % 512)
                     out.write(block)
+                    entries.update(digest.encode())
                     known[digest] = (at + 512, len(image))
                     at += len(block)
-                rows.append((doc_id, len(text.encode()), digest, name, *known[digest]))
+                rows.append((doc_id, len(text.encode()), digest, *known[digest]))
                 if at >= SHARD:
-                    out.write(bytes(1024))
-                    out.close()
-                    out = None
-            yield batches.batch(schema, [list(c) for c in zip(*rows, strict=True)])
+                    yield close()
         if out is not None:
-            out.write(bytes(1024))
-            out.close()
+            yield close()
 
     return batches.mapped(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_bytes long, digest string, shard string, offset long, length long")
 
 
 def _by_entry(rows: DataFrame) -> DataFrame:
-    """Rows of an entry adjacent, a shard's entries in order, tasks cut at CELL bytes."""
-    return rows.repartition("shard", F.floor(F.col("offset") / CELL)).sortWithinPartitions("shard", "offset")
+    """Rows of an entry adjacent, a shard's entries in order, in as many tasks as the media's bytes need: the rows' own are few."""
+    total = rows.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    n = max(rows.sparkSession.sparkContext.defaultParallelism, -(-total // TASK))
+    return rows.repartition(n, "shard", F.floor(F.col("offset") / CELL)).sortWithinPartitions("shard", "offset")
 
 
 def _reading(rows: DataFrame, folder: str, names: list[tuple[str, str]], whole: bool, made) -> DataFrame:
@@ -149,12 +163,16 @@ def _reading(rows: DataFrame, folder: str, names: list[tuple[str, str]], whole:
             out = []
             for s, at, n in zip(*(b.column(c).to_pylist() for c in ("shard", "offset", "length")), strict=True):
                 if s != shard:
+                    if file is not None:
+                        file.close()
                     shard, file = s, where.open_input_file(f"{top}/{s}")
                 if (s, at) != last:
                     last, got = (s, at), made(file.read_at(n if whole else min(n, HEADER), at))
                 out.append(got)
             new = [pa.array(list(c), type=kinds[t]) for c, (_, t) in zip(zip(*out, strict=True), names, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *(n for n, _ in names)])
+        if file is not None:
+            file.close()
 
     return batches.mapped(rows, run, ddl)
 
@@ -179,13 +197,12 @@ def media(docs: DataFrame) -> DataFrame:
     folder = store.fresh(spark, "media")
     rows = store.table(write_shards(docs, folder), "media-rows")
     full = contents(headers(_by_entry(rows), folder), folder)
-    return full.select(
+    read = F.when(F.col("payload_sha256") == F.col("digest"), F.col("payload_sha256")).otherwise(F.raise_error(F.concat(F.lit("damaged entry "), "digest")))
+    return full.withColumn("payload_sha256", read).select(
         "doc_id", "n_bytes", (F.col("width") * F.col("height")).alias("payload_bytes"), "payload_sha256", "tail_crc32",
         F.col("length").alias("media_bytes"), "media_sha256", "feature", "digest", "shard", "offset",
     )
 
 
 def op2_media_columns(spark, sf_dir: str) -> DataFrame:
-    """digest, shard and offset follow the columns asked for only in ``media``: shard names differ between runs."""
-    m = media(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return m.drop("digest", "shard", "offset")
+    return media(spark.read.parquet(f"{sf_dir}/documents.parquet"))

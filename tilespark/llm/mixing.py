@@ -1,15 +1,14 @@
 """Mixing sources to target weights.
 
 Every document gets a hash-random key.  Within a source, documents are ordered by key; the key range is
-cut into CELLS fixed ranges, so a hot source is spread over thousands of groups and no sampling of ranges is
-needed.  Word counts are summed per cell (combined before the shuffle), a prefix over at most CELLS rows a
-source gives each cell's start, and a window inside the cell gives each document's.  A source's budget cuts
+cut into fixed ranges (16 ** digits, as many digits as the rows need for about ROWS a cell), so a hot source is spread over many
+groups and no sampling of ranges is needed.  Word counts are summed per cell (combined before the shuffle), a prefix over a source's cells gives each cell's start, and a window inside the cell gives each document's.  A source's budget cuts
 this line exactly; what exceeds the source's size goes round a second time.
 
 Null sources form one source, last in order; null texts have size 0 and are never taken; null ids are keyed
-as an empty id.  Repeated rows are separate documents; where key and size tie, their order has no effect on
-the result as a multiset.  An empty table gives an empty result.  Further columns are ignored by ``mix`` and
-kept by ``mix_documents``.
+as an empty id.  Repeated rows are separate documents. Ties of key, id and size are broken by a hash of the text, so only rows
+with equal texts are alike, and their order has no effect on the result.  An empty table gives an empty result.  Further columns, whatever
+their names, are ignored by ``mix`` and kept by ``mix_documents``, which carries the row as one struct. Targets need one row for each source in a task.
 """
 
 from __future__ import annotations
@@ -23,8 +22,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
 SALT = "mix"
-#: Hex digits of the key that name its cell: 16**3 cells.
-CELL_DIGITS = 3
+#: Rows of a cell, about, if one source had all.
+ROWS = 4096
 
 
 def _key(doc_id: Column) -> Column:
@@ -50,12 +49,25 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     return s.withColumn("target", F.least("__cap", level * F.col("__w"))).select("__src", "source_size", "target")
 
 
-def _placed(docs: DataFrame) -> DataFrame:
-    """docs with __src, __size, __key and __cell."""
-    keyed = docs.withColumn("__src", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("~")))
+def digits(rows: int) -> int:
+    """Hex digits of the key that name a cell."""
+    n = 1
+    while 16**n * ROWS < rows and n < 15:
+        n += 1
+    return n
+
+
+def _placed(docs: DataFrame, carried: Column) -> DataFrame:
+    """__row (what is carried), doc_id, __src, __size, __tie and __key."""
     # "~" follows "s": the null source comes last
-    keyed = keyed.withColumn("__size", n_words(F.col("text"))).withColumn("__key", _key(F.col("doc_id")))
-    return keyed.withColumn("__cell", F.substring("__key", 1, CELL_DIGITS))
+    source = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("~"))
+    return docs.select(
+        carried.alias("__row"), "doc_id", source.alias("__src"), n_words(F.col("text")).alias("__size"), F.xxhash64("text").alias("__tie"), _key(F.col("doc_id")).alias("__key"),
+    )
+
+
+def _celled(placed: DataFrame, n: int) -> DataFrame:
+    return placed.withColumn("__cell", F.substring("__key", 1, n))
 
 
 def _cells(thin: DataFrame, weights, share: float, most: int) -> DataFrame:
@@ -71,7 +83,7 @@ def _cells(thin: DataFrame, weights, share: float, most: int) -> DataFrame:
 
 def _taken(placed: DataFrame, cells: DataFrame) -> DataFrame:
     """Adds __first and __second: words taken in the first and the second epoch."""
-    at = Window.partitionBy("__src", "__cell").orderBy("__key", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, -1)
+    at = Window.partitionBy("__src", "__cell").orderBy("__key", "doc_id", "__size", "__tie").rowsBetween(Window.unboundedPreceding, -1)
     d = placed.join(cells, ["__src", "__cell"])
     d = d.withColumn("__before", F.col("__start") + F.coalesce(F.sum("__size").over(at), F.lit(0)))
     budget, zero = F.floor("__target"), F.lit(0).cast("long")
@@ -83,8 +95,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     """doc_id, size, source_size, target, taken for every document; no text leaves the scan."""
     from tilespark.llm import store
 
-    thin = _placed(docs.select("doc_id", "source", "text"))
-    thin = store.table(thin.select("doc_id", "__src", "__size", "__key", "__cell"), "mix")  # texts are read once
+    thin = store.table(_placed(docs, F.lit(0)), "mix")  # texts are read once
+    thin = _celled(thin, digits(thin.count()))
     d = _taken(thin, _cells(thin, weights, share, most))
     return d.select("doc_id", F.col("__size").alias("size"), F.col("__sum").alias("source_size"), F.col("__target").alias("target"), (F.col("__first") + F.col("__second")).alias("taken"))
 
@@ -92,17 +104,18 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
 def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each epoch that takes a document; the one document
     where the budget ends is cut after its share of words (joined by single spaces; n_chars follows)."""
-    kept = docs.columns
-    placed = _placed(docs)
+    placed = _celled(_placed(docs, F.struct("*")), digits(docs.count()))
     thin = placed.select("__src", "__cell", "__size")
     d = _taken(placed, _cells(thin, weights, share, most))
     d = d.withColumn("__part", F.explode(F.filter(F.array("__first", "__second"), lambda x: x > 0)))
     whole = F.col("__part") == F.col("__size")
-    some = F.array_join(F.slice(words(F.col("text")), 1, F.col("__part").cast("int")), " ")
-    text = F.when(whole, F.col("text")).otherwise(some)
-    out = d.withColumn("__text", text)
-    chars = {"n_chars": F.when(whole, F.col("n_chars")).otherwise(F.length("__text").cast("long"))} if "n_chars" in kept else {}
-    return out.select(*[F.col("__text").alias("text") if c == "text" else chars[c].alias(c) if c in chars else F.col(c) for c in kept])
+    some = F.array_join(F.slice(words(F.col("__row.text")), 1, F.col("__part").cast("int")), " ")
+    out = d.withColumn("__text", F.when(whole, F.col("__row.text")).otherwise(some))
+    new = {"text": F.col("__text")}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        new["n_chars"] = F.when(whole, F.col("__row.n_chars")).otherwise(F.length("__text").cast(kind))
+    return out.select(*[new[c].alias(c) if c in new else F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op7_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -1,16 +1,17 @@
 """Harmonic packing of tokenised documents into sequences of a fixed capacity.
 
-A document's ids are cut into full sequences and a tail; the tail is cut at most twice, each time at the largest
-reciprocal of the capacity (capacity // k) that fits, so most pieces have exactly such a length.  A piece of length n is in class
-k = capacity // n and a bin of class k takes exactly k pieces, whatever they are: every worker fills its bins
-alone, without a shuffle, in one pass over its partition.  When the partition ends, the pieces of the bins that are
-still open (fewer than k in each class) are put together by first fit decreasing.
+A document of n ids, n at most the capacity, stays whole: it is in class k = capacity // n, and a bin of class k takes exactly k
+documents, whatever they are, so every worker fills its bins alone, without a shuffle, in one pass over its partition. What the classes
+can't place is cut: documents longer than a sequence are *fillers*, whose ids fill the room that full bins leave (from LEAST on; less is padding) and,
+beyond STOCK ids at hand, sequences of their own. Where more than WAIT full bins wait for fillers, the next document is one too.
+When the partition ends, documents of bins that are still open (fewer than k in each class) go into the rooms that are left by first fit
+decreasing, then fillers do, and at last the emptiest sequences' documents are cut to fill the others.
 
 A sequence's id is the partition's number and a counter, so a task that runs again gives the same rows.
 
 Ids are those of ``tokenizers`` with the vocabulary's default handling of special strings.  They are looked up by run (see
-``runs``): the splitter's pattern never reaches across a run's ends.  Runs that the bounded memo lacks are encoded in one
-call by ``tiktoken`` with the same vocabulary as ranks, which tests hold against ``tokenizers``.
+``runs``): the splitter's pattern never reaches across a run's ends.  Runs that the bounded memo lacks are encoded by the library in
+batches.
 
 Null and empty texts have the one closing id; ids may be null or repeated (each row is packed by itself); an empty
 table gives no rows; other columns are ignored.
@@ -20,9 +21,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,32 +31,23 @@ from pyspark.sql import DataFrame
 
 from tilespark.llm import batches
 from tilespark.llm.runs import Runs
-from tilespark.llm.tokens import WHITE
+from tilespark.llm.tokens import WHITE, tokenizer
 
 CAPACITY = 2048
 END = 1
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 MEMO = 400_000
+VOCABULARY = "byte_bpe_50k.json"
+#: Ids of a piece that is worth its place, ids of fillers at hand, and full bins that wait for fillers.
+LEAST, STOCK, WAIT = 32, 64 * CAPACITY, 32
 _RUN = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 
-@lru_cache(1)
-def _encoding(path: str | None):
-    import base64
-
-    import public_tokenizers
-    import tiktoken
-
-    with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: SPECIAL_ID})
-
-
 class Encoder:
     """Ids of many texts at once."""
 
     def __init__(self, path: str | None = None, memo: int = MEMO):
-        self.enc, self.most = _encoding(path), memo
+        self.tok, self.most = tokenizer(path, VOCABULARY), memo
         self._clear()
 
     def _clear(self) -> None:
@@ -64,10 +56,11 @@ class Encoder:
         self.flat = np.array([SPECIAL_ID], np.uint32)
 
     def _learn(self, new: list[bytes]) -> None:
-        ids = self.enc.encode_to_numpy(SPECIAL.encode().join(new).decode(), allowed_special="all").astype(np.uint32)
-        ends = np.append(np.flatnonzero(ids == SPECIAL_ID), len(ids))
-        size = np.diff(ends, prepend=-1) - 1
-        keep = ids[ids != SPECIAL_ID]
+        got = []
+        for i in range(0, len(new), 4096):
+            got += [e.ids for e in self.tok.encode_batch_fast([r.decode() for r in new[i : i + 4096]], add_special_tokens=False)]
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        keep = np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))
         first = len(self.flat) + np.cumsum(size) - size
         self.memo.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
         self.first, self.size, self.flat = np.append(self.first, first), np.append(self.size, size), np.append(self.flat, keep)
@@ -104,49 +97,96 @@ class Encoder:
         return self.flat[np.repeat(self.first[at] - upto[:-1], size) + np.arange(upto[-1])], upto
 
 
-def cuts(n: int, capacity: int = CAPACITY) -> list[int]:
-    """Lengths of a document's pieces, in order."""
-    out, rest = [capacity] * (n // capacity), n % capacity
-    for _ in range(2):
-        if rest:
-            part = capacity // -(-capacity // rest)
-            out.append(part)
-            rest -= part
-    return out + [rest] * (rest > 0)
-
-
 class Packer:
-    """Bins of one worker. Items are (length, row); finished sequences are lists of items."""
-
-    def __init__(self, capacity: int = CAPACITY):
-        self.capacity, self.open = capacity, defaultdict(list)
+    """Bins of one worker. Sequences are lists of pieces (document, start, length)."""
+
+    def __init__(self, capacity: int = CAPACITY, least: int = LEAST, stock: int = STOCK, wait: int = WAIT):
+        self.capacity, self.least, self.most, self.wait = capacity, min(least, capacity), stock, wait
+        self.open: dict[int, list] = defaultdict(list)
+        self.waiting: list[list] = []  # [room, pieces]
+        self.fillers: deque = deque()  # [document, start, ids left]
+        self.stock = 0
+
+    def add(self, n: int, document) -> Iterator[list]:
+        """Takes a document of n ids and gives sequences that are full by it."""
+        if n > self.capacity or len(self.waiting) > self.wait:
+            self.fillers.append([document, 0, n])
+            self.stock += n
+        else:
+            k = self.capacity // n
+            bin_ = self.open[k]
+            bin_.append((document, 0, n))
+            if len(bin_) == k:
+                del self.open[k]
+                self.waiting.append([self.capacity - sum(p[2] for p in bin_), bin_])
+        yield from self._fill()
+        while self.stock > self.most:
+            yield self._cut(self.capacity)
+
+    def _cut(self, room: int) -> list:
+        """Pieces of fillers, room ids in all."""
+        out = []
+        while room:
+            document, start, left = first = self.fillers[0]
+            n = min(room, left)
+            out.append((document, start, n))
+            first[1:] = start + n, left - n
+            if left == n:
+                self.fillers.popleft()
+            room -= n
+            self.stock -= n
+        return out
 
-    def add(self, length: int, row) -> list | None:
-        k = self.capacity // length
-        bin_ = self.open[k]
-        bin_.append((length, row))
-        if len(bin_) == k:
-            del self.open[k]
-            return bin_
-        return None
+    def _fill(self) -> Iterator[list]:
+        still = []
+        for bin_ in self.waiting:
+            room, pieces = bin_
+            if room < self.least:
+                yield pieces
+            elif self.stock >= room:
+                yield pieces + self._cut(room)
+            else:
+                still.append(bin_)
+        self.waiting = still
 
     def rest(self) -> list[list]:
-        """What the open bins hold, by first fit decreasing; bins that nothing more fits into leave the search."""
-        items = sorted((x for b in self.open.values() for x in b), key=lambda x: -x[0])
-        done, bins = [], []  # bins: [room, items]
-        for x in items:
+        """What is left, when nothing more comes."""
+        done: list[list] = []
+        bins = self.waiting
+        whole = sorted((p for b in self.open.values() for p in b), key=lambda p: -p[2])
+        self.open.clear()
+        for p in whole:  # first fit decreasing; bins that nothing more fits into leave the search
             for b in bins:
-                if b[0] >= x[0]:
-                    b[0] -= x[0]
-                    b[1].append(x)
+                if b[0] >= p[2]:
+                    b[0] -= p[2]
+                    b[1].append(p)
                     break
             else:
-                bins.append([self.capacity - x[0], [x]])
-            least = items[-1][0]
-            if any(b[0] < least for b in bins):
-                done += [b[1] for b in bins if b[0] < least]
-                bins = [b for b in bins if b[0] >= least]
-        self.open.clear()
+                bins.append([self.capacity - p[2], [p]])
+            least = whole[-1][2]
+            if any(b[0] < max(least, self.least) for b in bins):
+                done += [b[1] for b in bins if b[0] < self.least]
+                bins = [b for b in bins if b[0] >= self.least]
+        self.waiting = bins
+        done += self._fill()
+        while self.stock >= self.capacity:
+            done.append(self._cut(self.capacity))
+        if self.stock:
+            room = self.capacity - self.stock
+            self.waiting.append([room, self._cut(self.stock)])
+        # the emptiest bins' documents fill the others as far as they reach
+        bins = sorted(self.waiting, key=lambda b: b[0])
+        while len(bins) > 1 and sum(b[0] for b in bins[:-1]) >= self.capacity - bins[-1][0]:
+            for document, start, n in bins.pop()[1]:
+                self.fillers.append([document, start, n])
+                self.stock += n
+            for b in bins:
+                n = min(b[0], self.stock)
+                b[1] += self._cut(n)
+                b[0] -= n
+            done += [b[1] for b in bins if b[0] < self.least]
+            bins = [b for b in bins if b[0] >= self.least]
+        self.waiting = []
         return done + [b[1] for b in bins]
 
 
@@ -165,8 +205,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, wit
         def close(sequence: list) -> None:
             nonlocal number
             offset = 0
-            for length, row in sequence:
-                rows.append((*row[:5], number, offset, *row[5:]))
+            for (doc_id, ids), start, length in sequence:
+                part = ids[start : start + length]
+                rows.append((doc_id, start, length, zlib.crc32(part.astype("<u4").tobytes()), len(ids), number, offset, *([part.astype(np.int32)] if with_ids else [])))
                 offset += length
             number += 1
 
@@ -177,13 +218,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, wit
 
         for b in batches.pieces(it, "text", 2 << 20):
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), encode(batches.texts(b)), strict=True):
-                start = 0
-                for n in cuts(len(ids), capacity):
-                    part = ids[start : start + n]
-                    row = (doc_id, start, n, zlib.crc32(part.astype("<u4").tobytes()), len(ids), *([part.astype(np.int32)] if with_ids else []))
-                    if full := packer.add(n, row):
-                        close(full)
-                    start += n
+                for sequence in packer.add(len(ids), (doc_id, ids)):
+                    close(sequence)
             if len(rows) >= 5000:
                 yield out()
         for sequence in packer.rest():

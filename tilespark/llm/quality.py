@@ -1,25 +1,27 @@
 """Quality rules with risk-controlled thresholds, in column expressions alone.
 
-Base rules are fixed.  On top, every score in SCORES (higher is worse) gets, for each stratum (language), the lowest
-cutoff of its declared grid that the labelled holdout supports: among n labelled good documents, k score above the
-cutoff, and the exact binomial test of "the false rejection rate is ALPHA / scores or more" has the p-value
-P(Binomial(n, ALPHA / scores) <= k).  A cutoff is admitted if that is at most DELTA / (strata * scores) (Bonferroni over all
-pairs of stratum and score) and every milder cutoff of its grid is admitted too (fixed sequence, so the grid
-needs no further correction).  With probability 1 - DELTA, no stratum loses more than ALPHA of its good documents to
-the admitted cutoffs.  Where labels are too few, no cutoff is admitted and the score rejects nothing.
+Base rules are fixed.  On top, a document's risk is the largest of its scores, each over its scale in SCALES. Every stratum gets the
+lowest cutoff of GRID that the labelled holdout supports: among n labelled good documents, k have a risk above the
+cutoff, and the exact binomial test of "the false rejection rate is ALPHA or more" has the p-value P(Binomial(n, ALPHA) <= k).
+A cutoff is admitted if that is at most DELTA / strata (Bonferroni over the strata) and every milder cutoff of the grid
+is admitted too (a fixed sequence, so the grid needs no further correction; as the scores are one risk, they need none either).
+With probability 1 - DELTA, no stratum loses more than ALPHA of its good documents to the admitted cutoffs. Where labels are
+too few, no cutoff is admitted and the risk rejects nothing: with one stratum that is below 149 good documents.
+
+Strata come from the data: a language with at least LEAST_GOOD labelled good documents is one of its own, all others are one
+together. There are no more than labels / LEAST_GOOD of them.
 
 All labelled documents count, and all statistics cover all rows.  Features are written once as a table and
-reread, so texts are read once.  What is broadcast is one row for each stratum; strata are the languages of STRATA and
-"other", hence at most len(STRATA) + 1 rows.
+reread, so texts are read once.
 
-Null texts have no words; null languages are in "other"; labels of unknown documents have no effect; a document with
+Null texts have no words; null languages are with the small ones; labels of unknown documents have no effect; a document with
 several labels is good only if all its labels say so; repeated rows are judged alike.  An empty table gives no rows.
-Windows are compared by a 64-bit hash within one document.
+Further columns may have any names: ``keep_good`` carries the row as one struct. Windows are compared by a 64-bit hash within one document.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilespark.llm import store
@@ -29,23 +31,18 @@ WINDOW = 8
 LEAST_WORDS = 20
 REPEATS_PERCENT = 30
 SYMBOLS = "#*$%&|<>"
-ALPHA = 0.03
+ALPHA = 0.02
 DELTA = 0.05
-STRATA = ("de", "en", "es", "fr")
-_SHARES = (0.9, 0.7, 0.5, 0.35, 0.25, 0.18, 0.12, 0.08, 0.05, 0.03, 0.02)
-#: Score to its grid, from the mildest cutoff to the strictest.
-SCORES = {
-    "symbol_share": _SHARES,
-    "dup_line_share": _SHARES,
-    "repeat_share": _SHARES[2:],
-    "upper_share": _SHARES[:-1],
-    "shout_share": _SHARES,
-    "word_length": (60.0, 40.0, 30.0, 24.0, 20.0, 17.0, 15.0, 13.0, 12.0),
-}
+#: With twenty strata, fewer good documents admit no cutoff: 0.98 ** 297 is just under DELTA / 20.
+LEAST_GOOD = 297
+#: Score (higher is worse) to the value that is a risk of 1.
+SCALES = {"symbol_share": 0.2, "dup_line_share": 0.5, "repeat_share": 0.25, "upper_share": 0.1, "shout_share": 0.05, "word_length": 12.0}
+#: Cutoffs of the risk, from the mildest to the strictest.
+GRID = (8.0, 6.0, 5.0, 4.0, 3.0, 2.5, 2.0, 1.75, 1.5, 1.25, 1.0, 0.9, 0.8)
 
 
 def base_columns(docs: DataFrame) -> DataFrame:
-    """docs with __w (words), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed (as __names)."""
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed (as __names)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     d = docs.withColumn("__text", text).withColumn("__w", words(F.col("text")))
     d = d.withColumn("__n_words", F.size("__w").cast("long"))
@@ -86,8 +83,7 @@ def score_columns(d: DataFrame) -> DataFrame:
     d = d.withColumn("__upper_share", _share(count_chars(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), chars))
     d = d.withColumn("__shout_share", _share(count_chars(t, "!?"), chars))
     d = d.withColumn("__word_length", _share(chars, n))
-    known = F.col("lang").isin(*STRATA) if "lang" in d.columns else F.lit(False)
-    return d.withColumn("__stratum", F.when(known, F.col("lang") if "lang" in d.columns else F.lit("other")).otherwise(F.lit("other")))
+    return d.withColumn("__risk", F.greatest(*[F.col(f"__{x}") / F.lit(scale) for x, scale in SCALES.items()]))
 
 
 def binomial_cdf(k: Column, n: Column, p: float) -> Column:
@@ -108,48 +104,51 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
 
 
 def thresholds(features: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row a stratum: __stratum, n_good and the admitted cutoff of each score (null: none)."""
+    """One row a stratum: __stratum ("l" and the language, "~" for all small ones), n_good and the admitted __cut (null: none)."""
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("__quality")).filter("__quality = 1")
     f = features.filter(~F.col("__base_failed")).join(good, "doc_id", "left_semi")
-    counts = [F.count(F.when(F.col(f"__{s}") > c, 1)).alias(f"__{s}_{i}") for s, grid in SCORES.items() for i, c in enumerate(grid)]
-    t = f.groupBy("__stratum").agg(F.count(F.lit(1)).alias("n_good"), *counts)
-    level = DELTA / ((len(STRATA) + 1) * len(SCORES))
-    out = [F.col("__stratum"), F.col("n_good")]
-    for s, grid in SCORES.items():
-        admitted = [binomial_cdf(F.col(f"__{s}_{i}"), F.col("n_good"), ALPHA / len(SCORES)) <= level for i in range(len(grid))]
-        cut: Column = F.lit(None).cast("double")
-        for i in reversed(range(len(grid))):  # stops at the first that is not admitted
-            cut = F.when(admitted[i], F.coalesce(cut, F.lit(float(grid[i]))))
-        out.append(cut.alias(f"__{s}_cut"))
-    return t.select(*out)
+    counts = [F.count(F.when(F.col("__risk") > c, 1)).alias(f"__k{i}") for i, c in enumerate(GRID)]
+    by_lang = f.groupBy("__lang").agg(F.count(F.lit(1)).alias("n_good"), *counts)
+    own = F.col("__lang").isNotNull() & (F.col("n_good") >= LEAST_GOOD)
+    stratum = F.when(own, F.concat(F.lit("l"), F.col("__lang"))).otherwise(F.lit("~")).alias("__stratum")
+    t = by_lang.groupBy(stratum).agg(*[F.sum(c).alias(c) for c in by_lang.columns[1:]])
+    t = t.withColumn("__m", F.count(F.lit(1)).over(Window.partitionBy()))  # a row for each stratum
+    admitted = [binomial_cdf(F.col(f"__k{i}"), F.col("n_good"), ALPHA) <= F.lit(DELTA) / F.col("__m") for i in range(len(GRID))]
+    cut: Column = F.lit(None).cast("double")
+    for i in reversed(range(len(GRID))):  # stops at the first that is not admitted
+        cut = F.when(admitted[i], F.coalesce(cut, F.lit(GRID[i])))
+    return t.select("__stratum", "n_good", cut.alias("__cut"))
 
 
 def judged(features: DataFrame, labels: DataFrame) -> DataFrame:
     """features with __kept."""
-    cut = F.broadcast(thresholds(features, labels).drop("n_good"))  # a row for each stratum
-    d = features.join(cut, "__stratum", "left")
-    over = F.lit(False)
-    for s in SCORES:
-        over = over | F.coalesce(F.col(f"__{s}") > F.col(f"__{s}_cut"), F.lit(False))
-    return d.withColumn("__kept", ~F.col("__base_failed") & ~over)
+    cut = thresholds(features, labels).drop("n_good")
+    own = cut.filter("__stratum <> '~'").select(F.substring("__stratum", 2, 1 << 30).alias("__lang"), F.col("__stratum").alias("__of"))
+    d = features.join(own, "__lang", "left").withColumn("__stratum", F.coalesce("__of", F.lit("~"))).drop("__of")
+    d = d.join(cut, "__stratum", "left")
+    return d.withColumn("__kept", ~F.col("__base_failed") & ~F.coalesce(F.col("__risk") > F.col("__cut"), F.lit(False)))
+
+
+_THIN = ["__n_words", "__word_chars", "__n_symbols", "__n_dup_lines", "__n_repeat_words", "__base_failed", "__risk"]
 
 
-_THIN = ["__n_words", "__word_chars", "__n_symbols", "__n_dup_lines", "__n_repeat_words", "__base_failed", "__stratum", *[f"__{s}" for s in SCORES]]
+def _features(docs: DataFrame, carried: Column) -> DataFrame:
+    """A table of __row (what is carried), doc_id, __lang and _THIN."""
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    d = docs.select(carried.alias("__row"), "doc_id", "text", lang.alias("__lang"))
+    return store.table(score_columns(base_columns(d)).select("__row", "doc_id", "__lang", *_THIN), "quality")
 
 
 def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed and kept for every document."""
-    d = docs.select("doc_id", "text", *(["lang"] if "lang" in docs.columns else []))
-    thin = store.table(score_columns(base_columns(d)).select("doc_id", *_THIN), "quality")
-    j = judged(thin, labels.select("doc_id", "quality"))
+    j = judged(_features(docs, F.lit(0)), labels.select("doc_id", "quality"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return j.select("doc_id", *[F.col(f"__{n}").alias(n) for n in names])
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that pass, with their columns."""
-    full = store.table(score_columns(base_columns(docs)).select(*docs.columns, *_THIN), "quality")
-    return judged(full, labels.select("doc_id", "quality")).filter("__kept").select(*docs.columns)
+    return judged(_features(docs, F.struct("*")), labels.select("doc_id", "quality")).filter("__kept").select("__row.*")
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -158,32 +157,32 @@ def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    grid = ", ".join(f"('{s}', {i}, {c}::DOUBLE)" for s, cuts in SCORES.items() for i, c in enumerate(cuts))
-    values = ", ".join(f"('{s}', {s})" for s in SCORES)
-    strata = ", ".join(f"'{s}'" for s in STRATA)
-    p, level = ALPHA / len(SCORES), DELTA / ((len(STRATA) + 1) * len(SCORES))
+    grid = ", ".join(f"({i}, {c}::DOUBLE)" for i, c in enumerate(GRID))
+    risk = ", ".join(f"{x} / {scale!r}::DOUBLE" for x, scale in SCALES.items())
+    p = ALPHA
     return rf"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text, CASE WHEN lang IN ({strata}) THEN lang ELSE 'other' END AS stratum,
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, lang,
     regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 l AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 g AS (SELECT doc_id, i, array_to_string(ws[i : i + 7], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM d)),
 r AS (SELECT doc_id, count(DISTINCT i + k.range) AS n FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) x, range(8) k WHERE c > 1 GROUP BY 1),
-b AS (SELECT l.doc_id, stratum, len(ws) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+b AS (SELECT l.doc_id, lang, len(ws) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
     len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
     length(regexp_replace(text, '[^A-Z]', '', 'g')) AS upper_, length(regexp_replace(text, '[^!?]', '', 'g')) AS shouts FROM l LEFT JOIN r USING (doc_id)),
-s AS (SELECT doc_id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {REPEATS_PERCENT} * n_words AS base_failed,
+s AS (SELECT doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {REPEATS_PERCENT} * n_words AS base_failed,
     coalesce(n_symbols::DOUBLE / nullif(word_chars, 0), 0) AS symbol_share, coalesce(n_dup_lines::DOUBLE / nullif(n_lines, 0), 0) AS dup_line_share, coalesce(n_repeat_words::DOUBLE / nullif(n_words, 0), 0) AS repeat_share,
     coalesce(upper_::DOUBLE / nullif(word_chars, 0), 0) AS upper_share, coalesce(shouts::DOUBLE / nullif(word_chars, 0), 0) AS shout_share, coalesce(word_chars::DOUBLE / nullif(n_words, 0), 0) AS word_length FROM b),
 good AS (SELECT doc_id FROM labels GROUP BY 1 HAVING min(quality) = 1),
-v AS (SELECT s.doc_id, stratum, base_failed, u.score, u.value FROM s, LATERAL (VALUES {values}) u(score, value)),
-k AS (SELECT stratum, c.score, c.i, c.cutoff, count(*) AS n, count(*) FILTER (value > cutoff) AS k FROM v JOIN (VALUES {grid}) c(score, i, cutoff) USING (score)
-    WHERE NOT base_failed AND doc_id IN (FROM good) GROUP BY ALL),
-t AS (SELECT *, CASE WHEN k > n * {p!r}::DOUBLE THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p!r}::DOUBLE) + (n - j) * ln(1 - {p!r}::DOUBLE)))) END <= {level!r}::DOUBLE AS ok FROM k),
-a AS (SELECT *, min(ok) OVER (PARTITION BY stratum, score ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS admitted FROM t),
-cut AS (SELECT stratum, score, min(cutoff) AS cutoff FROM a WHERE admitted GROUP BY ALL),
-over_ AS (SELECT DISTINCT doc_id FROM v JOIN cut USING (stratum, score) WHERE value > cutoff)
+v AS (SELECT *, greatest({risk}) AS risk FROM s),
+o AS (SELECT lang FROM v WHERE NOT base_failed AND doc_id IN (FROM good) AND lang IS NOT NULL GROUP BY 1 HAVING count(*) >= {LEAST_GOOD}),
+w AS (SELECT v.*, CASE WHEN o.lang IS NULL THEN '~' ELSE 'l' || o.lang END AS stratum FROM v LEFT JOIN o USING (lang)),
+k AS (SELECT stratum, i, cutoff, count(*) AS n, count(*) FILTER (risk > cutoff) AS k FROM w, (VALUES {grid}) c(i, cutoff) WHERE NOT base_failed AND doc_id IN (FROM good) GROUP BY ALL),
+t AS (SELECT *, CASE WHEN k > n * {p!r}::DOUBLE THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p!r}::DOUBLE) + (n - j) * ln(1 - {p!r}::DOUBLE)))) END
+    <= {DELTA!r}::DOUBLE / (SELECT count(DISTINCT stratum) FROM k) AS ok FROM k),
+a AS (SELECT *, min(ok) OVER (PARTITION BY stratum ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS admitted FROM t),
+cut AS (SELECT stratum, min(cutoff) AS cutoff FROM a WHERE admitted GROUP BY ALL)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-    NOT base_failed AND doc_id NOT IN (FROM over_) AS kept FROM s
+    NOT base_failed AND NOT coalesce(risk > cutoff, false) AS kept FROM w LEFT JOIN cut USING (stratum)
 """
 
 
