@@ -1,16 +1,20 @@
 """Brown class-based bigrams: perplexity from word classes found by exchange.
 
-1. Texts are written as bundles; each sends its distinct words and their training counts to the words' hash buckets, where
-   counts meet (all words, no cut-off), and each bundle gets its words' counts back, as arrays in its own order.
-2. Symbols are the FREQUENT most frequent words, GROUPS groups of all other words by hash of their last three bytes
-   (so rare and unseen words have a class too), and the end. Counts of symbol bigrams over all training texts are a matrix of
-   fixed size, (FREQUENT + GROUPS + 1) squared, combined by rows.
-3. Exchange clustering on that matrix: each symbol in turn moves to the class that raises the likelihood of the class
+1. Texts are cut into words once and written as tokens in bundles; each sends its distinct words and their training counts to the
+   words' hash buckets, where counts meet (all words, no cut-off), and gets its words' counts and numbers back.
+2. Seeds: exchange clustering on a matrix of fixed size, of bigrams of the FREQUENT most frequent words and of GROUPS groups of all other
+   words by a hash of their last three bytes: each symbol in turn moves to the class that raises the likelihood of the class
    bigrams most, until a round moves nothing or ROUNDS are over. Ties go to the lower class; so runs agree.
+3. Exchange over all words, distributed: bundles send how often each word stands before and after words of each class; in its bucket,
+   every word seen LEAST times or more moves to the class that raises the likelihood most while all others stay. FULL rounds
+   are made, the class bigrams are counted anew after each, and the assignment with the best likelihood on the training
+   texts is kept, so rounds never worsen it. The clustered vocabulary grows with the corpus; only words seen less often, and
+   unseen ones, have the class of their group.
 4. Every text is scored: P(w | v) = P(class w | class v) P(w | class w), with
    P(c | b) = (n(b, c) + PRIOR p(c)) / (n(b) + PRIOR), p(c) = (n(c) + 1) / (N + CLASSES), and
    P(w | c) = (n(w) + 1) / (n(c) + V(c) + 1), where V(c) counts the distinct words of the class and 1 is left for unseen ones.
 
+What the driver gathers is of fixed size: FREQUENT words, GROUPS sums, matrices of symbols and classes. A shuffled row has at least one word of its own.
 Training documents are those whose crc32(doc_id as text) mod FOLDS is not HELD. A null id counts as an empty text there. Null
 texts are empty: one end. Repeated rows all count. Without any training document all counts are 0. An empty
 table gives no rows. Other columns are ignored.
@@ -18,9 +22,11 @@ table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import struct
+import uuid
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +39,9 @@ from tilespark.llm.runs import Words
 FOLDS, HELD = 7, 2
 FREQUENT, GROUPS, CLASSES = 512, 255, 48
 ROUNDS = 12
+FULL, LEAST = 2, 3
+#: Bytes of text in a bundle.
+SIZE = 8 << 20
 PRIOR = 4.0
 BUCKETS = 4
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -66,6 +75,48 @@ class Vocabulary:
         self.counts = np.bincount(self.tokens[weight], minlength=len(words)).astype(np.int64)
 
 
+@dataclass
+class Tokens:
+    """A bundle: of each document id, fold and size in words, then all tokens as indices into words."""
+
+    doc_id: pa.Array
+    held: np.ndarray
+    sizes: np.ndarray
+    tokens: np.ndarray
+    words: list[bytes]
+
+    def line(self) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens with each document's end, as the index after the last word; and where ends are."""
+        ends = np.cumsum(self.sizes + 1) - 1
+        out = np.full(len(self.tokens) + len(ends), len(self.words), np.int64)
+        body = np.ones(len(out), bool)
+        body[ends] = False
+        out[body] = self.tokens
+        return out, ends
+
+
+def save(folder: str, table: pa.Table, v: Vocabulary) -> str:
+    sink = pa.BufferOutputStream()
+    ids = table.select(["doc_id"]).combine_chunks()
+    with pa.ipc.new_stream(sink, ids.schema) as out:
+        out.write_table(ids)
+    parts = [sink.getvalue().to_pybytes(), bundles.pack(v.held, v.sizes.astype(np.int64)), bundles.pack(v.tokens.astype(np.int32)), bundles.pack(np.frombuffer(b" ".join(v.words), np.uint8))]
+    name = uuid.uuid4().hex
+    store.put(f"{folder}/{name}", struct.pack("<4Q", *map(len, parts)) + b"".join(parts))
+    return name
+
+
+def load(folder: str, name: str) -> Tokens:
+    data = bytes(store.get(f"{folder}/{name}"))
+    at, parts = 32, []
+    for n in struct.unpack("<4Q", data[:32]):
+        parts.append(data[at : at + n])
+        at += n
+    held, sizes = bundles.unpack(parts[1], "?", "i8")
+    words = bundles.unpack(parts[3], "u1")[0].tobytes()
+    return Tokens(pa.ipc.open_stream(parts[0]).read_all().column("doc_id"), held, sizes, bundles.unpack(parts[2], "i4")[0], words.split(b" ") if words else [])
+
+
 def group_of(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % GROUPS
 
@@ -75,8 +126,8 @@ class Model:
     symbol: dict  # frequent word to its symbol; groups follow, then the end
     frequent: int
     cls: np.ndarray  # class of each symbol
-    step: np.ndarray  # log10 P(class | class before)
-    room: np.ndarray  # log10 (n(c) + V(c) + 1)
+    pairs: np.ndarray  # class bigrams
+    types_in: np.ndarray  # distinct words of each class
     end_count: int
     tokens: int
     types: int
@@ -85,6 +136,19 @@ class Model:
         get, f = self.symbol.get, self.frequent
         return np.fromiter((f + group_of(w) if (s := get(w)) is None else s for w in words), np.int64, len(words))
 
+    def movable(self, words: list[bytes], count: np.ndarray) -> np.ndarray:
+        """Words that exchange over all words moves: those that the seeds know only by their group."""
+        return np.fromiter((w not in self.symbol for w in words), bool, len(words)) & (count >= LEAST)
+
+    def step(self) -> np.ndarray:
+        """log10 P(class | class before)."""
+        p = (self.pairs.sum(axis=0) + 1) / (self.tokens + CLASSES)
+        return np.log10((self.pairs + PRIOR * p) / (self.pairs.sum(axis=1, keepdims=True) + PRIOR))
+
+    def room(self) -> np.ndarray:
+        """log10 (n(c) + V(c) + 1)."""
+        return np.log10(self.pairs.sum(axis=0) + self.types_in + 1)
+
 
 _REPLY = "kind int, bundle string, buckets binary, blob binary, word binary, grp int, n long, v long"
 _REPLY_SCHEMA = pa.schema([("kind", pa.int32()), ("bundle", pa.string()), ("buckets", pa.binary()), ("blob", pa.binary()), ("word", pa.binary()), ("grp", pa.int32()), ("n", pa.int64()), ("v", pa.int64())])
@@ -98,8 +162,10 @@ def _count(docs: DataFrame, folder: str, n: int, frequent: int) -> DataFrame:
     group (2); and each bundle's ends (3)."""
 
     def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, table in bundles.write(it, folder):
+        for b in batches.pieces(it, "text", SIZE):
+            table = pa.Table.from_batches([b])
             v = Vocabulary(table, n)
+            name = save(folder, table, v)
             rows = []
             start, size = bundles.runs_of(v.bucket)
             for s, k in zip(start.tolist(), size.tolist(), strict=True):
@@ -128,7 +194,7 @@ def _count(docs: DataFrame, folder: str, n: int, frequent: int) -> DataFrame:
             for i, a in zip(at, arrays, strict=True):
                 total[i] += a  # distinct words of one bundle
             for b, i in zip(names, at, strict=True):
-                replies.setdefault(b, []).append((bucket, total[i]))
+                replies.setdefault(b, []).append((bucket, total[i], i))
             words = list(number)
             least = np.partition(total, -frequent)[-frequent] if len(total) > frequent else 0
             best += [(-int(total[i]), words[i]) for i in np.flatnonzero((total >= least) & (total > 0)).tolist()]
@@ -137,8 +203,8 @@ def _count(docs: DataFrame, folder: str, n: int, frequent: int) -> DataFrame:
             in_group += np.bincount(group, total, GROUPS).astype(np.int64)
             types += np.bincount(group, total > 0, GROUPS).astype(np.int64)
         for b, got in replies.items():
-            where = np.array([(k, len(c)) for k, c in got], np.int64)
-            rows.append((0, b, bundles.pack(where[:, 0], where[:, 1]), bundles.pack(np.concatenate([c for _, c in got])), None, None, 0, 0))
+            where = np.array([(k, len(c)) for k, c, _ in got], np.int64)
+            rows.append((0, b, bundles.pack(where[:, 0], where[:, 1]), bundles.pack(*(np.concatenate(c) for c in list(zip(*got, strict=True))[1:])), None, None, 0, 0))
         rows += [(1, None, None, None, w, None, -c, 0) for c, w in best]
         rows += [(2, None, None, None, None, g, int(in_group[g]), int(types[g])) for g in np.flatnonzero(types).tolist()]
         if rows:
@@ -157,17 +223,11 @@ def _bigrams(names: DataFrame, folder: str, symbol: dict, frequent: int) -> np.n
     def tally(groups):
         matrix = np.zeros(s * s, np.int64)
         for name, _ in groups:
-            table = bundles.read(folder, name)
-            found = words_of(table)
-            held = np.array([held_out(x) for x in table.column("doc_id").to_pylist()], bool)
-            ends = np.cumsum(found.sizes + 1) - 1
-            ids = np.full(len(found.index) + len(ends), end, np.int64)
-            body = np.ones(len(ids), bool)
-            body[ends] = False
-            ids[body] = model.symbols(found.distinct)[found.index]
+            t = load(folder, name)
+            line, _ = t.line()
+            ids = np.append(model.symbols(t.words), end)[line]
             before = np.append(end, ids[:-1]) if len(ids) else ids
-            train = np.repeat(~held, found.sizes + 1)
-            matrix += np.bincount((before * s + ids)[train], minlength=s * s)
+            matrix += np.bincount((before * s + ids)[np.repeat(~t.held, t.sizes + 1)], minlength=s * s)
         rows = matrix.reshape(s, s)
         some = np.flatnonzero(rows.any(axis=1)).tolist()
         yield batches.batch(pa.schema([("i", pa.int32()), ("blob", pa.binary())]), [some, [bundles.pack(rows[i]) for i in some]])
@@ -245,8 +305,181 @@ def exchange(n: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.
     return cls
 
 
-def fit(counts: DataFrame, folder: str) -> Model:
-    """The model, from all counts; what the driver gathers has a fixed size."""
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
+
+
+def _summed(values: np.ndarray, row: np.ndarray, m: int) -> np.ndarray:
+    """Sums of the values of each of m rows (row ascends)."""
+    out = np.zeros((m, values.shape[1]))
+    start, _ = bundles.runs_of(row)
+    if len(start):
+        out[row[start]] = np.add.reduceat(values, start, axis=0)
+    return out
+
+
+def best_classes(big: np.ndarray, out: np.ndarray, into: np.ndarray, self_: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """The exchange step for m words: the class of each that gives the best likelihood of the class bigrams big while all other
+    words stay. out and into count, for each word, the classes after and before it; self_ how often it follows itself (which
+    out and into have in its own class); cls is where it is. The last class takes no words."""
+    m, c = out.shape
+    i = np.arange(m)
+    rest_out, rest_in = out.copy(), into.copy()
+    rest_out[i, cls] -= self_
+    rest_in[i, cls] -= self_
+    gain = np.zeros((m, c))
+    for rest, mine, other, matrix in ((rest_out, out, into, big.T), (rest_in, into, out, big)):
+        w, j = np.nonzero(rest)
+        for lo in range(0, len(w), 1 << 15):  # cells (b, j), or (j, b), of the matrix without the word, for all b
+            wi, ji = w[lo : lo + (1 << 15)], j[lo : lo + (1 << 15)]
+            e, a = np.arange(len(wi)), cls[wi]
+            cell = matrix[ji].astype(float)
+            cell[e, a] -= mine[wi, ji]
+            same = ji == a
+            cell[same] -= other[wi[same]]
+            cell[e[same], a[same]] += self_[wi[same]]
+            more = _xlogx(cell + rest[wi, ji][:, None]) - _xlogx(cell)
+            more[e, ji] = 0  # b itself: below
+            gain += _summed(more, wi, m)
+    diagonal = np.tile(np.diag(big).astype(float), (m, 1))
+    diagonal[i, cls] -= out[i, cls] + into[i, cls] - self_
+    gain += _xlogx(diagonal + rest_out + rest_in + self_[:, None]) - _xlogx(diagonal)
+    for total, n in ((big.sum(axis=1), out.sum(axis=1)), (big.sum(axis=0), into.sum(axis=1))):
+        left = np.tile(total.astype(float), (m, 1))
+        left[i, cls] -= n
+        gain -= _xlogx(left + n[:, None]) - _xlogx(left)
+    best = np.argmax(gain[:, : c - 1], axis=1)
+    return np.where(gain[i, best] > gain[i, cls] + 1e-9, best, cls)
+
+
+def likelihood(big: np.ndarray) -> float:
+    """Of class bigrams, but for what no assignment changes."""
+    return float(_xlogx(big.astype(float)).sum() - _xlogx(big.sum(axis=0).astype(float)).sum() - _xlogx(big.sum(axis=1).astype(float)).sum())
+
+
+@dataclass
+class Arrived:
+    """Of a bundle, in the order of its words: their buckets, counts, numbers within the bucket, and classes."""
+
+    bucket: np.ndarray
+    count: np.ndarray
+    number: np.ndarray
+    cls: np.ndarray
+
+
+def _arrived(parts, seeds: np.ndarray) -> Arrived:
+    """From the replies that a bundle has got (kinds 0, and 4 after a round of exchange); seeds are the classes before any."""
+    got, moved = [], {}
+    for kind, where, blob in zip(*(batches.column(parts, c) for c in ("kind", "buckets", "blob")), strict=True):
+        if kind == 0:
+            bucket, size = bundles.unpack(where, "i8", "i8")
+            count, number = bundles.unpack(blob, "i8", "i8")
+            cut = np.cumsum(size)[:-1]
+            got += zip(bucket.tolist(), np.split(count, cut), np.split(number, cut), strict=True)
+        elif kind == 4:
+            moved[bundles.unpack(where, "i8")[0].item()] = bundles.unpack(blob, "u1")[0]
+    got.sort(key=lambda x: x[0])
+    if not got:
+        return Arrived(*(np.zeros(0, np.int64) for _ in range(3)), seeds)
+    bucket = np.repeat([k for k, _, _ in got], [len(c) for _, c, _ in got])
+    cls = np.concatenate([moved[k] for k, _, _ in got]).astype(np.int64) if moved else seeds
+    return Arrived(bucket, np.concatenate([c for _, c, _ in got]), np.concatenate([x for _, _, x in got]), cls)
+
+
+_ROUND = "bucket int, bundle string, blob binary, words binary"
+_ROUND_SCHEMA = pa.schema([("bucket", pa.int32()), ("bundle", pa.string()), ("blob", pa.binary()), ("words", pa.binary())])
+
+
+def _class_pairs(t: Tokens, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Training tokens and their class before, and the bundle's class bigrams; cls has the end's class last."""
+    line, _ = t.line()
+    c = cls[line]
+    before = np.append(cls[-1], c[:-1]) if len(c) else c
+    train = np.repeat(~t.held, t.sizes + 1)
+    return line, before, np.bincount((before * CLASSES + c)[train], minlength=CLASSES * CLASSES)
+
+
+def _round(counts: DataFrame, replies: DataFrame, folder: str, model: Model, n: int) -> DataFrame:
+    """One round of exchange as a table like replies (kind 4 for the words of a bundle in a bucket), with partial sums of the class bigrams
+    before the round (5: blob) and of the distinct words of each class after it (6)."""
+    shared = counts.sparkSession.sparkContext.broadcast(model)
+    big = None if model.pairs is None else model.pairs
+
+    def contexts(groups):
+        m = shared.value
+        total = np.zeros(CLASSES * CLASSES, np.int64)
+        for name, parts in groups:
+            t = load(folder, name)
+            w = _arrived(parts, m.cls[m.symbols(t.words)])
+            cls = np.append(w.cls, CLASSES - 1)
+            line, before, pairs = _class_pairs(t, cls)
+            total += pairs
+            if big is None:
+                continue
+            train = np.repeat(~t.held, t.sizes + 1)
+            c = cls[line]
+            after = np.append(c[1:], CLASSES - 1) if len(c) else c
+            # an end's next is the next text's first word; ends are not sent
+            last = np.append(line[1:] == len(t.words), True) if len(line) else np.zeros(0, bool)
+            after[last] = CLASSES - 1
+            twice = np.append(False, line[1:] == line[:-1]) if len(line) else np.zeros(0, bool)
+            own = train & (line < len(t.words))
+            width = 2 * CLASSES + 1
+            key = np.concatenate([line[own] * width + after[own], line[own] * width + CLASSES + before[own], line[own & twice] * width + 2 * CLASSES])
+            key, often = np.unique(key, return_counts=True)
+            word, what = key // width, (key % width).astype(np.uint8)
+            rows = []
+            start, size = bundles.runs_of(w.bucket)
+            at = np.searchsorted(word, np.append(start, len(w.bucket)))
+            for s, k, lo, hi in zip(start.tolist(), size.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                who = bundles.pack(w.number[s : s + k].astype(np.uint32), w.count[s : s + k], w.cls[s : s + k].astype(np.uint8), m.movable(t.words[s : s + k], w.count[s : s + k]))
+                rows.append((int(w.bucket[s]), name, bundles.pack(w.number[word[lo:hi]].astype(np.uint32), what[lo:hi], often[lo:hi].astype(np.uint32)), who))
+            yield batches.batch(_ROUND_SCHEMA, [list(x) for x in zip(*rows, strict=True)] if rows else [[], [], [], []])
+        yield batches.batch(_ROUND_SCHEMA, [[-1], [None], [bundles.pack(total)], [None]])
+
+    def choose(groups):
+        for bucket, parts in groups:
+            names, blobs = batches.column(parts, "bundle"), batches.column(parts, "blob")
+            if bucket < 0:
+                total = sum(bundles.unpack(x, "i8")[0] for x in blobs)
+                yield batches.batch(_REPLY_SCHEMA, [[5], [None], [None], [bundles.pack(total)], [None], [None], [0], [0]])
+                continue
+            who = [bundles.unpack(x, "u4", "i8", "u1", "?") for x in batches.column(parts, "words")]
+            number, count, cls, movable = (np.concatenate(x) for x in zip(*who, strict=True))
+            m = int(number.max()) + 1
+            now, moves, seen = np.zeros(m, np.int64), np.zeros(m, bool), np.zeros(m, bool)
+            now[number], moves[number], seen[number] = cls, movable, count > 0
+            word, what, often = (np.concatenate(x) for x in zip(*(bundles.unpack(x, "u4", "u1", "u4") for x in blobs), strict=True))
+            place = np.flatnonzero(moves)
+            for lo in range(0, len(place), 1 << 14):
+                some = place[lo : lo + (1 << 14)]
+                at = np.full(m, -1)
+                at[some] = np.arange(len(some))
+                mine = at[word] >= 0
+                width = 2 * CLASSES + 1
+                table = np.bincount(at[word[mine]] * width + what[mine], often[mine], len(some) * width).reshape(-1, width)
+                now[some] = best_classes(big, table[:, :CLASSES], table[:, CLASSES : 2 * CLASSES], table[:, -1], now[some])
+            rows = [(4, b, bundles.pack(np.array([bucket], np.int64)), bundles.pack(now[x[0]].astype(np.uint8)), None, None, 0, 0) for b, x in zip(names, who, strict=True)]
+            types = np.bincount(now[seen], minlength=CLASSES)
+            rows += [(6, None, None, None, None, g, 0, int(types[g])) for g in np.flatnonzero(types).tolist()]
+            yield batches.batch(_REPLY_SCHEMA, [list(x) for x in zip(*rows, strict=True)])
+
+    asked = counts.filter("kind IN (0, 3)").select("kind", "bundle", "buckets", "blob")
+    if replies is not None:
+        asked = asked.unionByName(replies.filter("kind = 4").select("kind", "bundle", "buckets", "blob"))
+    sent = batches.grouped(asked, "bundle", contexts, _ROUND)
+    return store.table(batches.grouped(sent, "bucket", choose, _REPLY), "brown-round")
+
+
+def _pairs_of(table: DataFrame) -> np.ndarray:
+    out = np.zeros(CLASSES * CLASSES, np.int64)
+    for r in table.filter("kind = 5").select("blob").collect():  # one row of fixed size
+        out += bundles.unpack(bytes(r.blob), "i8")[0]
+    return out.reshape(CLASSES, CLASSES)
+
+
+def fit(counts: DataFrame, folder: str, n: int, full: int = FULL) -> tuple[Model, DataFrame | None]:
+    """The model, from all counts, and the table of the words' classes (None: seeds are the best)."""
     top = counts.filter("kind = 1").select("word", "n").orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
     words = [bytes(r.word) for r in top]
     symbol = {w: i for i, w in enumerate(words)}
@@ -255,23 +488,30 @@ def fit(counts: DataFrame, folder: str) -> Model:
         group_n[r.grp], group_v[r.grp] = r.n, r.v
     ends = counts.filter("kind = 3").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     tokens, types = int(group_n.sum()) + ends, int(group_v.sum()) + (ends > 0)
-    word_n = np.array([r.n for r in top], np.int64)
-    for w, c in zip(words, word_n.tolist(), strict=True):  # frequent words leave their groups
-        group_n[group_of(w)] -= c
+    for w in words:  # frequent words leave their groups
         group_v[group_of(w)] -= 1
     f = len(words)
-    big = _bigrams(counts.filter("kind = 3").select("bundle"), folder, symbol, f)
-    cls = exchange(big)
-    one = np.eye(CLASSES)[cls]
-    pairs = one.T @ big @ one
-    n = one.T @ np.concatenate([word_n, group_n, [ends]])
-    v = one.T @ np.concatenate([np.ones(f), group_v, [ends > 0]])
-    p = (n + 1) / (tokens + CLASSES)
-    step = np.log10((pairs + PRIOR * p) / (pairs.sum(axis=1, keepdims=True) + PRIOR))
-    return Model(symbol, f, cls, step, np.log10(n + v + 1), ends, tokens, types)
-
-
-def score(docs: DataFrame) -> DataFrame:
+    symbols = _bigrams(counts.filter("kind = 3").select("bundle"), folder, symbol, f)
+    cls = exchange(symbols)
+    one = np.eye(CLASSES, dtype=np.int64)[cls]
+    model = Model(symbol, f, cls, one.T @ symbols @ one, one.T @ np.concatenate([np.ones(f, np.int64), group_v, [ends > 0]]), ends, tokens, types)
+    best, replies = model, None
+    trial, last = model, None
+    for _ in range(full):
+        last = _round(counts, last, folder, trial, n)
+        # the bigrams of the new classes: a pass that moves nothing
+        pairs = _pairs_of(_round(counts, last, folder, replace(trial, pairs=None), n))
+        v = np.zeros(CLASSES, np.int64)
+        for r in last.filter("kind = 6").groupBy("grp").agg(F.sum("v").alias("v")).collect():
+            v[r.grp] = r.v
+        v[CLASSES - 1] += ends > 0
+        trial = replace(trial, pairs=pairs, types_in=v)
+        if likelihood(pairs) > likelihood(best.pairs):
+            best, replies = trial, last
+    return best, replies
+
+
+def score(docs: DataFrame, full: int = FULL) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     n = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -279,43 +519,33 @@ def score(docs: DataFrame) -> DataFrame:
     slim = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     counts = _count(slim, folder, n, FREQUENT)
-    shared = spark.sparkContext.broadcast(fit(counts, folder))
+    model, replies = fit(counts, folder, n, full)
+    shared = spark.sparkContext.broadcast(model)
     names = [("doc_id", batches.hold(kind)), ("held_out", pa.bool_()), *[(c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")], ("base_score", pa.float64()), ("score", pa.float64())]
     schema = pa.schema(names)
 
     def run(groups):
         m = shared.value
-        end_symbol = m.frequent + GROUPS
-        total = np.log10(m.tokens + m.types + 1)
+        total, step, room = np.log10(m.tokens + m.types + 1), m.step(), m.room()
         for name, parts in groups:
-            table = bundles.read(folder, name)
-            v = Vocabulary(table, n)
-            got = []
-            for where, blob in zip(batches.column(parts, "buckets"), batches.column(parts, "blob"), strict=True):
-                if blob:
-                    bucket, size = bundles.unpack(where, "i8", "i8")
-                    got += zip(bucket.tolist(), np.split(bundles.unpack(blob, "i8")[0], np.cumsum(size)[:-1]), strict=True)
-            got.sort(key=lambda x: x[0])
-            count = np.concatenate([c for _, c in got]) if got else np.zeros(0, np.int64)
-            count = np.append(count, m.end_count)  # the end is the last index
-            cls = m.cls[np.append(m.symbols(v.words), end_symbol)]
-            e = len(v.words)
-            ends = np.cumsum(v.sizes + 1) - 1
-            tokens = np.full(len(v.tokens) + len(v.sizes), e, np.int64)
-            body = np.ones(len(tokens), bool)
-            body[ends] = False
-            tokens[body] = v.tokens
+            t = load(folder, name)
+            w = _arrived(parts, m.cls[m.symbols(t.words)])
+            line, ends = t.line()
+            count, cls = np.append(w.count, m.end_count), np.append(w.cls, CLASSES - 1)
             seen = np.log10(count + 1.0)
-            c = cls[tokens]
-            before = np.append(cls[e], c[:-1]) if len(c) else c
-            line = m.step[before, c] + seen[tokens] - m.room[c]
-            begin = ends - v.sizes
-            sums = [np.add.reduceat(x, begin) for x in (seen[tokens] - total, line, (count > 0)[tokens].astype(np.int64))]
-            size = v.sizes + 1
-            yield batches.batch(schema, [table.column("doc_id").to_pylist(), v.held, size, sums[2], np.full(len(size), m.tokens), sums[0], sums[1]])
-
+            c = cls[line]
+            before = np.append(cls[-1], c[:-1]) if len(c) else c
+            scores = step[before, c] + seen[line] - room[c]
+            begin = ends - t.sizes
+            sums = [np.add.reduceat(x, begin) for x in (seen[line] - total, scores, (count > 0)[line].astype(np.int64))]
+            size = t.sizes + 1
+            yield batches.batch(schema, [t.doc_id.to_pylist(), t.held, size, sums[2], np.full(len(size), m.tokens), sums[0], sums[1]])
+
+    asked = counts.filter("kind IN (0, 3)").select("kind", "bundle", "buckets", "blob")
+    if replies is not None:
+        asked = asked.unionByName(replies.filter("kind = 4").select("kind", "bundle", "buckets", "blob"))
     ddl = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return batches.grouped(counts.filter("kind IN (0, 3)").select("bundle", "buckets", "blob"), "bundle", run, ddl)
+    return batches.grouped(asked, "bundle", run, ddl)
 
 
 def op5_brown_scores(spark, sf_dir: str) -> DataFrame:
