@@ -29,6 +29,54 @@ def test_global_scan(spark, n):
     assert got == want
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_global_scan_of_wide_rows(spark, adaptive):
+    """More rows than the sampler of ranges takes, and a column that makes partitions' bytes uneven."""
+    n = 400_000
+    d = spark.range(n).selectExpr("(id * 7919) % 400000 AS id", "id % 7 AS v", "repeat(cast(id AS string), cast(id % 23 AS int)) AS wide", "id AS __part").repartition(5)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        got = R.exclusive_scan(d, "v", ["id"])
+        assert got.columns == ["id", "v", "wide", "__part", "offset"]
+        wrong = got.join(d.selectExpr("id", "wide AS w"), "id").filter("wide <> w").count()
+        rows = got.select("id", "v", "offset").toPandas().sort_values("id")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert wrong == 0 and len(rows) == n
+    assert (rows.offset.to_numpy() == rows.v.cumsum().to_numpy() - rows.v.to_numpy()).all()
+
+
+def test_segmented_scan_of_hot_segments_and_nulls(spark):
+    made = [(None if i % 3 == 0 else "hot", i, i % 5) for i in range(2000)] + [("one", 0, 3)]
+    got = {(r.s, r.i): r.offset for r in R.exclusive_scan(spark.createDataFrame(made, "s string, i int, v long").repartition(6), "v", ["i"], segment=["s"]).collect()}
+    at = {}
+    for s, i, v in made:
+        assert got[s, i] == at.get(s, 0)
+        at[s] = at.get(s, 0) + v
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3000])
+def test_violations(spark, n):
+    d = spark.createDataFrame([(i, 3 * i + (i % 50 == 49), 3) for i in range(n)], "i int, start long, length long").repartition(5)
+    got = sorted(r.i for r in R.violations(d, ["i"], "start", "length").collect())
+    assert got == sorted(j for i in range(49, n, 50) for j in (i, i + 1) if j < n)
+
+
+def test_frequency_model_of_many_rare_bytes(spark):
+    """One round of corrections would push a present byte below 1."""
+    from tilespark.operators import entropy
+
+    n = [394500] + [150] * 100 + [1] * 100
+    d = spark.createDataFrame([("a", i, k) for i, k in enumerate(n)] + [("b", 7, 3)], "k string, byte int, n long")
+    got = {(r.k, r.byte): r.freq for r in entropy.model(d, ["k"]).collect()}
+    a = [got["a", i] for i in range(201)]
+    assert min(a) >= 1 and sum(a) == 4096 and got["b", 7] == 4096
+    counts = __import__("numpy").zeros(256, int)
+    counts[:201] = n
+    assert a == entropy.normalise(counts)[:201].tolist()
+
+
 def test_compaction(spark):
     flags = [True, False, True, True, False]
     d = spark.createDataFrame(list(enumerate(flags)), "i long, f boolean")

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BITS = 12
@@ -108,15 +108,21 @@ def byte_counts(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
 
 
 def model(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """counts with freq, in closed form (one round of corrections, which 12 bits and 256 symbols seldom exceed)."""
-    w = Window.partitionBy(*keys)
-    share = F.rint(F.col("n") / F.sum("n").over(w) * TOTAL)
-    d = counts.withColumn("__f", F.greatest(F.lit(1), share.cast("long"))).withColumn("__left", F.lit(TOTAL) - F.sum("__f").over(w))
-    able = (F.col("__left") > 0) | (F.col("__f") > 1)
-    rank = F.row_number().over(Window.partitionBy(*keys, able).orderBy(F.desc("n"), "byte"))
-    many = F.sum(able.cast("int")).over(w)
-    turns = F.floor(F.abs("__left") / many) + F.when(rank <= F.abs("__left") % many, 1).otherwise(0)
-    return d.withColumn("freq", (F.col("__f") + F.when(able, F.signum("__left") * turns).otherwise(0)).cast("long")).drop("__f", "__left")
+    """counts (keys, byte, n) with freq: each key's 256 counts are one row, and ``normalise`` is the coder's own rule, exact for any counts."""
+    table = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("byte", "n"))).alias("__n"))
+    ddl = ", ".join(f"`{k}` {counts.schema[k].dataType.simpleString()}" for k in keys) + (", " if keys else "") + "byte int, n long, freq long"
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for i, pairs in enumerate(b.column("__n").to_pylist()):
+                n = np.zeros(256, np.int64)
+                for byte, k in pairs:
+                    n[byte] = k
+                at = np.flatnonzero(n)
+                same = [pa.concat_arrays([b.column(k).slice(i, 1)] * len(at)) for k in keys]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(at, pa.int32()), pa.array(n[at]), pa.array(np.asarray(normalise(n), np.int64)[at])], names=[*keys, "byte", "n", "freq"])
+
+    return table.mapInArrow(run, ddl)
 
 
 def chunk_roundtrip(df: DataFrame, key: str, blob: str) -> DataFrame:

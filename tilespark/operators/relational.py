@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilespark.session import written
+
 
 def argmin_first(df: DataFrame, segment: Sequence[str], score: str, order: Sequence[str]) -> DataFrame:
     """The row with the least score of each segment; ties go to the first in order. One partial aggregate, no sort."""
@@ -32,27 +34,58 @@ def compact(df: DataFrame, flag: Column, index: str) -> DataFrame:
 
 
 def segmented_scan(df: DataFrame, value: str, segment: Sequence[str], order: Sequence[str], into: str = "offset") -> DataFrame:
+    """Exclusive prefix sums by segment, for segments that fit into a task; ``exclusive_scan`` with a segment splits them."""
     w = Window.partitionBy(*segment).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn(into, F.coalesce(F.sum(value).over(w), F.lit(0)))
 
 
-def exclusive_scan(df: DataFrame, value: str, order: Sequence[str], into: str = "offset") -> DataFrame:
-    """Exclusive prefix sum over all rows without bringing them into one partition: range partition, sums by partition,
-    a scan of those sums (one row a partition), and a window inside each partition."""
-    dealt = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("__part", F.spark_partition_id())
-    sums = dealt.groupBy("__part").agg(F.sum(value).alias("__sum"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    starts = sums.select("__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = dealt.join(F.broadcast(starts), "__part")  # as many rows as shuffle partitions
-    return out.withColumn(into, F.col("__start") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("__part", "__start")
-
-
-def violations(df: DataFrame, segment: Sequence[str], order: Sequence[str], start: str, length: str) -> DataFrame:
+def _free(df: DataFrame, *names: str) -> list[str]:
+    """The names, longer where df has such columns."""
+    out = []
+    for n in names:
+        while n in df.columns:
+            n += "_"
+        out.append(n)
+    return out
+
+
+def exclusive_scan(df: DataFrame, value: str, order: Sequence[str], into: str = "offset", segment: Sequence[str] = ()) -> DataFrame:
+    """Exclusive prefix sum over all rows (or by segment, however large one is) without bringing them into one task.
+
+    Rows are dealt into ranges of segment and order, with a window inside each range, and written once with the range's number: ranges
+    come from a sample, so a plan that is run again may cut them elsewhere. The table then gives each range's sum, and a scan of
+    those sums, a row for each range and segment, starts each range."""
+    part, inside, total, start = _free(df, "__part", "__inside", "__sum", "__start")
+    dealt = df.repartitionByRange(*[F.col(c) for c in (*segment, *order)]).withColumn(part, F.spark_partition_id())
+    along = Window.partitionBy(part, *segment).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    d = written(dealt.withColumn(inside, F.coalesce(F.sum(value).over(along), F.lit(0))), "scan")
+    sums = d.groupBy(part, *segment).agg(F.sum(value).alias(total))
+    before = Window.partitionBy(*segment).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = sums.select(part, *segment, F.coalesce(F.sum(total).over(before), F.lit(0)).alias(start))
+    names = [part, *segment]
+    right = starts.select(*[F.col(c).alias(f"{c}__s") for c in names], start)
+    same = [d[c].eqNullSafe(right[f"{c}__s"]) for c in names]
+    return d.join(right, same).withColumn(into, F.col(start) + F.col(inside)).select(*df.columns, into)
+
+
+def previous(df: DataFrame, value: Column, order: Sequence[str], into: str) -> DataFrame:
+    """The value of the row before, over all rows in order, without bringing them into one task: a lag inside each range, and each range's last
+    row for the next one's first."""
+    part, last, told = _free(df, "__part", "__last", "__told")
+    d = written(df.withColumn(told, value).repartitionByRange(*[F.col(c) for c in order]).withColumn(part, F.spark_partition_id()), "previous")
+    ends = d.groupBy(part).agg(F.max_by(told, F.struct(*order)).alias(last))
+    over = Window.orderBy(part)  # a row for each range
+    ends = ends.select(F.col(part).alias(f"{part}p"), F.lag(last).over(over).alias(last))
+    inside = Window.partitionBy(part).orderBy(*order)
+    first = F.row_number().over(inside) == 1
+    d = d.join(ends, d[part] == ends[f"{part}p"])
+    return d.withColumn(into, F.when(first, F.col(last)).otherwise(F.lag(told).over(inside))).select(*df.columns, into)
+
+
+def violations(df: DataFrame, order: Sequence[str], start: str, length: str) -> DataFrame:
     """Rows that don't begin where the row before ends."""
-    w = Window.partitionBy(*segment).orderBy(*order)
-    ends = F.lag(F.col(start) + F.col(length)).over(w)
-    return df.withColumn("expected", ends).filter(F.col("expected").isNotNull() & (F.col(start) != F.col("expected")))
+    d = previous(df, F.col(start) + F.col(length), order, "expected")
+    return d.filter(F.col("expected").isNotNull() & (F.col(start) != F.col("expected")))
 
 
 def dedup_first(df: DataFrame, key: Sequence[Column], order: Sequence[str]) -> DataFrame:
@@ -65,11 +98,17 @@ def dedup_first(df: DataFrame, key: Sequence[Column], order: Sequence[str]) -> D
 
 
 def skyline(df: DataFrame, lower: Sequence[str], higher: Sequence[str]) -> DataFrame:
-    """Rows that no other row dominates: as good everywhere and better somewhere. Rows that are dominated inside their own
-    partition's best go first, so the nested loop meets survivors only."""
+    """Rows that no other row dominates: as good everywhere and better somewhere. A nested loop, for tables of means (a row a profile). With two
+    measures it runs against one row for each value of the first (the best of the second there), else against distinct rows of measures."""
     from functools import reduce
 
-    a, b = df.alias("a"), df.alias("b")
+    first, *rest = [*lower, *higher]
+    if len(lower) + len(higher) == 2:
+        best = (F.min if rest[0] in lower else F.max)(rest[0]).alias(rest[0])
+        b = df.groupBy(first).agg(best).alias("b")
+    else:
+        b = df.select(*lower, *higher).distinct().alias("b")
+    a = df.alias("a")
     le = [F.col(f"b.{c}") <= F.col(f"a.{c}") for c in lower] + [F.col(f"b.{c}") >= F.col(f"a.{c}") for c in higher]
     lt = [F.col(f"b.{c}") < F.col(f"a.{c}") for c in lower] + [F.col(f"b.{c}") > F.col(f"a.{c}") for c in higher]
     return a.join(b, reduce(Column.__and__, le) & reduce(Column.__or__, lt), "left_anti")

@@ -67,6 +67,17 @@ def exclusive_scan_global(spark, sf):
     return R.exclusive_scan(d, "length", ["doc_id"])
 
 
+@register(
+    "exclusive_scan_wide",
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
+      CAST(coalesce(sum(CAST(l_partkey AS BIGINT)) OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM lineitem""",
+)
+def exclusive_scan_wide(spark, sf):
+    """With further columns."""
+    d = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    return R.exclusive_scan(d.withColumn("value", F.col("l_partkey").cast("long")), "value", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]).drop("value")
+
+
 @register(
     "exclusive_scan_segmented",
     """SELECT doc_id // 64 AS chunk, doc_id, octet_length(encode(text)) AS length,
@@ -86,7 +97,7 @@ def exclusive_scan_segmented(spark, sf):
 )
 def kind_stream_offsets(spark, sf):
     d = table(spark, sf, "events").select("event_type", "event_id", F.length("props").cast("long").alias("length"))
-    return R.segmented_scan(d, "length", ["event_type"], ["event_id"])
+    return R.exclusive_scan(d, "length", ["event_id"], segment=["event_type"])
 
 
 _CHUNKS = """c AS (SELECT l_orderkey // 64 AS chunk, min(l_orderkey) AS start, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1)"""
@@ -99,7 +110,7 @@ _CHUNKS = """c AS (SELECT l_orderkey // 64 AS chunk, min(l_orderkey) AS start, c
 def contiguity_violations(spark, sf):
     d = table(spark, sf, "lineitem")
     c = d.groupBy(F.expr("l_orderkey div 64").alias("chunk")).agg(F.min("l_orderkey").alias("start"), F.countDistinct("l_orderkey").alias("n"))
-    return R.violations(c.withColumn("all", F.lit(0)), ["all"], ["chunk"], "start", "n").drop("all")
+    return R.violations(c, ["chunk"], "start", "n")
 
 
 @register(

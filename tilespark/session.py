@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that results depend on; sizes of partitions and shuffles are left to the cluster.
 NEEDED = {
@@ -30,3 +33,22 @@ def configure(spark: SparkSession) -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_LOCAL: dict[str, str] = {}
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as Parquet in the folder that the cluster shares (spark.checkpoint.dir), read again: what follows sees the same rows however often
+    it scans them, and the lineage ends here. Only a local session without that setting uses a temporary folder."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = _LOCAL.setdefault(spark.sparkContext.applicationId, "")
+        if not base:
+            base = _LOCAL[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="tilespark-core-")
+    path = f"{base.rstrip('/')}/tilespark-core/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
