@@ -158,3 +158,46 @@ def test_streaming_leaderboard(spark, tmp_path):
     q.awaitTermination(120)
     done = spark.table("board").count()
     assert 0 < done <= leaderboard.windowed(e, "1 day").count()
+
+
+@pytest.mark.parametrize("n", [0, 3, 4, 5, 40])
+def test_kmeans_rests_at_means(n):
+    import numpy as np
+
+    from tilespark.operators import search
+
+    points = np.random.default_rng(n).integers(0, 60, (n, 2))
+    label = search.kmeans(points)
+    assert len(label) == n and (label == search.kmeans(points)).all()
+    if n > 4:
+        centres = np.array([points[label == j].mean(axis=0) if (label == j).any() else [1e9, 1e9] for j in range(4)])
+        nearest = ((points[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        assert (nearest == label).mean() > 0.9
+
+
+def test_edge_clusters_cover_all_edge_points(spark):
+    from tilespark.operators import search
+
+    d = spark.createDataFrame([(i, [float((i * p) % 11) for p in range(64)]) for i in range(6)], "tile int, v array<double>")
+    got = search.edge_clusters(d, ["tile"], "v").groupBy("tile").agg(F.sum("n").alias("n"), F.count("cluster").alias("k")).collect()
+    assert len(got) == 6 and all(16 <= r.n <= 64 and 1 <= r.k <= 4 for r in got)
+
+
+def test_greedy_palette_keeps_the_first(spark):
+    from tilespark.operators import search
+
+    d = spark.createDataFrame([([[0.0, 0.0, 0.0], [0.01, 0.0, 0.0], [0.5, 0.5, 0.5], [0.5, 0.5, 0.51], [0.05, 0.0, 0.0]],), ([],)], "c array<array<double>>")
+    assert [r[0] for r in d.select(search.distinct_colours(F.col("c"))).collect()] == [[[0.0, 0.0, 0.0], [0.5, 0.5, 0.5], [0.05, 0.0, 0.0]], []]
+
+
+def test_neighbour_deltas_undo(spark):
+    from tilespark.operators import search
+
+    made = [(i, "a" if i % 3 else None, bytes([i, 2 * i % 256, 7])[: 1 + i % 3]) for i in range(60)]
+    got = {r.i: r for r in search.neighbour_deltas(spark.createDataFrame(made, "i int, k string, b binary").repartition(5), "k", "b", ["i"]).collect()}
+    before = {}
+    for i, k, b in made:
+        old = before.get(k, b"")
+        back = bytes((x + (old[j] if j < len(old) else 0)) & 255 for j, x in enumerate(got[i].delta))
+        assert back == b and got[i].prev_len == len(old)
+        before[k] = b

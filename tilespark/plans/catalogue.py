@@ -26,8 +26,13 @@ def register(name: str, sql: str | None = None):
     return put
 
 
+def oracle_of(name: str) -> str:
+    """A registered query's SQL, for one that builds on it."""
+    return _ORACLES[name]
+
+
 def _load() -> None:
-    from tilespark.plans import experiments_q, neighbours_q, relational_q, tiles_q, transforms_q  # noqa: F401
+    from tilespark.plans import blocks_q, search_q, experiments_q, neighbours_q, relational_q, tiles_q, transforms_q  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
