@@ -23,7 +23,7 @@ SHARE = 1.5
 MOST = 2
 SALT = "mix"
 #: Rows of a cell, about, if one source had all.
-ROWS = 4096
+ROWS = 256
 
 
 def _key(doc_id: Column) -> Column:

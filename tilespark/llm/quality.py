@@ -8,8 +8,9 @@ is admitted too (a fixed sequence, so the grid needs no further correction; as t
 With probability 1 - DELTA, no stratum loses more than ALPHA of its good documents to the admitted cutoffs. Where labels are
 too few, no cutoff is admitted and the risk rejects nothing: with one stratum that is below 149 good documents.
 
-Strata come from the data: a language with at least LEAST_GOOD labelled good documents is one of its own, all others are one
-together. There are no more than labels / LEAST_GOOD of them.
+Strata come from the data: a language with at least LEAST_GOOD labelled good documents is one of its own (the MOST_STRATA with the most of them,
+should there be more), all others are one together. So tables of strata have MOST_STRATA + 1 rows at most and are broadcast: texts are not
+dealt out by language, where one may have most of them.
 
 All labelled documents count, and all statistics cover all rows.  Features are written once as a table and
 reread, so texts are read once.
@@ -35,6 +36,7 @@ ALPHA = 0.02
 DELTA = 0.05
 #: With twenty strata, fewer good documents admit no cutoff: 0.98 ** 297 is just under DELTA / 20.
 LEAST_GOOD = 297
+MOST_STRATA = 500
 #: Score (higher is worse) to the value that is a risk of 1.
 SCALES = {"symbol_share": 0.2, "dup_line_share": 0.5, "repeat_share": 0.25, "upper_share": 0.1, "shout_share": 0.05, "word_length": 12.0}
 #: Cutoffs of the risk, from the mildest to the strictest.
@@ -109,9 +111,11 @@ def thresholds(features: DataFrame, labels: DataFrame) -> DataFrame:
     f = features.filter(~F.col("__base_failed")).join(good, "doc_id", "left_semi")
     counts = [F.count(F.when(F.col("__risk") > c, 1)).alias(f"__k{i}") for i, c in enumerate(GRID)]
     by_lang = f.groupBy("__lang").agg(F.count(F.lit(1)).alias("n_good"), *counts)
-    own = F.col("__lang").isNotNull() & (F.col("n_good") >= LEAST_GOOD)
-    stratum = F.when(own, F.concat(F.lit("l"), F.col("__lang"))).otherwise(F.lit("~")).alias("__stratum")
-    t = by_lang.groupBy(stratum).agg(*[F.sum(c).alias(c) for c in by_lang.columns[1:]])
+    own = by_lang.filter(F.col("__lang").isNotNull() & (F.col("n_good") >= LEAST_GOOD)).orderBy(F.desc("n_good"), "__lang").limit(MOST_STRATA)
+    by_lang = by_lang.join(F.broadcast(own.select("__lang", F.lit(True).alias("__own"))), "__lang", "left")
+    stratum = F.when(F.col("__own"), F.concat(F.lit("l"), F.col("__lang"))).otherwise(F.lit("~")).alias("__stratum")
+    by_lang = by_lang.select(stratum, "n_good", *[f"__k{i}" for i in range(len(GRID))])
+    t = by_lang.groupBy("__stratum").agg(*[F.sum(c).alias(c) for c in by_lang.columns[1:]])
     t = t.withColumn("__m", F.count(F.lit(1)).over(Window.partitionBy()))  # a row for each stratum
     admitted = [binomial_cdf(F.col(f"__k{i}"), F.col("n_good"), ALPHA) <= F.lit(DELTA) / F.col("__m") for i in range(len(GRID))]
     cut: Column = F.lit(None).cast("double")
@@ -124,8 +128,8 @@ def judged(features: DataFrame, labels: DataFrame) -> DataFrame:
     """features with __kept."""
     cut = thresholds(features, labels).drop("n_good")
     own = cut.filter("__stratum <> '~'").select(F.substring("__stratum", 2, 1 << 30).alias("__lang"), F.col("__stratum").alias("__of"))
-    d = features.join(own, "__lang", "left").withColumn("__stratum", F.coalesce("__of", F.lit("~"))).drop("__of")
-    d = d.join(cut, "__stratum", "left")
+    d = features.join(F.broadcast(own), "__lang", "left").withColumn("__stratum", F.coalesce("__of", F.lit("~"))).drop("__of")
+    d = d.join(F.broadcast(cut), "__stratum", "left")
     return d.withColumn("__kept", ~F.col("__base_failed") & ~F.coalesce(F.col("__risk") > F.col("__cut"), F.lit(False)))
 
 
@@ -174,7 +178,7 @@ s AS (SELECT doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat
     coalesce(upper_::DOUBLE / nullif(word_chars, 0), 0) AS upper_share, coalesce(shouts::DOUBLE / nullif(word_chars, 0), 0) AS shout_share, coalesce(word_chars::DOUBLE / nullif(n_words, 0), 0) AS word_length FROM b),
 good AS (SELECT doc_id FROM labels GROUP BY 1 HAVING min(quality) = 1),
 v AS (SELECT *, greatest({risk}) AS risk FROM s),
-o AS (SELECT lang FROM v WHERE NOT base_failed AND doc_id IN (FROM good) AND lang IS NOT NULL GROUP BY 1 HAVING count(*) >= {LEAST_GOOD}),
+o AS (SELECT lang FROM v WHERE NOT base_failed AND doc_id IN (FROM good) AND lang IS NOT NULL GROUP BY 1 HAVING count(*) >= {LEAST_GOOD} ORDER BY count(*) DESC, lang LIMIT {MOST_STRATA}),
 w AS (SELECT v.*, CASE WHEN o.lang IS NULL THEN '~' ELSE 'l' || o.lang END AS stratum FROM v LEFT JOIN o USING (lang)),
 k AS (SELECT stratum, i, cutoff, count(*) AS n, count(*) FILTER (risk > cutoff) AS k FROM w, (VALUES {grid}) c(i, cutoff) WHERE NOT base_failed AND doc_id IN (FROM good) GROUP BY ALL),
 t AS (SELECT *, CASE WHEN k > n * {p!r}::DOUBLE THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p!r}::DOUBLE) + (n - j) * ln(1 - {p!r}::DOUBLE)))) END
