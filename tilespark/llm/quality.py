@@ -177,9 +177,9 @@ s AS (SELECT doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat
     coalesce(n_symbols::DOUBLE / nullif(word_chars, 0), 0) AS symbol_share, coalesce(n_dup_lines::DOUBLE / nullif(n_lines, 0), 0) AS dup_line_share, coalesce(n_repeat_words::DOUBLE / nullif(n_words, 0), 0) AS repeat_share,
     coalesce(upper_::DOUBLE / nullif(word_chars, 0), 0) AS upper_share, coalesce(shouts::DOUBLE / nullif(word_chars, 0), 0) AS shout_share, coalesce(word_chars::DOUBLE / nullif(n_words, 0), 0) AS word_length FROM b),
 good AS (SELECT doc_id FROM labels GROUP BY 1 HAVING min(quality) = 1),
-v AS (SELECT *, greatest({risk}) AS risk FROM s),
+v AS MATERIALIZED (SELECT *, greatest({risk}) AS risk FROM s),
 o AS (SELECT lang FROM v WHERE NOT base_failed AND doc_id IN (FROM good) AND lang IS NOT NULL GROUP BY 1 HAVING count(*) >= {LEAST_GOOD} ORDER BY count(*) DESC, lang LIMIT {MOST_STRATA}),
-w AS (SELECT v.*, CASE WHEN o.lang IS NULL THEN '~' ELSE 'l' || o.lang END AS stratum FROM v LEFT JOIN o USING (lang)),
+w AS MATERIALIZED (SELECT v.*, CASE WHEN o.lang IS NULL THEN '~' ELSE 'l' || o.lang END AS stratum FROM v LEFT JOIN o USING (lang)),
 k AS (SELECT stratum, i, cutoff, count(*) AS n, count(*) FILTER (risk > cutoff) AS k FROM w, (VALUES {grid}) c(i, cutoff) WHERE NOT base_failed AND doc_id IN (FROM good) GROUP BY ALL),
 t AS (SELECT *, CASE WHEN k > n * {p!r}::DOUBLE THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p!r}::DOUBLE) + (n - j) * ln(1 - {p!r}::DOUBLE)))) END
     <= {DELTA!r}::DOUBLE / (SELECT count(DISTINCT stratum) FROM k) AS ok FROM k),
