@@ -18,14 +18,34 @@ def test_top_k_is_limited_before_the_shuffle(spark):
     assert p.count("WindowGroupLimit") == 2 and "Partial" in p
 
 
-def test_global_scan_has_no_single_partition_of_rows(spark):
-    p = plan(catalogue.queries()["exclusive_scan_global"](spark, SF))
-    # the only one is over one row a partition
-    assert p.count("Exchange SinglePartition") == 1 and "rangepartitioning" in p
+@pytest.fixture
+def all_plans(monkeypatch):
+    """Plans of tables that a query writes on its way, and its own."""
+    from tilespark.operators import relational
 
+    made, write = [], relational.written
+    monkeypatch.setattr(relational, "written", lambda df, label: made.append(plan(df)) or write(df, label))
 
-def test_scans_are_pruned_and_filters_pushed(spark):
-    p = plan(catalogue.queries()["compact_flags"](spark, SF))
+    def run(query, spark):
+        made.clear()
+        made.append(plan(query(spark, SF)))
+        return made
+
+    return run
+
+
+@pytest.mark.parametrize("name", ["exclusive_scan_global", "exclusive_scan_wide", "kind_stream_offsets", "contiguity_violations", "neighbour_delta_coding"])
+def test_global_scans_have_no_single_partition_of_rows(spark, all_plans, name):
+    written, result = all_plans(catalogue.queries()[name], spark)
+    assert "rangepartitioning" in written and "SinglePartition" not in written
+    # the only one is over one row a range
+    assert result.count("Exchange SinglePartition") <= 1
+    for line in re.findall(r"Exchange SinglePartition.*?\n.*?\n", result):
+        assert "Aggregate" in line
+
+
+def test_scans_are_pruned_and_filters_pushed(spark, all_plans):
+    p = all_plans(catalogue.queries()["compact_flags"], spark)[0]
     assert "EqualTo(event_type,purchase)" in p and re.search(r"ReadSchema: struct<event_id:bigint,event_type:string>", p)
     p = plan(catalogue.queries()["distinct_counts"](spark, SF))
     assert "props" not in p

@@ -84,8 +84,8 @@ def dct_restore(q: np.ndarray, step: float, alpha: float = 0.0) -> np.ndarray:
 
 @lru_cache
 def bernstein(n: int) -> np.ndarray:
-    """Cubic Bernstein basis at n pixel centres."""
-    t = (np.arange(n) + 0.5) / n
+    """Cubic Bernstein basis at n places from 0 to 1, both ends included: the outer samples lie on the patch's edge."""
+    t = np.linspace(0, 1, n)
     return np.stack([(1 - t) ** 3, 3 * t * (1 - t) ** 2, 3 * t**2 * (1 - t), t**3], axis=1)
 
 

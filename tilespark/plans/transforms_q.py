@@ -75,15 +75,15 @@ def segment_distance(spark, sf):
     "curve_distance",
     f"""WITH {_GEO}, c AS (SELECT k, CAST(range AS INTEGER) AS i, power(1 - range / 31.0, 2) * ax + 2 * range / 31.0 * (1 - range / 31.0) * cx + power(range / 31.0, 2) * bx AS px,
       power(1 - range / 31.0, 2) * ay + 2 * range / 31.0 * (1 - range / 31.0) * cy + power(range / 31.0, 2) * "by" AS py FROM s, range(32)),
-    h AS (SELECT a.k, a.px AS x0, a.py AS y0, b.px AS x1, b.py AS y1 FROM c a JOIN c b ON a.k = b.k AND a.i + 1 = b.i), q AS (SELECT * FROM p WHERE x % 4 = 0.5 AND y % 4 = 0.5),
-    t AS (SELECT *, {_SEG.format("x0", "y0", "x1", "y1")} AS t FROM h, q), m AS (SELECT k, x, y, min(sqrt(power(x - x0 - t * (x1 - x0), 2) + power(y - y0 - t * (y1 - y0), 2))) AS d FROM t GROUP BY ALL)
+    h AS (SELECT a.k, a.px AS x0, a.py AS y0, b.px AS x1, b.py AS y1 FROM c a JOIN c b ON a.k = b.k AND a.i + 1 = b.i),
+    t AS (SELECT *, {_SEG.format("x0", "y0", "x1", "y1")} AS t FROM h, p), m AS (SELECT k, x, y, min(sqrt(power(x - x0 - t * (x1 - x0), 2) + power(y - y0 - t * (y1 - y0), 2))) AS d FROM t GROUP BY ALL)
     SELECT k, round(avg(d), 6) AS mean_distance FROM m GROUP BY 1""",
 )
 def curve_distance(spark, sf):
-    """Distance of some pixel centres to quadratic curves of 31 chords, in whole batches."""
+    """Distance of all pixel centres to quadratic curves of 31 chords."""
 
     def run(it):
-        at = np.arange(0, 16, 4) + 0.5
+        at = np.arange(16) + 0.5
         y, x = np.meshgrid(at, at, indexing="ij")
         for b in it:
             g = [b.column(c).to_pylist() for c in ("ax", "ay", "bx", "by", "cx", "cy")]
@@ -209,7 +209,7 @@ def greedy_tile_fit(spark, sf):
     """Primitives that the greedy fit chooses: how many, their bytes and the objective before and after."""
 
     def made(tile, t):
-        prims, trace = P.fit(t, 1e-4, rounds=2)
+        prims, trace = P.fit(t, 1e-4, rounds=8)
         return [(tile, len(prims), len(P.pack_tile(prims, 8)), trace[0], trace[-1])]
 
     return _over_colour(_colour_tiles(spark, sf), "tile long, n long, bytes long, before double, after double", made)
