@@ -23,7 +23,6 @@ import re
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -56,11 +55,15 @@ class Encoder:
         self.flat = np.array([SPECIAL_ID], np.uint32)
 
     def _learn(self, new: list[bytes]) -> None:
-        got = []
+        # runs of a batch are one text with the special string between them: a list of ids, not one for each run
+        parts = []
         for i in range(0, len(new), 4096):
-            got += [e.ids for e in self.tok.encode_batch_fast([r.decode() for r in new[i : i + 4096]], add_special_tokens=False)]
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        keep = np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))
+            (e,) = self.tok.encode_batch_fast([SPECIAL.encode().join(new[i : i + 4096]).decode() + SPECIAL], add_special_tokens=False)
+            parts.append(np.array(e.ids, np.uint32))
+        ids = np.concatenate(parts)
+        ends = np.flatnonzero(ids == SPECIAL_ID)
+        size = np.diff(ends, prepend=-1) - 1
+        keep = ids[ids != SPECIAL_ID]
         first = len(self.flat) + np.cumsum(size) - size
         self.memo.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
         self.first, self.size, self.flat = np.append(self.first, first), np.append(self.size, size), np.append(self.flat, keep)
