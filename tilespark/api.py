@@ -1,4 +1,4 @@
-"""The library in four calls: encode, decode, bench, experiment."""
+"""The library in a few calls: encode and decode (tiles or image files), bench, experiment."""
 
 from __future__ import annotations
 
@@ -20,6 +20,24 @@ def decode(parts: DataFrame) -> DataFrame:
     return codec.decode(parts)
 
 
+def encode_files(spark: SparkSession, path: str, quality: int = 75) -> DataFrame:
+    """Image files below a folder to containers: image, height, width, ch, part and blob."""
+    from tilespark.sources import images
+
+    return codec.encode_images(images.tiles(spark, path, codec.SIDE), quality)
+
+
+def decode_files(parts: DataFrame, folder: str) -> DataFrame:
+    """Containers of encode_files to PNG files in a folder that the tasks reach; name and bytes of each.
+
+    A file is named by its image's last name and a digest of its whole path, so images of two folders don't meet."""
+    from tilespark.sources import images
+
+    stem = F.regexp_extract("image", r"([^/]*?)(\.\w+)?$", 1)
+    d = codec.restore_images(parts).filter("png IS NOT NULL")
+    return images.save(d.select(F.concat(stem, F.lit("-"), F.substring(F.sha2("image", 256), 1, 12), F.lit(".png")).alias("name"), "png"), folder)
+
+
 def bench(tiles: DataFrame, qualities: list[int]) -> DataFrame:
     """One row for each quality and image: bytes, bits a sample, mean squared error and PSNR."""
     out = None

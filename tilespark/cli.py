@@ -1,6 +1,7 @@
-"""python -m tilespark.cli queries | run | bench | sweep
+"""python -m tilespark.cli queries | run | encode | decode | bench | sweep
 
-run NAME SF_DIR [--out DIR]: one query, shown or written as Parquet. bench SF_DIR [--qualities 50,75,90]: sizes and errors by
+run NAME SF_DIR [--out DIR]: one query, shown or written as Parquet. encode IMAGES OUT [--quality 75]: image files to containers
+as Parquet. decode IN OUT: these to PNG files. bench SF_DIR [--qualities 50,75,90]: sizes and errors by
 quality. sweep SF_DIR: the same as an experiment, with its leaderboard.
 """
 
@@ -17,6 +18,12 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("name")
     run.add_argument("sf_dir")
     run.add_argument("--out")
+    for name in ("encode", "decode"):
+        b = sub.add_parser(name)
+        b.add_argument("source")
+        b.add_argument("out")
+        if name == "encode":
+            b.add_argument("--quality", type=int, default=75)
     for name in ("bench", "sweep"):
         b = sub.add_parser(name)
         b.add_argument("sf_dir")
@@ -34,6 +41,13 @@ def main(argv: list[str] | None = None) -> int:
         df = catalogue.queries()[a.name](spark, a.sf_dir)
         df.write.parquet(a.out) if a.out else df.show(20, truncate=False)
         return 0
+    if a.what == "encode":
+        api.encode_files(spark, a.source, a.quality).write.parquet(a.out)
+        return 0
+    if a.what == "decode":
+        n = api.decode_files(spark.read.parquet(a.source), a.out).count()  # the count is what runs the job that saves them
+        print(f"{n} images")
+        return 0
     from tilespark.plans.tiles_q import embeddings
 
     tiles, qualities = embeddings(spark, a.sf_dir), [int(q) for q in a.qualities.split(",") if q.strip()]

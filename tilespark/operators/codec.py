@@ -85,3 +85,46 @@ def decode(parts: DataFrame) -> DataFrame:
 
     kind = parts.schema["image"].dataType.simpleString()
     return parts.mapInArrow(run, f"image {kind}, tile long, mse double, worst double, bytes long")
+
+
+#: What an image's samples are moved by before they are coded: bicubic controls hold -0.5 to 0.5.
+MIDDLE = 0.5
+
+
+def encode_images(tiles: DataFrame, quality: int) -> DataFrame:
+    """(image, height, width, ch, tile, v), as the image source cuts them, to image, height, width, ch, part and blob."""
+    plane = F.struct("image", "height", "width", "ch").alias("image")
+    d = tiles.select(plane, "tile", F.transform("v", lambda x: x - MIDDLE).alias("v"))
+    return encode(d, quality).select("image.*", "part", "blob")
+
+
+def restore_images(parts: DataFrame) -> DataFrame:
+    """image, height, width and png: what encode_images made, decoded.
+
+    A picture's file is one value, so its parts meet in one task, compressed; an image that has lost a part has a null png."""
+    from tilespark.sources import images
+
+    d = parts.groupBy("image", "height", "width").agg(F.collect_list(F.struct("ch", "part", "blob")).alias("parts"))
+
+    def picture(h: int, w: int, rows: list[dict]) -> bytes | None:
+        across, down = -(-w // SIDE), -(-h // SIDE)
+        out = np.empty((down * across, images.CHANNELS, SIDE * SIDE))
+        filled = np.zeros((down * across, images.CHANNELS), bool)
+        for r in rows:
+            v = decode_part(r["blob"])
+            at = slice(r["part"] * PART, r["part"] * PART + len(v))
+            out[at, r["ch"]] = v + MIDDLE
+            filled[at, r["ch"]] = True
+        if not filled.all():
+            return None
+        grid = out.reshape(down, across, images.CHANNELS, SIDE, SIDE).transpose(0, 3, 1, 4, 2)
+        return images.png(grid.reshape(down * SIDE, across * SIDE, images.CHANNELS)[:h, :w])
+
+    def run(it):
+        for b in it:
+            for i in range(b.num_rows):
+                name, h, w, rows = (c[i].as_py() for c in b.columns)
+                made = pa.array([picture(h, w, rows)], pa.binary())
+                yield pa.RecordBatch.from_arrays([c.slice(i, 1) for c in b.columns[:3]] + [made], names=["image", "height", "width", "png"])
+
+    return d.mapInArrow(run, "image string, height int, width int, png binary")
