@@ -16,6 +16,9 @@ _ALL = [
     ("chat", "op8_chat_format"),
     ("phrases", "op9_repeated_phrases"),
     ("licenses", "op10_license_scan"),
+    ("rotated", "op11_rotated_codes"),
+    ("audit", "op12_filter_audit"),
+    ("lloyd", "op13_cover_codes"),
 ]
 
 
