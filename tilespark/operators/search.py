@@ -66,7 +66,13 @@ def worth_refining(objective: Column, quality: Column, pool: Column) -> Column:
 def with_most_compute(flags: Column) -> Column:
     """A map of flags over the preset's."""
     preset = F.create_map(*[F.lit(x) for pair in MOST_COMPUTE.items() for x in pair])
-    return F.map_concat(preset, F.coalesce(flags, F.create_map().cast("map<string,string>")))
+    own = F.coalesce(flags, F.create_map().cast("map<string,string>"))
+    return F.map_concat(F.map_filter(preset, lambda k, v: ~F.map_contains_key(own, k)), own)
+
+
+def raised_to_most_compute(quality: Column, primitives: Column) -> list[Column]:
+    """What the preset makes of other settings: quality and max_primitives are raised, both residual layers are on."""
+    return [F.greatest(quality, F.lit(95)).alias("quality"), F.greatest(primitives, F.lit(48)).alias("max_primitives"), F.lit(True).alias("enable_res0"), F.lit(True).alias("enable_res1")]
 
 
 def from_models(models: DataFrame) -> DataFrame:
@@ -195,6 +201,9 @@ def edge_clusters(tiles: DataFrame, keep: list[str], v: str, share: float = 75.0
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
+            if not b.num_rows:
+                continue
+            b = b.filter(b.column(v).is_valid())
             if not b.num_rows:
                 continue
             m = K.stacked(b.column(v))
@@ -205,9 +214,13 @@ def edge_clusters(tiles: DataFrame, keep: list[str], v: str, share: float = 75.0
             rows = []
             for t in range(len(m)):
                 at = np.flatnonzero(edge[t])
+                if not len(at):
+                    continue
                 pts = np.stack([at // side, at % side], axis=1)
                 label = kmeans(pts, k)
                 rows += [(t, j, int((label == j).sum()), *pts[label == j].mean(axis=0).tolist()) for j in np.unique(label).tolist()]
+            if not rows:
+                continue
             of, *rest = (list(c) for c in zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(of)) for c in keep), *(pa.array(c, t) for c, t in zip(rest, (pa.int32(), pa.int64(), pa.float64(), pa.float64()), strict=True))], names=[*keep, "cluster", "n", "y", "x"])
 

@@ -49,6 +49,13 @@ def max_compute_preset(spark, sf):
     return d.select("c_custkey", F.explode(S.with_most_compute(F.col("flags"))).alias("flag", "value"))
 
 
+@register("max_compute_settings", "SELECT p_partkey, greatest(p_size * 2, 95)::INT AS quality, greatest(p_size, 48)::INT AS max_primitives, true AS enable_res0, true AS enable_res1 FROM part")
+def max_compute_settings(spark, sf):
+    """What the preset raises or switches on beside its flags."""
+    size = F.col("p_size").cast("int")
+    return table(spark, sf, "part").select("p_partkey", *S.raised_to_most_compute(size * 2, size))
+
+
 _TEMPLATES = ", ".join(f"('{b}', {m}, {k}, {[float(x) for x in g]}::DOUBLE[])" for b, m, k, g in S.TEMPLATES)
 
 

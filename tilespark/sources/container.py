@@ -1,8 +1,9 @@
-"""A tagged-block container for tiled images: a fixed head, a directory of blocks, aligned payloads, a checksum.
+"""A tagged-block container for tiled images that is read from its end: payloads, then a directory, then a tail of fixed size.
 
-Layout, little endian: magic (4 bytes), major, minor (u8), number of blocks (u16), 0 (u32); the directory, for each block tag (4
-bytes), offset and length (u64); then the payloads, each at a multiple of ALIGN. Blocks are compressed by zstd where that is shorter, and
-recognised by the frame's magic. META holds canonical JSON with the SHA-256 of all other blocks, uncompressed, in order.
+The layout is this library's own, made for range reads from an object store: one read of a file's last bytes gives its directory, and only the blocks that are asked for
+are read after that. A file is the signature, payloads (each at a multiple of ALIGN), the directory as canonical JSON, and the tail: the directory's length, its CRC-32 and the signature
+again. The directory names for each block its tag, offset, stored length, length as it is read and SHA-256 of that, so a block proves itself without the others; beside them it has
+the file's metadata and its features, the optional blocks that a reader must know to draw the picture. Blocks are compressed by zstd where that is shorter.
 """
 
 from __future__ import annotations
@@ -10,17 +11,21 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-MAGIC = b"TSPK"
-VERSION = (1, 0)
+SIGNATURE = b"tspk\x02\r\n\x00"
 ALIGN = 64
-_HEAD = struct.Struct("<4sBBHI")
-_ENTRY = struct.Struct("<4sQQ")
+_TAIL = struct.Struct("<II8s")
+#: What a first read takes from a file's end: most directories fit.
+NEAR = 16 << 10
 _ZSTD = b"\x28\xb5\x2f\xfd"
+#: What every picture has, the bases of which it has at least one, and what changes how it is drawn.
+REQUIRED, BASES = ("HEAD",), ("BIC", "PAL", "GRD", "PRIM")
+FEATURES = ("QTREE", "TOC", "CIDX", "RES0", "RES1", "RES2", "LITE", "DCT")
 
 
 class FormatError(ValueError):
@@ -46,51 +51,80 @@ def canonical(meta: dict) -> bytes:
     return json.dumps(meta, sort_keys=True, separators=(",", ":")).encode()
 
 
-def _up(n: int) -> int:
-    return -(-n // ALIGN) * ALIGN
+def write(blocks: dict[str, bytes], meta: dict, level: int = 19) -> bytes:
+    out, entries = bytearray(SIGNATURE), []
+    for tag, data in blocks.items():
+        stored = squeeze(data, level)
+        out += bytes(-len(out) % ALIGN)
+        entries.append([tag, len(out), len(stored), len(data), hashlib.sha256(data).hexdigest()])
+        out += stored
+    listing = canonical({"blocks": entries, "features": [t for t in FEATURES if t in blocks], "meta": meta})
+    return bytes(out) + listing + _TAIL.pack(len(listing), zlib.crc32(listing), SIGNATURE)
+
+
+class Directory:
+    """What a file's end says, read by ``fetch(offset, length)``."""
+
+    def __init__(self, fetch: Callable[[int, int], bytes], size: int):
+        if size < len(SIGNATURE) + _TAIL.size:
+            raise FormatError("truncated")
+        end = fetch(max(0, size - NEAR), min(size, NEAR))
+        length, crc, signature = _TAIL.unpack(end[-_TAIL.size :])
+        if signature != SIGNATURE:
+            raise FormatError("another signature")
+        at = size - _TAIL.size - length
+        if at < len(SIGNATURE):
+            raise FormatError("a directory past the start")
+        listing = end[-_TAIL.size - length : -_TAIL.size] if length + _TAIL.size <= len(end) else fetch(at, length)
+        if zlib.crc32(listing) != crc:
+            raise FormatError("a broken directory")
+        held = json.loads(listing)
+        self.meta, self.features, self.blocks = held["meta"], held["features"], held["blocks"]
+        for tag, start, stored, _, _ in self.blocks:
+            if start < len(SIGNATURE) or start + stored > at:
+                raise FormatError(f"{tag} is not inside the file")
+        self._fetch = fetch
+
+    def payload(self, entry: list, check: bool = True) -> bytes:
+        tag, start, stored, length, digest = entry
+        try:
+            data = expand(self._fetch(start, stored))
+        except FormatError:
+            raise
+        except Exception as e:  # zstd's own errors are of several kinds
+            raise FormatError(f"{tag}: {e}") from e
+        if len(data) != length or check and hashlib.sha256(data).hexdigest() != digest:
+            raise FormatError(f"{tag}: another checksum")
+        return data
+
+    def complete(self) -> None:
+        """Raises where a picture can't be drawn from the file, or where features and blocks differ."""
+        tags = [e[0] for e in self.blocks]
+        if missing := [t for t in REQUIRED if t not in tags]:
+            raise FormatError(f"no {missing[0]} block")
+        if not any(t in tags for t in BASES):
+            raise FormatError("no block to draw from")
+        if len(set(tags)) < len(tags):
+            raise FormatError("a tag twice")
+        if self.features != [t for t in FEATURES if t in tags]:
+            raise FormatError("features and blocks differ")
+
+
+def _inside(blob: bytes) -> Directory:
+    if blob[: len(SIGNATURE)] != SIGNATURE:
+        raise FormatError("another signature")
+    return Directory(lambda at, n: blob[at : at + n], len(blob))
 
 
-def write(blocks: dict[str, bytes], meta: dict) -> bytes:
-    digest = hashlib.sha256(b"".join(blocks.values())).hexdigest()
-    all_ = {**{t: squeeze(b) for t, b in blocks.items()}, "META": canonical({**meta, "sha256": digest})}
-    at = _up(_HEAD.size + _ENTRY.size * len(all_))
-    directory, body = b"", b""
-    for tag, data in all_.items():
-        body += bytes(_up(len(body)) - len(body))
-        directory += _ENTRY.pack(tag.encode().ljust(4), at + len(body), len(data))
-        body += data
-    head = _HEAD.pack(MAGIC, *VERSION, len(all_), 0) + directory
-    return head + bytes(at - len(head)) + body
+def directory(blob: bytes) -> list[tuple[str, int, int]]:
+    return [(tag, at, stored) for tag, at, stored, _, _ in _inside(blob).blocks]
 
 
-def directory(blob: bytes) -> list[tuple[str, int, int]]:
-    if len(blob) < _HEAD.size:
-        raise FormatError("truncated head")
-    magic, major, _, n, _ = _HEAD.unpack_from(blob)
-    if magic != MAGIC:
-        raise FormatError("another magic")
-    if major != VERSION[0]:
-        raise FormatError(f"major version {major}")
-    if len(blob) < _HEAD.size + n * _ENTRY.size:
-        raise FormatError("truncated directory")
-    out = []
-    for i in range(n):
-        tag, at, size = _ENTRY.unpack_from(blob, _HEAD.size + i * _ENTRY.size)
-        if at + size > len(blob):
-            raise FormatError("a block past the end")
-        out.append((tag.decode().strip(), at, size))
-    return out
-
-
-def read(blob: bytes, check: bool = True) -> tuple[dict[str, bytes], dict]:
-    blocks = {tag: blob[at : at + size] for tag, at, size in directory(blob)}
-    if "META" not in blocks:
-        raise FormatError("no META block")
-    meta = json.loads(blocks.pop("META"))
-    blocks = {t: expand(b) for t, b in blocks.items()}
-    if check and hashlib.sha256(b"".join(blocks.values())).hexdigest() != meta.get("sha256"):
-        raise FormatError("another checksum")
-    return blocks, meta
+def read(blob: bytes, check: bool = True, complete: bool = False) -> tuple[dict[str, bytes], dict]:
+    d = _inside(blob)
+    if complete:
+        d.complete()
+    return {e[0]: d.payload(e, check) for e in d.blocks}, d.meta
 
 
 def files(spark, path: str) -> DataFrame:
@@ -98,20 +132,31 @@ def files(spark, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.tspk").load(path).select("path", "content")
 
 
+_ROWS = pa.schema([("path", pa.string()), ("tag", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("payload", pa.binary()), ("error", pa.string())])
+
+
+def rows_of(path: str, d: Directory, wanted: Callable[[str], bool] = lambda tag: True, payloads: bool = True) -> Iterable[tuple]:
+    for e in d.blocks:
+        if wanted(e[0]):
+            yield path, e[0], e[1], e[2], d.payload(e) if payloads else None, None
+
+
+def record(rows: list[tuple], schema: pa.Schema = _ROWS) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
 def blocks(containers: DataFrame) -> DataFrame:
     """path, tag, offset, length, payload, error: a row for each block; a file that can't be read gives one row with its error."""
-    schema = pa.schema([("path", pa.string()), ("tag", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("payload", pa.binary()), ("error", pa.string())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             rows = []
             for path, blob in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
                 try:
-                    read(blob)
-                    rows += [(path, t, at, n, expand(blob[at : at + n]) if t != "META" else blob[at : at + n], None) for t, at, n in directory(blob)]
+                    rows += list(rows_of(path, _inside(blob)))
                 except ValueError as e:
                     rows.append((path, None, None, None, None, str(e)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                yield record(rows)
 
     return containers.select("path", "content").mapInArrow(run, "path string, tag string, offset long, length long, payload binary, error string")
