@@ -2,6 +2,9 @@
 
 A layout names the fixed fields of a payload's head, the arrays that follow with the number of their elements (from the head), and what must
 hold of both. Everything is little endian and unaligned; a payload has exactly the bytes that its head asks for.
+
+The layouts are this library's own, as its container is: it reads no other program's files, so nothing fixes their order. Settings come first and counts next to the arrays that they
+count; rows come before columns, as in the shapes of arrays.
 """
 
 from __future__ import annotations
@@ -44,6 +47,9 @@ _CHROMA = (_within("chroma", 0, 2), ("a negative ramp", lambda v: v["alpha"] >=
 _LAYOUT = (*_CHROMA, _within("layout", 0, 1))
 
 LAYOUTS = {
+    # a part of an image: its extent, where it lies, and the side of its tiles where no QTREE says so
+    "HEAD": Layout((("height", "<u4"), ("width", "<u4"), ("y", "<u4"), ("x", "<u4"), ("side", "u1")), (), (("an empty picture", lambda v: v["height"] > 0 and v["width"] > 0), _within("side", 1, 64))),
+    "BIC": Layout((("n", "<u4"),), (("control", "u1", lambda v: 48 * v["n"]),)),
     "TOC": Layout((("n", "<u4"),), (("offsets", "<u4", lambda v: v["n"]),), (("offsets descend", lambda v: bool((np.diff(np.asarray(v["offsets"], np.int64)) >= 0).all())),)),
     "CIDX": Layout((("n", "<u4"),), (("chunks", CHUNK, lambda v: v["n"]),), (("chunks leave a gap", lambda v: bool((v["chunks"]["start"][1:] == v["chunks"]["start"][:-1] + v["chunks"]["tiles"][:-1]).all())),)),
     "RES0": Layout((("n", "<u4"),), (("bias", "i1", lambda v: 3 * v["n"]),)),
@@ -51,12 +57,12 @@ LAYOUTS = {
     "QTREE": Layout((("n", "<u4"),), (("tiles", TILE, lambda v: v["n"]),), (("another tile size", lambda v: bool(np.isin(v["tiles"]["size"], (8, 16, 32)).all())),)),
     "LITE": Layout((("h", "<u2"), ("w", "<u2")), (("grid", "i1", lambda v: v["h"] * v["w"]),)),
     "PAL": Layout(
-        (("k", "<u2"), ("w", "<u4"), ("h", "<u4")), (("palette", "u1", lambda v: 3 * v["k"]), ("labels", "u1", lambda v: v["w"] * v["h"])),
+        (("h", "<u4"), ("w", "<u4"), ("k", "<u2")), (("palette", "u1", lambda v: 3 * v["k"]), ("labels", "u1", lambda v: v["h"] * v["w"])),
         (_within("k", 1, 256), ("a label past the palette", lambda v: not len(v["labels"]) or int(v["labels"].max()) < v["k"])),
     ),
     "GRD": Layout(
-        (("w", "<u4"), ("h", "<u4"), ("scale", "<u2"), ("c", "<u2")),
-        (("means", "<f4", lambda v: v["c"]), ("gx", "i1", lambda v: v["w"] * v["h"] * v["c"]), ("gy", "i1", lambda v: v["w"] * v["h"] * v["c"])), (_within("scale", 1, 65535),),
+        (("scale", "<u2"), ("h", "<u4"), ("w", "<u4"), ("c", "<u2")),
+        (("means", "<f4", lambda v: v["c"]), ("gx", "i1", lambda v: v["h"] * v["w"] * v["c"]), ("gy", "i1", lambda v: v["h"] * v["w"] * v["c"])), (_within("scale", 1, 65535),),
     ),
     # the transform's block has grown: presence of tiles, then the order of coefficients, then a scale for each tile
     "DCT2": Layout(_DCT, (_COEFFICIENTS,), _CHROMA),

@@ -155,12 +155,17 @@ def visibility(stack: Layers, n: int, depth: int, source: float, pixels: int) ->
     return w.reshape(n, 2 * depth, -1)
 
 
-def spread(grid: np.ndarray, pixels: int) -> np.ndarray:
-    """Grids of n x g x g x 3, a value at the middle of each cell, at all pixel centres (n x pixels^2 x 3), bilinear; beyond the outer middles the nearest value holds."""
-    g = grid.shape[1]
-    at = np.clip((np.arange(pixels) + 0.5) * g / pixels - 0.5, 0, g - 1)
+def lerp(pixels: int, cells: int) -> np.ndarray:
+    """Weights (pixels x cells) of values at the middles of cells for pixel centres; beyond the outer middles the nearest value holds."""
+    at = np.clip((np.arange(pixels) + 0.5) * cells / pixels - 0.5, 0, cells - 1)
     low = np.floor(at).astype(np.int64)
-    m = np.zeros((pixels, g))
+    m = np.zeros((pixels, cells))
     np.add.at(m, (np.arange(pixels), low), 1 - (at - low))
-    np.add.at(m, (np.arange(pixels), np.minimum(low + 1, g - 1)), at - low)
+    np.add.at(m, (np.arange(pixels), np.minimum(low + 1, cells - 1)), at - low)
+    return m
+
+
+def spread(grid: np.ndarray, pixels: int) -> np.ndarray:
+    """Grids of n x g x g x 3, a value at the middle of each cell, at all pixel centres (n x pixels^2 x 3), bilinear."""
+    m = lerp(pixels, grid.shape[1])
     return np.einsum("ya,nabc,xb->nyxc", m, grid, m).reshape(len(grid), pixels * pixels, grid.shape[3])

@@ -37,10 +37,8 @@ def table(spark: SparkSession, sf_dir: str, name: str):
 _LOCAL: dict[str, str] = {}
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as Parquet in the folder that the cluster shares (spark.checkpoint.dir), read again: what follows sees the same rows however often
-    it scans them, and the lineage ends here. Only a local session without that setting uses a temporary folder."""
-    spark = df.sparkSession
+def fresh(spark: SparkSession, label: str) -> str:
+    """A path of its own in the folder that the cluster shares (spark.checkpoint.dir). Only a local session without that setting uses a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
@@ -48,6 +46,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
         base = _LOCAL.setdefault(spark.sparkContext.applicationId, "")
         if not base:
             base = _LOCAL[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="tilespark-core-")
-    path = f"{base.rstrip('/')}/tilespark-core/{label}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/tilespark-core/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as Parquet in the shared folder, read again: what follows sees the same rows however often it scans them, and the lineage ends here.
+    The job that writes runs when this is called, so a query that stands on it runs jobs while it is being built."""
+    path = fresh(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
