@@ -122,3 +122,35 @@ def largest_remainder(df: DataFrame, weight: str, total: int, segment: Sequence[
     left = F.lit(total) - F.sum("__floor").over(seg)
     rank = F.row_number().over(seg.orderBy(F.desc(F.round(F.col("__exact") - F.col("__floor"), 9)), *order))
     return d.withColumn("budget", F.col("__floor") + F.when(rank <= left, 1).otherwise(0)).drop("__exact", "__floor")
+
+
+def capped_shares(df: DataFrame, weight: str, cap: str, target: str, segment: Sequence[str], order: Sequence[str], into: str = "share") -> DataFrame:
+    """Whole shares of target (a column, one value a segment) in proportion to weight, none above the row's cap; what caps leave is shared again among the others until no share is above its own.
+
+    That end is a water level: with rows by cap / weight, the level is the largest of (target - caps before) / (weights from here on), and a row gets the less of its cap and level * weight. Rounding
+    goes to the largest fractions below a cap, ties by order. Shares sum to the target, or to all caps where these are less. A segment's windows are sorted and spill; weights
+    below 1e-9, null and negative ones count as 1e-9."""
+    w, c, exact, floor = _free(df, "__w", "__c", "__exact", "__floor")
+    seg = Window.partitionBy(*segment)
+    d = df.withColumn(w, F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(1e-9))).withColumn(c, F.greatest(F.coalesce(F.col(cap).cast("long"), F.lit(0)), F.lit(0)))
+    line = seg.orderBy(F.col(c) / F.col(w), *order)
+    before = F.coalesce(F.sum(c).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum(w).over(line.rowsBetween(0, Window.unboundedFollowing))
+    goal = F.least(F.greatest(F.col(target).cast("long"), F.lit(0)), F.sum(c).over(seg))
+    level = _free(df, "__level")[0]
+    d = d.withColumn(level, (goal - before) / rest).withColumn(level, F.max(level).over(seg))
+    d = d.withColumn(exact, F.least(F.col(c).cast("double"), F.greatest(F.col(level), F.lit(0.0)) * F.col(w)))
+    d = d.withColumn(floor, F.least(F.col(c), F.floor(F.col(exact) + 1e-9).cast("long")))
+    left = goal - F.sum(floor).over(seg)
+    full = F.col(floor) >= F.col(c)
+    rank = F.row_number().over(seg.orderBy(full, F.desc(F.round(F.col(exact) - F.col(floor), 7)), *order))
+    return d.withColumn(into, F.col(floor) + F.when((rank <= left) & ~full, 1).otherwise(0)).drop(w, c, level, exact, floor)
+
+
+def tile_budgets(df: DataFrame, weight: str, cap: str, pixels: str, bits_per_pixel: float, segment: Sequence[str], order: Sequence[str], tile_bits: int = 32, primitive_bits: int = 72) -> DataFrame:
+    """Primitives that each tile may have: one, and its share of those that the segment's bits pay for (pixels is the segment's size on every row), up to its cap."""
+    extra, most = _free(df, "__extra", "__most")
+    n = F.count(F.lit(1)).over(Window.partitionBy(*segment))
+    paid = F.floor(F.greatest(F.lit(0.0), F.col(pixels) * F.lit(float(bits_per_pixel)) - n * tile_bits) / primitive_bits).cast("long")
+    d = df.withColumn(extra, paid).withColumn(most, F.greatest(F.col(cap).cast("long"), F.lit(1)) - 1)
+    return capped_shares(d, weight, most, extra, segment, order, "budget").withColumn("budget", F.col("budget") + 1).drop(extra, most)

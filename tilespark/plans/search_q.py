@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tilespark.operators import search as S
@@ -173,3 +175,98 @@ def srgb_byte_psnr(spark, sf):
 def edge_point_clusters(spark, sf):
     """k-means with a seeded start over edge points: tested against a plain version."""
     return S.edge_clusters(Q.embeddings(spark, sf), ["tile"], "v")
+
+
+@register("error_windows", f"""WITH {Q._T}, a AS (SELECT tile, y, x, abs(v - w) AS e FROM t), w AS (SELECT CAST(s.k AS INTEGER) AS size, CAST(y.range AS INTEGER) AS wy, CAST(x.range AS INTEGER) AS wx FROM (SELECT unnest([4, 2]) AS k) s, range(8) y, range(8) x
+    WHERE y.range % (s.k // 2) = 0 AND x.range % (s.k // 2) = 0 AND y.range + s.k <= 8 AND x.range + s.k <= 8)
+    SELECT tile, size, wy, wx, round(sum(e), 7) AS error FROM a, w WHERE a.y >= wy AND a.y < wy + size AND a.x >= wx AND a.x < wx + size GROUP BY ALL""")
+def error_windows(spark, sf):
+    """The error of overlapping windows of each tile, by four lookups in a summed-area table."""
+    from tilespark.operators import kernels as K
+    from tilespark.operators import refine as Rf
+
+    at = Rf.windows(8)
+    d = Q.embeddings(spark, sf).withColumn("w", Q.coarse(F.col("v")))
+    sums = K.over_tiles(d, ["v", "w"], {"e": "array<double>"}, lambda v, w: [Rf.window_sums(Rf.summed_area(np.abs(v - w), 8), at)], ["tile"])
+    place = F.array(*[F.struct(*[F.lit(int(x)).alias(n) for n, x in zip(("wy", "wx", "size"), row, strict=True)]) for row in at])
+    d = sums.select("tile", F.posexplode("e").alias("i", "error")).withColumn("p", F.get(place, F.col("i")))
+    return d.select("tile", "p.size", "p.wy", "p.wx", F.round("error", 7).alias("error"))
+
+
+_SOBEL = f"""{Q._T}, n AS (SELECT a.tile, a.y, a.x, sum(b.v * (b.x - a.x) * (2 - abs(b.y - a.y))) AS sx, sum(b.v * (b.y - a.y) * (2 - abs(b.x - a.x))) AS sy, max(a.v) AS v
+      FROM t a JOIN t b ON a.tile = b.tile AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 WHERE a.x BETWEEN 1 AND 6 AND a.y BETWEEN 1 AND 6 GROUP BY ALL),
+    o AS (SELECT *, sqrt(sx * sx + sy * sy) AS m, atan2(sy, sx) AS a FROM n), r AS (SELECT *, CAST(least(11, floor(CASE WHEN a < 0 THEN a + pi() WHEN a >= pi() THEN a - pi() ELSE a END / pi() * 12)) AS INTEGER) AS bin FROM o)"""
+
+
+@register(
+    "edge_candidates",
+    f"""WITH {_SOBEL}, h AS (SELECT tile, bin, sum(m) AS weight FROM r GROUP BY ALL), k AS (SELECT tile, bin, (bin + 0.5) * pi() / 12 AS th FROM (SELECT *, max(weight) OVER (PARTITION BY tile) AS top FROM h) WHERE weight > 0.2::DOUBLE * top),
+    ramp AS (SELECT k.tile, row_number() OVER (PARTITION BY k.tile ORDER BY bin) - 1 AS ord, 'ramp' AS family, 4 - cos(th) * 4.2 AS x0, 4 - sin(th) * 4.2 AS y0, 4 + cos(th) * 4.2 AS x1, 4 + sin(th) * 4.2 AS y1,
+      avg(v) FILTER ((x - 3.5) * cos(th) + (y - 3.5) * sin(th) < 0) AS c0, avg(v) FILTER ((x - 3.5) * cos(th) + (y - 3.5) * sin(th) >= 0) AS c1 FROM k JOIN t USING (tile) GROUP BY k.tile, bin, th),
+    e AS (SELECT *, x + 0.5 AS px, y + 0.5 AS py FROM (SELECT *, quantile_cont(m, 0.75) OVER (PARTITION BY tile) AS edge FROM r) WHERE m >= edge AND m > 0),
+    c AS (SELECT tile, avg(px) AS cx, avg(py) AS cy, avg(v) AS colour, 0.5 * atan2(2 * covar_pop(px, py), var_pop(px) - var_pop(py)) AS th FROM e GROUP BY tile HAVING count(*) >= 2),
+    l AS (SELECT tile, cx, cy, th, colour, min((px - cx) * cos(th) + (py - cy) * sin(th)) AS low, max((px - cx) * cos(th) + (py - cy) * sin(th)) AS high FROM e JOIN c USING (tile) GROUP BY ALL),
+    line AS (SELECT tile, (SELECT count(*) FROM k WHERE k.tile = l.tile) AS ord, 'line' AS family, cx + low * cos(th) AS x0, cy + low * sin(th) AS y0, cx + high * cos(th) AS x1, cy + high * sin(th) AS y1, colour AS c0, colour AS c1 FROM l)
+    SELECT tile, CAST(ord AS INTEGER) AS ord, family, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1, round(c0, 7) AS c0, round(c1, 7) AS c1 FROM (FROM ramp UNION ALL FROM line)""",
+)
+def edge_candidates(spark, sf):
+    """Ramps along the peaks of the orientation histogram, and the line through the edge points by their main axis and extent."""
+    from tilespark.operators import edges
+
+    d = edges.candidates(Q.embeddings(spark, sf), ["tile"], "v", Q.SIDE).filter(F.col("family").isin("ramp", "line"))
+    return d.select("tile", "ord", "family", *[F.round(F.col("geom")[i], 6).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))], F.round("color0", 7).alias("c0"), F.round("color1", 7).alias("c1"))
+
+
+_BPP = 3.0
+
+
+@register(
+    "capped_tile_budgets",
+    f"""WITH {Q._T}, w AS (SELECT tile, image, greatest(round(var_pop(v), 9), 1e-9) AS w, CASE WHEN tile % 5 = 0 THEN 1 ELSE 2 + tile % 4 END AS c FROM t GROUP BY tile, image),
+    g AS (SELECT *, least(sum(c) OVER (PARTITION BY image), floor(greatest(0, count(*) OVER (PARTITION BY image) * 64 * {_BPP}::DOUBLE - count(*) OVER (PARTITION BY image) * 32) / 72)) AS goal FROM w),
+    l AS (SELECT *, (goal - coalesce(sum(c) OVER (PARTITION BY image ORDER BY c / w, tile ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (PARTITION BY image ORDER BY c / w, tile ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM g),
+    x AS (SELECT *, least(c, greatest(0, max(level) OVER (PARTITION BY image)) * w) AS exact FROM l), f AS (SELECT *, least(c, floor(exact + 1e-9)) AS low FROM x),
+    r AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY low >= c, round(exact - low, 7) DESC, tile) AS r, goal - sum(low) OVER (PARTITION BY image) AS rest FROM f)
+    SELECT image, tile, CAST(1 + low + CASE WHEN r <= rest AND low < c THEN 1 ELSE 0 END AS BIGINT) AS budget FROM r""",
+)
+def capped_tile_budgets(spark, sf):
+    """Primitives by tile under a cap each and the image's bits: what capped tiles leave goes to the others."""
+    from tilespark.operators import kernels as K
+    from tilespark.operators import relational as R
+
+    d = K.over_tiles(Q.embeddings(spark, sf), "v", {"w": "double"}, lambda v: [v.var(axis=1)], ["tile", "image"])
+    cap = F.when(F.col("tile") % 5 == 0, 2).otherwise(F.col("tile") % 4 + 3)
+    d = d.withColumn("w", F.round("w", 9)).withColumn("cap", cap).withColumn("pixels", F.count(F.lit(1)).over(Window.partitionBy("image")) * 64)
+    return R.tile_budgets(d, "w", "cap", "pixels", _BPP, ["image"], ["tile"]).select("image", "tile", "budget")
+
+
+_H, _W, _NH, _NW = 32, 8, 20, 13
+_SCALED = """WITH p AS (SELECT vec_id // 4 AS image, CAST(vec_id % 4 * 8 + i // 8 AS INTEGER) AS y, CAST(i % 8 AS INTEGER) AS x, v FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)),
+b AS (SELECT image, max(y) + 1 AS h FROM p GROUP BY 1),
+kx AS (SELECT o, i, {f} AS k FROM (SELECT CAST(o.range AS INTEGER) AS o, CAST(i.range AS INTEGER) AS i, (i.range + 0.5 - (o.range + 0.5) * 8 / {nw}::DOUBLE) / greatest(1, 8 / {nw}::DOUBLE) AS d FROM range({nw}) o, range(8) i)),
+wx AS (SELECT o, i, k / sum(k) OVER (PARTITION BY o) AS k FROM kx),
+ky AS (SELECT h, o, i, {f} AS k FROM (SELECT h, CAST(o.range AS INTEGER) AS o, CAST(i.range AS INTEGER) AS i, (i.range + 0.5 - (o.range + 0.5) * h / {nh}::DOUBLE) / greatest(1, h / {nh}::DOUBLE) AS d FROM (SELECT DISTINCT h FROM b), range({nh}) o, range(32) i WHERE i.range < h)),
+wy AS (SELECT h, o, i, k / sum(k) OVER (PARTITION BY h, o) AS k FROM ky),
+a AS (SELECT image, y, o AS x, sum(v * k) AS v FROM p JOIN wx ON i = x GROUP BY image, y, o)
+SELECT a.image, wy.o AS y, x, round(sum(v * k), 6) AS v FROM a JOIN b ON a.image = b.image JOIN wy ON wy.h = b.h AND wy.i = a.y GROUP BY a.image, wy.o, x"""
+_LANCZOS = "CASE WHEN abs(d) >= 3 THEN 0 WHEN d = 0 THEN 1 ELSE sin(pi() * d) / (pi() * d) * sin(pi() * d / 3) / (pi() * d / 3) END"
+
+
+def _resized(spark, sf, kind):
+    """Four tiles over one another are an image of 8 by 32, scaled to 13 by 20."""
+    from tilespark.operators import scaling
+
+    d = table(spark, sf, "embeddings").select(F.expr("vec_id div 4").alias("image"), (F.col("vec_id") % 4).cast("int").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("r"), "embedding")
+    rows = d.select("image", (F.col("k") * 8 + F.col("r")).alias("y"), F.slice("embedding", F.col("r") * 8 + 1, F.lit(8)).alias("v"), F.lit(_NH).alias("h"), F.lit(_NW).alias("w"))
+    out = scaling.resized(rows, "h", "w", 1, kind)
+    return out.select("image", "y", F.posexplode("v").alias("x", "v")).withColumn("v", F.round("v", 6))
+
+
+@register("lanczos_resize", _SCALED.format(f=_LANCZOS, nw=_NW, nh=_NH))
+def lanczos_resize(spark, sf):
+    return _resized(spark, sf, "lanczos")
+
+
+@register("bilinear_image_resize", _SCALED.format(f="greatest(0, 1 - abs(d))", nw=_NW, nh=_NH))
+def bilinear_image_resize(spark, sf):
+    return _resized(spark, sf, "bilinear")

@@ -172,24 +172,25 @@ def primitive_render(spark, sf):
 
 
 def _colour_tiles(spark, sf):
+    """Three consecutive vectors are a colour tile; where the last one lacks some, its last vector stands in."""
     from tilespark.plans.tiles_q import embeddings
 
-    d = embeddings(spark, sf).groupBy(F.expr("tile div 3").alias("tile")).agg(F.array_sort(F.collect_list(F.struct("tile", "v"))).alias("c")).filter("size(c) = 3")
+    d = embeddings(spark, sf).groupBy(F.expr("tile div 3").alias("tile")).agg(F.array_sort(F.collect_list(F.struct("tile", "v"))).alias("c"))
+    channel = lambda i: F.get("c", F.least(F.lit(i), F.size("c") - 1))["v"]
     # to [0, 1]
-    return d.select("tile", *[F.transform(F.col("c")[i]["v"], lambda e: F.least(F.lit(1.0), F.greatest(F.lit(0.0), e + 0.5))).alias(n) for i, n in enumerate("rgb")])
+    return d.select("tile", *[F.transform(channel(i), lambda e: F.least(F.lit(1.0), F.greatest(F.lit(0.0), e + 0.5))).alias(n) for i, n in enumerate("rgb")])
 
 
-def _over_colour(d, ddl, made):
-    """made(tile id, (8, 8, 3) array) to rows."""
+def _over_colour(d, ddl, made, most=256):
+    """made(tile ids, (n, 64, 3) array) to columns, for up to most tiles at once."""
+    names = [x.strip().split()[0] for x in ddl.split(", ")]
 
     def run(it):
         for b in it:
-            rows = []
-            rgb = [np.array(b.column(c).to_pylist()).reshape(-1, 8, 8) for c in "rgb"] if b.num_rows else []
-            for i, tile in enumerate(b.column("tile").to_pylist()):
-                rows += made(tile, np.stack([c[i] for c in rgb], axis=2))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows, strict=True)], names=[x.split()[0] for x in ddl.split(", ")])
+            for at in range(0, b.num_rows, most):
+                part = b.slice(at, most)
+                rgb = np.stack([part.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, 64) for c in "rgb"], axis=2)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in made(part.column("tile").to_numpy(), rgb)], names=names)
 
     return d.mapInArrow(run, ddl)
 
@@ -197,36 +198,85 @@ def _over_colour(d, ddl, made):
 @register("candidate_generation")
 def candidate_generation(spark, sf):
     """Every candidate of every tile with its objective, numbered in the order that ties go by."""
+    from tilespark.operators import refine as Rf
 
     def made(tile, t):
-        return [(tile, i, c["kind"], P.objective(t, [c], 1e-4)) for i, c in enumerate(P.candidates(t))]
+        pool = Rf.template_pool(t, 8)
+        n, c = pool.kind.shape
+        alone = [Rf.objective(t, Rf.stored(pool.picked(np.full((n, 1), j)), 8), 8, 1e-4) for j in range(c)]
+        return [np.repeat(tile, c), np.tile(np.arange(c), n), pool.kind.reshape(-1).astype(np.int64), np.stack(alone, axis=1).reshape(-1)]
 
     return _over_colour(_colour_tiles(spark, sf), "tile long, ord long, kind long, objective double", made)
 
 
-@register("greedy_tile_fit")
-def greedy_tile_fit(spark, sf):
-    """Primitives that the greedy fit chooses: how many, their bytes and the objective before and after."""
+def _fitted(spark, sf, width, quality, refine):
+    from tilespark.operators import refine as Rf
 
     def made(tile, t):
-        prims, trace = P.fit(t, 1e-4, rounds=8)
-        return [(tile, len(prims), len(P.pack_tile(prims, 8)), trace[0], trace[-1])]
+        lam = 1e-6
+        none = Rf.objective(t, Rf.Set.empty(len(t), 1), 8, lam)
+        s, after = Rf.fit(t, 8, quality, lam, width, refine)
+        size = [len(P.pack_tile(x, 8)) for x in s.lists()]
+        return [tile, (s.kind >= 0).sum(axis=1).astype(np.int64), np.array(size, np.int64), none, after]
 
     return _over_colour(_colour_tiles(spark, sf), "tile long, n long, bytes long, before double, after double", made)
 
 
+@register("greedy_tile_fit")
+def greedy_tile_fit(spark, sf):
+    """Primitives that the greedy fit chooses, with eight rounds at quality 75 and up to three pools of residual candidates: how many, their bytes and the objective before and after."""
+    return _fitted(spark, sf, 1, 75, False)
+
+
+@register("beam_tile_fit")
+def beam_tile_fit(spark, sf):
+    """The same by a beam of four."""
+    return _fitted(spark, sf, 4, 75, False)
+
+
+@register("refined_tile_fit")
+def refined_tile_fit(spark, sf):
+    """The whole fit at quality 90: twenty rounds, then least-squares colours and pattern search."""
+    return _fitted(spark, sf, 1, 90, True)
+
+
 @register("primitive_codec_roundtrip")
 def primitive_codec_roundtrip(spark, sf):
     """Candidates through the wire form and back: reading and writing again gives the same bytes."""
+    from tilespark.operators import refine as Rf
 
     def made(tile, t):
-        blob = P.pack_tile(P.candidates(t), 8)
-        again = P.pack_tile(P.unpack_tile(blob, 8), 8)
-        return [(tile, len(blob), again == blob)]
+        blobs = [P.pack_tile(x, 8) for x in Rf.template_pool(t, 8).lists()]
+        again = [P.pack_tile(P.unpack_tile(x, 8), 8) for x in blobs]
+        return [tile, np.array([len(x) for x in blobs], np.int64), np.array([x == y for x, y in zip(blobs, again, strict=True)])]
 
     return _over_colour(_colour_tiles(spark, sf), "tile long, bytes long, same boolean", made)
 
 
+@register(
+    "least_squares_colours",
+    """WITH c AS (SELECT vec_id // 3 AS tile, vec_id % 3 AS ch, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS p, least(1.0, greatest(0.0, CAST(unnest(embedding) AS DOUBLE) + 0.5)) AS v FROM embeddings),
+    n AS (SELECT tile, max(ch) AS most FROM c GROUP BY 1),
+    f AS (SELECT n.tile, CAST(k.range AS INTEGER) AS ch, p, v FROM n, range(3) k, c WHERE c.tile = n.tile AND c.ch = least(k.range, most)),
+    g AS (SELECT *, p // 8 + 0.5::DOUBLE AS y, p % 8 + 0.5::DOUBLE AS x, round_even((tile % 8) / 7.0::DOUBLE * 65535, 0) / 65535 * 7 AS x0, round_even((tile // 8 % 8) / 7.0::DOUBLE * 65535, 0) / 65535 * 7 AS y1 FROM f),
+    t AS (SELECT *, least(1.0, greatest(0.0, ((x - x0) * (7 - x0) + (y - 0) * (y1 - 0)) / greatest(1e-8, power(7 - x0, 2) + power(y1, 2)))) AS t FROM g),
+    a AS (SELECT *, round_even(0.8::DOUBLE * 65535, 0) / 65535 * exp(-(power(x - x0 - t * (7 - x0), 2) + power(y - t * y1, 2)) / (2 * power(round_even(0.25::DOUBLE * 65535, 0) / 65535 * 4, 2))) AS b FROM t),
+    s AS (SELECT tile, ch, sum((1 - b) * (1 - b)) AS aa, sum(b * (1 - b)) AS ab, sum(b * b) AS bb, sum((1 - b) * v) AS av, sum(b * v) AS bv FROM a GROUP BY ALL)
+    SELECT tile, ch, CAST(round_even(least(1, greatest(0, (av * bb - bv * ab) / (aa * bb - ab * ab))) * 255, 0) AS INTEGER) AS under, CAST(round_even(least(1, greatest(0, (bv * aa - av * ab) / (aa * bb - ab * ab))) * 255, 0) AS INTEGER) AS over FROM s""",
+)
+def least_squares_colours(spark, sf):
+    """A constant under a line of each tile's own place: the two colours that fit best, from normal equations of two unknowns."""
+    from tilespark.operators import refine as Rf
+
+    def made(tile, t):
+        lay = [[{"kind": P.CONST, "geom": [], "color0": [0.0] * 3, "color1": None, "alpha": 1.0}, {"kind": P.LINE, "geom": [float(i % 8), 0.0, 7.0, float(i // 8 % 8), 1.0], "color0": [0.0] * 3, "color1": None, "alpha": 0.8}] for i in tile.tolist()]
+        s = Rf.solved_colours(t, Rf.stored(Rf.from_lists(lay), 8), 8)
+        under, over = (np.rint(s.color0[:, k] * 255).astype(np.int32).reshape(-1) for k in (0, 1))
+        return [np.repeat(tile, 3), np.tile(np.arange(3, dtype=np.int32), len(tile)), under, over]
+
+    return _over_colour(_colour_tiles(spark, sf), "tile long, ch int, under int, over int", made)
+
+
 @register("container_roundtrip")
 def container_roundtrip(spark, sf):
     """Tiles of an image as blocks of one container, and the blocks read again."""

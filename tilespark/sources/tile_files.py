@@ -60,6 +60,7 @@ class ContainerReader(DataSourceReader):
         self.payload = str(options.get("payload", "true")).lower() != "false"
         self.complete = str(options.get("complete", "false")).lower() == "true"
         self.split = int(options.get("split", SPLIT))
+        self.errors = True
 
     def partitions(self) -> list[Files]:
         from pyarrow import fs
@@ -115,18 +116,20 @@ class ContainerReader(DataSourceReader):
                         rows, size = [], 0
             except ValueError as e:
                 rows = [r for r in rows if r[0] != path or r[6]]  # none of a broken file's blocks that haven't gone out
-                rows.append((path, None, None, None, None, None, str(e)))
+                if self.errors:
+                    rows.append((path, None, None, None, None, None, str(e)))
         if rows:
             yield container.record(rows, _ARROW)
 
 
 class PushedReader(ContainerReader):
     def pushFilters(self, filters: list) -> Iterator:
-        """Takes equalities and lists on tag; all others stay with Spark."""
+        """Takes equalities and lists on tag; all others stay with Spark. A broken file's row has no tag, so such a filter takes it out."""
         for f in filters:
             if isinstance(f, (EqualTo, In)) and f.attribute == ("tag",):
                 tags = {f.value} if isinstance(f, EqualTo) else set(f.value)
                 self.tags = tags if self.tags is None else self.tags & tags
+                self.errors = False
             else:
                 yield f
 
