@@ -177,18 +177,43 @@ def test_recall_of_near_copies(spark):
     assert all(len(m) == 1 or c in joined or set(m) <= empty for c, m in members.items())
 
 
-@pytest.mark.parametrize("edits", [2, 5, 8])
-def test_sketches_meet_where_texts_link(edits):
+@pytest.mark.parametrize("length", [60, 100, 300])
+@pytest.mark.parametrize("percent", [2, 5, 10, 15, 18, 20])
+def test_sketches_meet_where_texts_link(length, percent):
+    """Words replaced anywhere, up to the bound: nine in ten pairs at least become candidates."""
     rng = np.random.default_rng(5)
-    met = 0
+    met, edits = 0, length * percent // 100
     for _ in range(200):
-        a = rng.integers(0, 2**63, 100).astype(np.uint64)
+        a = rng.integers(0, 2**63, length).astype(np.uint64)
         b = a.copy()
-        b[rng.choice(100, edits, replace=False)] = rng.integers(0, 2**63, edits).astype(np.uint64)
-        met += bool((near_dedup.sketch(a) == near_dedup.sketch(b)).any())
+        b[rng.choice(length, edits, replace=False)] = rng.integers(0, 2**63, edits).astype(np.uint64)
+        assert near_dedup.near(near_dedup.Text(a), near_dedup.Text(b))
+        met += bool(np.isin(near_dedup.sketch(a), near_dedup.sketch(b)).any())
     assert met >= 0.9 * 200
 
 
+def test_sketches_of_short_texts_and_of_other_orders():
+    w = np.arange(1, 400, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    assert [len(near_dedup.sketch(w[:n])) for n in (0, 4, 5, 6, 8, 9, 300)] == [0, 0, 1, 1, 6, 84, 84]
+    moved = np.concatenate([w[200:], w[:200]])
+    assert 0 < np.isin(near_dedup.sketch(w), near_dedup.sketch(moved)).mean() < 0.7  # pairs across the cut have turned round
+
+
+@pytest.mark.parametrize("percent", [10, 15, 20])
+def test_pairs_of_every_edit_rate_end_in_one_class(spark, percent):
+    rng = random.Random(percent)
+    texts = []
+    for i in range(60):
+        w = [f"w{i}x{j}" for j in range(200)]
+        v = list(w)
+        for j in rng.sample(range(200), 2 * percent):
+            v[j] = f"v{i}x{j}"
+        texts += [" ".join(w), " ".join(v)]
+    got = {r["doc_id"]: r["class_id"] for r in rows(near_dedup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    assert sum(got[2 * i] == got[2 * i + 1] for i in range(60)) >= 54
+    assert len({got[2 * i] for i in range(60)}) == 60
+
+
 def test_no_rows_and_missing_ids(spark, nothing):
     assert near_dedup.classes(nothing).count() == near_dedup.keep_one(nothing).count() == 0
     d = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, None)], "doc_id int, text string")

@@ -1,9 +1,10 @@
 """Near duplicates by Order MinHash.
 
 1. Equal word sequences (by a 128-bit hash) are one class at once and have one representative from here on.
-2. A sketch is SKETCHES numbers. Each orders the text's occurrence-labelled shingles (SHINGLE words, and which of equal ones it is)
-   by a hash of its own, takes the LEAST smallest and hashes them in the order that they have in the text, so it is
-   sensitive to edits and to order. Texts with a share j of common shingles agree in one number with a chance of about j ** LEAST.
+2. A sketch has ORDERS orders of the text's occurrence-labelled shingles (SHINGLE words, and which of equal ones it is), each by a
+   hash of its own. An order takes the LEAST smallest and gives a number for every two of them, hashed as they follow one another in the text, so it is
+   sensitive to edits and to order. Of texts that differ in a fifth of their words, anywhere, more than nine in ten pairs share a number (from 60 words on; shorter ones may have no two
+   shingles left in common).
 3. Representatives that share a number are in a bucket. First candidates are every member and its bucket's hub, the member with the
    most copies and whose other numbers are the most widely shared (among near copies of one text, that text): linear in a
    bucket's size, whatever it is, and a text meets the hubs of all its numbers.
@@ -23,7 +24,7 @@
 6. Components of all links are the classes; a class is named by its smallest doc_id.
 
 Texts with fewer than SHINGLE words are near duplicates only of equal ones; null, empty and blank texts have equal (no) words and
-form a class. Ids are integers (or cast to them). Null ids come last; a class without any id has the id null. Repeated rows are copies.
+form a class. Ids are integers (other numbers are cast to them; what isn't a number is refused before anything runs). Null ids come last; a class without any id has the id null. Repeated rows are copies.
 An empty table gives no rows. Further columns are ignored by ``classes`` and kept by ``keep_one``. Joins on buckets and on
 copies rest on adaptive skew joins (``session.NEEDED``), which split a bucket or a group of copies over tasks.
 """
@@ -44,14 +45,14 @@ from tilespark.llm.runs import Words
 
 SHINGLE = 5
 SIMILARITY = 0.8
-SKETCHES, LEAST = 24, 3
+ORDERS, LEAST = 14, 4
 CHUNK = 6
 GROUP = 64
 #: Of a shingle that a text repeats, so many count in its trimmed words.
 REPEATS = 16
 BUCKETS = 4
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_SEEDS = bundles.mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64) * _ODD)
+_SEEDS = bundles.mixed(np.arange(1, ORDERS + 1, dtype=np.uint64) * _ODD)
 _FACTORS = bundles.mixed(~_SEEDS) | np.uint64(1)
 
 
@@ -78,25 +79,21 @@ def trimmed(h: np.ndarray) -> np.ndarray:
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
-    """The SKETCHES numbers of a text from the hashes of its words; none for a text without shingles."""
+    """The numbers of a text from the hashes of its words; none for a text without shingles."""
     s = labelled(bundles.rolling(h, SHINGLE, 4))
-    if not len(s):
-        return np.zeros(0, np.uint64)
-    return _hashed(_SEEDS, s[_least((s[None, :] ^ _SEEDS[:, None]) * _FACTORS[:, None])])
+    if len(s) < 2:
+        return s.copy()
+    if len(s) <= LEAST:  # all orders would say the same
+        return _paired(_SEEDS[:1], s[None, :])
+    ranked = (s[None, :] ^ _SEEDS[:, None]) * _FACTORS[:, None]
+    return _paired(_SEEDS, s[np.sort(np.argpartition(ranked, LEAST - 1, axis=1)[:, :LEAST], axis=1)])
 
 
-def _least(ranked: np.ndarray) -> np.ndarray:
-    """Places of each row's LEAST smallest, in order of place."""
-    if ranked.shape[1] <= LEAST:
-        return np.tile(np.arange(ranked.shape[1]), (len(ranked), 1))
-    return np.sort(np.argpartition(ranked, LEAST - 1, axis=1)[:, :LEAST], axis=1)
-
-
-def _hashed(seeds: np.ndarray, values: np.ndarray) -> np.ndarray:
-    out = seeds.copy()
-    for j in range(values.shape[1]):
-        out = bundles.mixed(out * _ODD + values[:, j])
-    return out
+def _paired(seeds: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """A number for every two of each row's values, in their order."""
+    i, j = np.triu_indices(values.shape[1], 1)
+    first = bundles.mixed(seeds[:, None] * _ODD + values[:, i])
+    return bundles.mixed(first * _ODD + values[:, j]).reshape(-1)
 
 
 def _chain(values: np.ndarray) -> np.ndarray:
@@ -216,33 +213,33 @@ def _texts(docs: DataFrame, folder: str) -> DataFrame:
 
 
 def buckets(reps: DataFrame) -> DataFrame:
-    """A table of band, value, row, copies, n of the buckets of n > 1 rows, from (row, sketch, copies)."""
-    bands = reps.select("row", "copies", F.posexplode("sketch").alias("band", "value"))
-    many = bands.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return store.table(bands.join(many, ["band", "value"]), "near-bands")  # texts alone in all buckets are gone
+    """A table of value, row, copies, n of the buckets of n > 1 rows, from (row, sketch, copies)."""
+    bands = reps.select("row", "copies", F.explode("sketch").alias("value"))
+    many = bands.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return store.table(bands.join(many, "value"), "near-bands")  # texts alone in all buckets are gone
 
 
 def hubs(bands: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of rows: members and hubs."""
     # a text of many copies is likely what near copies were made from
     spread = bands.groupBy("row").agg((F.sum(F.log2(F.least("n", F.lit(64)))) + 8 * F.log2(F.max("copies"))).alias("spread"))
-    hub = bands.join(spread, "row").groupBy("band", "value").agg(F.max(F.struct("spread", "row"))["row"].alias("hub"))
-    starred = bands.select("band", "value", "row").join(hub, ["band", "value"])
+    hub = bands.join(spread, "row").groupBy("value").agg(F.max(F.struct("spread", "row"))["row"].alias("hub"))
+    starred = bands.select("value", "row").join(hub, "value")
     return starred.select(F.least("row", "hub").alias("a"), F.greatest("row", "hub").alias("b")).filter("a <> b").distinct()
 
 
 def still_open(bands: DataFrame, found: DataFrame) -> DataFrame:
-    """A table of band, value, row, n, root of the buckets that links have not made one component."""
-    placed = bands.select("band", "value", "row", "n").join(found.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-    open_ = placed.groupBy("band", "value").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
-    return store.table(placed.join(open_.select("band", "value"), ["band", "value"], "left_semi"), "near-open")
+    """A table of value, row, n, root of the buckets that links have not made one component."""
+    placed = bands.select("value", "row", "n").join(found.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    open_ = placed.groupBy("value").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
+    return store.table(placed.join(open_.select("value"), "value", "left_semi"), "near-open")
 
 
 def small(opened: DataFrame) -> DataFrame:
     """All pairs (a, b) of different components in buckets of at most CHUNK texts."""
     one = opened.filter(F.col("n") <= CHUNK)
-    two = one.select("band", "value", F.col("row").alias("b"), F.col("root").alias("other"))
-    return one.join(two, ["band", "value"]).filter("row < b AND root <> other").select(F.col("row").alias("a"), "b").distinct()
+    two = one.select("value", F.col("row").alias("b"), F.col("root").alias("other"))
+    return one.join(two, "value").filter("row < b AND root <> other").select(F.col("row").alias("a"), "b").distinct()
 
 
 def crowded(opened: DataFrame) -> DataFrame:
@@ -404,12 +401,14 @@ def _classes(docs: DataFrame, folder: str) -> DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, kept: kept is true for one document of each class, the one that names it."""
+    batches.whole_ids(docs)
     folder = store.fresh(docs.sparkSession, "near")
     return _classes(docs.select("doc_id", "text"), folder).select("doc_id", "class_id", "kept")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class, with its columns."""
+    batches.whole_ids(docs)
     folder = store.fresh(docs.sparkSession, "near")
     kept = _classes(docs, folder).filter("kept").select("bundle", "idx")
 
