@@ -8,13 +8,14 @@ smaller id. Texts are written once as bundles; everything that moves is packed a
    anchors are dealt out by hash; those elected in two documents or more are confirmed as candidates.
 2. Passages, the stretches of windows with confirmed anchors, are dealt out by anchor as words, each passage once for all of its
    places in a parcel of bundles. An anchor with more than HOT elections is split: each of its windows goes by its own hash.
-3. Each shard compiles the phrases that two of its passages elect into one Aho-Corasick automaton (pyahocorasick) over words, a letter
-   for each distinct word, and streams all of its passages through. Only windows that hold a located phrase are looked at: they are
+3. Each shard takes the words of the phrases that two of its passages elect, compiles them into one Aho-Corasick automaton (pyahocorasick) over words, a letter
+   for each distinct word, and streams all of its passages through: where else a phrase stands is found by the automaton alone. Only windows that hold a located phrase are looked at: they are
    compared by phrase, its place in the window and then word by word, and give the smallest document that has them. Parcels get
    back the windows that a smaller document has.
 4. Each bundle marks the words of those windows and the kept words come out.
 
-So a document's words meet only the automata of shards that may hold phrases of it, whatever the number of phrases. Hashes
+So a document's words meet only the automata of shards that may hold phrases of it, whatever the number of phrases; streaming every document through every shard would read
+all texts once for each shard, and shards grow with the texts. Hashes
 choose what is looked at; windows are equal if all their words are. A shuffled row has at least one anchor or passage of its own, so packing them never
 makes more rows than there are anchors and passages; a passage that is in every document is one entry a parcel.
 
@@ -81,11 +82,6 @@ def _least(phrases: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _among(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(sorted_set, values), len(sorted_set) - 1)
-    return sorted_set[at] == values
-
-
 def _merged(anchor: np.ndarray, n: np.ndarray, twice: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One entry an anchor from entries of several bundles or parcels."""
     order = np.argsort(anchor, kind="stable")
@@ -192,6 +188,14 @@ def alphabet(words: np.ndarray) -> str:
 _LETTERS = 0x10FFFF - 0x800
 
 
+def elected_at(start: np.ndarray, anchor: np.ndarray, phrase: np.ndarray) -> np.ndarray:
+    """Where each window has the phrase that it elects."""
+    at = start.copy()
+    for j in reversed(range(WINDOW - PHRASE + 1)):
+        at = np.where(phrase[start + j] == anchor, start + j, at)
+    return at
+
+
 def located(line: str, phrases: list[str]) -> np.ndarray:
     """Where phrases begin in the line, by an Aho-Corasick automaton, and -1 elsewhere the phrase's number: an array over the line."""
     import ahocorasick
@@ -226,15 +230,19 @@ def recurring(texts: list[bytes], size: np.ndarray, least: np.ndarray, most: np.
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     by = of[start][order]
     several = (least != most)[by]
-    confirmed = anchor[order][first[(by[first] != by[first + count - 1]) | np.logical_or.reduceat(several, first)]]
+    shared = (by[first] != by[first + count - 1]) | np.logical_or.reduceat(several, first)
     # spell passages as letters, each with a 0 after it, and stream them through the automaton of the confirmed phrases
     letters = np.full(total + len(size), -1, np.int64)
     place = np.arange(total) + of
     letters[place] = words.index
     line = alphabet(letters)
-    there = np.flatnonzero(_among(phrase, confirmed) & (of[: len(phrase)] == of[PHRASE - 1 :])) if len(confirmed) else np.zeros(0, np.int64)
-    spelled = dict.fromkeys(line[p : p + PHRASE] for p in place[there[np.unique(phrase[there], return_index=True)[1]]].tolist())
-    hit = located(line, list(spelled))[place]
+    at, lead = elected_at(start[order], anchor[order], phrase), np.repeat(first, count)
+    other = np.zeros(len(at), bool)  # another phrase than the first of its hash
+    for j in range(PHRASE):
+        other |= words.index[at + j] != words.index[at[lead] + j]
+    other[first] = True
+    told = at[other & np.repeat(shared, count)]
+    hit = located(line, list(dict.fromkeys(line[p : p + PHRASE] for p in place[told].tolist())))[place]
     # a window's first located phrase and its place
     nearest = np.where(hit >= 0, np.arange(total), total + WINDOW)
     nearest = np.minimum.accumulate(nearest[::-1])[::-1]
@@ -391,6 +399,7 @@ def digests(docs: DataFrame) -> DataFrame:
         removed = [len(w) - len(k) for w, k in zip(words, kept, strict=True)]
         yield batches.batch(schema, [table.column("doc_id").to_pylist(), list(map(len, words)), removed, [hashlib.sha256(b" ".join(k)).hexdigest() for k in kept]])
 
+    batches.whole_ids(docs)
     slim = docs.selectExpr("CAST(doc_id AS long) doc_id", "text")
     return _marked(slim, store.fresh(docs.sparkSession, "phrases"), "doc_id long, n_words long, n_removed long, kept_sha256 string", made)
 
@@ -398,6 +407,7 @@ def digests(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with the words that go cut out of the texts, each with the white space after it; other texts stay as
     they are, and n_chars follows the text."""
+    batches.whole_ids(docs)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     piece = re.compile(rb"\S+\s*")  # of bytes: the same six characters of white space
 
