@@ -3,7 +3,8 @@
 Texts are lower-cased (A-Z) and cut into words. All rolling word k-grams are joined with the templates' k-grams in Spark; a
 match at word p of a document and word t of a template votes for the diagonal p - t. Votes are summed by diagonal,
 diagonals within BAND of one another and near in the text are merged, and a merged span is verified: the share of the template's
-k-grams that it holds must reach COVERAGE, within a span of at most SLACK times the template's length.
+words that its matching k-grams cover must reach COVERAGE, within a span of at most SLACK times the template's length. So a word that is replaced, left out or put in
+costs one word of the template, not the k-grams around it.
 
 The phrases of BASE are templates of one k-gram, as long as themselves; each of their votes is a place. Words are numbered in
 the templates' vocabulary and a k-gram is its numbers, so equal k-grams are equal words and no hash can collide.
@@ -131,7 +132,7 @@ def spans(docs: DataFrame, base=BASE, notices=NOTICES) -> DataFrame:
     hits = hits.repartition("row")  # all that follows is by row: no other shuffle
     votes = hits.groupBy("row", "doc_id", "tpl", (F.col("pos") - F.col("tpos")).alias("diag")).agg(
         F.max("n_words").alias("n_words"), F.first("label").alias("label"), F.first("base").alias("base"), F.first("k").alias("k"),
-        F.first("grams").alias("grams"), F.first("words").alias("words"), F.count("tpl").alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"),
+        F.first("grams").alias("grams"), F.first("words").alias("words"), F.count("tpl").alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.collect_set("tpos").alias("tpos"),
     )
     along = Window.partitionBy("row", "doc_id", "tpl").orderBy("diag")
     apart = F.col("base") | (F.col("diag") - F.lag("diag").over(along) > BAND) | (F.col("lo") - F.lag("hi").over(along) > F.col("words"))
@@ -140,10 +141,12 @@ def spans(docs: DataFrame, base=BASE, notices=NOTICES) -> DataFrame:
     s = votes.groupBy("row", "doc_id", "tpl", "part").agg(
         F.max("n_words").alias("n_words"), F.first("label").alias("label"), F.first("base").alias("base"), F.first("words").alias("words"),
         F.sum("votes").alias("votes"), F.min("lo").alias("first_pos"), (F.max("hi") + F.first("k") - 1).alias("last_pos"),
-        F.least(F.lit(1.0), F.sum("votes") / F.first("grams")).alias("coverage"),
+        F.first("k").alias("k"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("tpos")))).alias("tpos"),  # a template's places at most
     )
+    gain = F.transform("tpos", lambda x, i: F.least(F.col("k").cast("long"), F.coalesce(F.get("tpos", i + 1) - x, F.col("k").cast("long"))))
+    s = s.withColumn("coverage", F.aggregate(gain, F.lit(0).cast("long"), lambda a, x: a + x) / F.col("words"))
     fits = (F.col("coverage") >= COVERAGE) & (F.col("last_pos") - F.col("first_pos") + 1 <= F.col("words") * SLACK)
-    return s.withColumn("verified", F.coalesce(fits, F.lit(False))).drop("part", "words")
+    return s.withColumn("verified", F.coalesce(fits, F.lit(False))).drop("part", "words", "k", "tpos")
 
 
 def scan(docs: DataFrame, base=BASE, notices=NOTICES) -> DataFrame:
@@ -175,12 +178,12 @@ def _sql() -> str:
 WITH t(tpl, label, base, k, tpos, gram, grams, words) AS (VALUES {", ".join(rows)}),
 d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 g AS (SELECT doc_id, k, i - 1 AS pos, array_to_string(ws[i : i + k - 1], ' ') AS gram FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, (VALUES {ks}) ks(k))),
-v AS (SELECT doc_id, tpl, pos - tpos AS diag, any_value(label) AS label, any_value(base) AS base, any_value(g.k) AS k, any_value(grams) AS grams, any_value(words) AS words, count(*) AS votes, min(pos) AS lo, max(pos) AS hi
+v AS (SELECT doc_id, tpl, pos - tpos AS diag, any_value(label) AS label, any_value(base) AS base, any_value(g.k) AS k, any_value(grams) AS grams, any_value(words) AS words, count(*) AS votes, min(pos) AS lo, max(pos) AS hi, list(tpos) AS tp
     FROM g JOIN t ON g.k = t.k AND g.gram = t.gram GROUP BY doc_id, tpl, pos - tpos),
 n AS (SELECT *, CASE WHEN coalesce(base OR diag - lag(diag) OVER w > {BAND} OR lo - lag(hi) OVER w > words, true) THEN 1 ELSE 0 END AS new FROM v WINDOW w AS (PARTITION BY doc_id, tpl ORDER BY diag)),
 p AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, tpl ORDER BY diag ROWS UNBOUNDED PRECEDING) AS part FROM n),
-s AS (SELECT doc_id, tpl, part, any_value(label) AS label, any_value(base) AS base, sum(votes) AS votes, min(lo) AS first_pos, max(hi) + any_value(k) - 1 AS last_pos, least(1.0, sum(votes)::DOUBLE / any_value(grams)) AS coverage,
-    any_value(words) AS words FROM p GROUP BY doc_id, tpl, part),
+s AS (SELECT doc_id, tpl, part, any_value(label) AS label, any_value(base) AS base, sum(votes) AS votes, min(lo) AS first_pos, max(hi) + any_value(k) - 1 AS last_pos, len(list_distinct(flatten(list_transform(flatten(list(tp)), lambda x: range(x, x + k)))))::DOUBLE / any_value(words) AS coverage,
+    any_value(words) AS words FROM p GROUP BY doc_id, tpl, part, k),
 f AS (SELECT *, coverage >= {COVERAGE}::DOUBLE AND last_pos - first_pos + 1 <= words * {SLACK}::DOUBLE AS verified FROM s),
 r AS (SELECT doc_id, CAST(sum(votes) FILTER (base) AS BIGINT) AS n_base, min(first_pos) FILTER (base) AS first_word, max(first_pos) FILTER (base) AS last_word,
     string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (verified) AS labels, max(coverage) FILTER (verified) AS score FROM f GROUP BY 1)
