@@ -385,6 +385,19 @@ def test_license_base(docs, plain):
     assert all(set(r["base_labels"].split(",")) <= set(r["labels"].split(",")) | {""} and 0 <= r["score"] <= 1 for r in got)
 
 
+def test_a_changed_word_costs_one_word(spark):
+    """In notices of ten words or more, one word replaced, put in or left out in the middle."""
+    long = [(label, t.split()) for label, t in licenses.NOTICES if len(t.split()) >= 10]
+    assert len(long) > 12
+    changed = [(label, " ".join(w[: len(w) // 2] + put + w[len(w) // 2 + cut :])) for label, w in long for put, cut in ((["changed"], 1), (["more"], 0), ([], 1))]
+    halves = [" ".join(w[: len(w) // 2]) for _, w in long]
+    got = {r["doc_id"]: r for r in rows(licenses.scan(spark.createDataFrame(list(enumerate([t for _, t in changed] + halves)), "doc_id long, text string")))}
+    for i, (label, t) in enumerate(changed):
+        assert label in got[i]["labels"].split(",") and got[i]["score"] >= 0.9, t
+    for i in range(len(halves)):
+        assert got[len(changed) + i]["labels"] in ("", "apache", "gpl")  # phrases of the base alone
+
+
 def test_license_notices(spark):
     full = dict((t, label) for label, t in licenses.NOTICES)
     cases = [(t.upper(), label) for t, label in full.items()]
@@ -456,3 +469,48 @@ def test_automata_locate_every_recurring_window(monkeypatch):
     assert shard(texts) < want  # windows of the phrase that the automaton lacks are not found
     monkeypatch.setattr(phrases, "located", lambda line, many: automaton(line, []))
     assert not shard(texts)
+
+
+def test_automata_go_by_words_where_hashes_collide(monkeypatch):
+    """Sixteen values for all phrases: places looked up by hash would be wrong nearly everywhere."""
+    import random
+
+    rng = random.Random(4)
+    say = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randint(0, 9)) for _ in range(n))
+    common = [say(30), say(25)]
+    texts = [" ".join([say(rng.randint(0, 30)), rng.choice(common), say(rng.randint(0, 20))]) for _ in range(20)]
+    want, good, asked = wanted(texts), phrases.bundles.rolling, []
+    automaton = phrases.located
+    monkeypatch.setattr(phrases.bundles, "rolling", lambda h, k, seed: good(h, k, seed) & np.uint64(15) if k == phrases.PHRASE else good(h, k, seed))
+    monkeypatch.setattr(phrases, "located", lambda line, many: asked.append((line, many, found := automaton(line, many))) or found)
+    assert shard(texts) == want and asked
+    for line, many, found in asked:
+        whole = {p: k for k, x in enumerate(many) for p in range(len(line)) if line.startswith(x, p)}
+        assert {p: int(k) for p, k in enumerate(found.tolist()) if k >= 0} == whole
+
+
+def test_a_shard_closes_on_rows(spark, tmp_path, monkeypatch):
+    """One short text many times needs one entry of media: a task must not hold all of its rows."""
+    d = spark.createDataFrame([(i, "same" if i % 50 else f"other {i}") for i in range(2000)], "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(media, "ROWS", 300)
+    made = rows(media.write_shards(d, f"file://{tmp_path}/shards"))
+    assert len(made) == 2000
+    of = defaultdict(set)
+    for r in made:
+        of[r["shard"]].add(r["doc_id"])
+    assert max(map(len, of.values())) <= 2000 and sum(map(len, of.values())) == 2000
+
+
+@pytest.mark.parametrize("kind", ["smallint", "int", "decimal(10,0)", "string"])
+def test_ids_of_other_types(spark, kind):
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c", None, "mit license", "a b c"])], "doc_id int, text string").selectExpr(f"CAST(doc_id AS {kind}) AS doc_id", "text")
+    for f in (tokens.count_tokens, media.media, packing.pack, brown.score, licenses.scan):
+        assert {str(r["doc_id"]) for r in rows(f(d))} == {"0", "1", "2", "3"}
+    from tilespark.llm import near_dedup
+
+    for f in (near_dedup.classes, near_dedup.keep_one, phrases.digests, phrases.dedup):
+        if kind == "string":
+            with pytest.raises(TypeError):
+                f(d)
+        else:
+            assert {int(r["doc_id"]) for r in rows(f(d))} >= {0, 1, 2}

@@ -35,8 +35,20 @@ def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def hold(doc_id_type: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[doc_id_type]
+def hold(kind: str) -> pa.DataType:
+    """Arrow's type for a Spark type, by its simple string."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import DataType
+
+    return to_arrow_type(DataType.fromDDL(kind))
+
+
+def whole_ids(docs, column: str = "doc_id") -> None:
+    """Raises before anything runs where ids aren't numbers: what compares them needs integers."""
+    from pyspark.sql.types import NumericType
+
+    if not isinstance(docs.schema[column].dataType, NumericType):
+        raise TypeError(f"{column} is {docs.schema[column].dataType.simpleString()}; integers are asked for")
 
 
 def mapped(df, run, ddl: str):

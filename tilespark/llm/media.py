@@ -31,6 +31,8 @@ from tilespark.llm import batches, store
 WIDTH = 64
 #: Bytes of media after which a task begins another shard.
 SHARD = 64 << 20
+#: Rows after which it does, however little media they need: a task holds a shard's rows until the shard is closed.
+ROWS = 250_000
 #: Reading tasks are cut at so many bytes of a shard.
 CELL = 1 << 20
 TASK = 32 << 20
@@ -134,7 +136,7 @@ def write_shards(docs: DataFrame, folder: str) -> DataFrame:
                     known[digest] = (at + 512, len(image))
                     at += len(block)
                 rows.append((doc_id, len(text.encode()), digest, *known[digest]))
-                if at >= SHARD:
+                if at >= SHARD or len(rows) >= ROWS:
                     yield close()
         if out is not None:
             yield close()
