@@ -61,3 +61,24 @@ def experiment(spark: SparkSession, axes: dict, template: str, evaluate: Callabl
     lower, higher = [f"avg_{m}" for m, w in weights.items() if w > 0], [f"avg_{m}" for m, w in weights.items() if w <= 0]
     pairs = experiments.paired(facts, "profile", "image", "objective", board.filter("place = 1"))
     return {"grid": grid, "facts": facts, "leaderboard": board, "pareto": skyline(board, lower, higher), "bootstrap": experiments.bootstrap(pairs, "profile")}
+
+
+def suite(spark: SparkSession, profiles: DataFrame, evaluate: Callable[[DataFrame], DataFrame], weights: dict[str, float], numeric: list[str], voted: list[str], hybrid: str = "hybrid_top3") -> dict[str, DataFrame]:
+    """An experiment that ends with its hybrid evaluated too: profiles (profile, numeric and voted settings) are evaluated, the best three suggest a configuration (weighted means and votes), which is evaluated
+    like the others unless a profile of that name has been, and the board, the front and the bootstrap are made of all results. Facts are written once, so nothing is evaluated twice."""
+    from tilespark import session
+    from tilespark.functions import rd
+    from tilespark.operators.relational import skyline
+
+    scored = lambda d: d.withColumn("objective", rd.objective({m: F.col(m) for m in weights}, weights))
+    metrics = [*weights, "objective"]
+    base = session.written(scored(evaluate(profiles)), "facts")
+    board = experiments.leaderboard(base, "profile", metrics, "objective")
+    suggestion = experiments.hybrid_suggestion(board.join(profiles, "profile"), "profile", "avg_objective", numeric, voted).withColumn("profile", F.lit(hybrid)).select("profile", *numeric, *voted)
+    suggestion = session.written(suggestion.join(profiles.select("profile"), "profile", "left_anti"), "hybrid")
+    again = session.written(scored(evaluate(suggestion)).select(*base.columns), "facts-hybrid")
+    facts = base.unionByName(again)
+    final = experiments.leaderboard(facts, "profile", metrics, "objective")
+    lower, higher = [f"avg_{m}" for m, w in weights.items() if w > 0], [f"avg_{m}" for m, w in weights.items() if w <= 0]
+    pairs = experiments.paired(facts, "profile", "image", "objective", final.filter("place = 1"))
+    return {"facts": facts, "base": board, "hybrid": suggestion, "leaderboard": final, "pareto": skyline(final, lower, higher), "bootstrap": experiments.bootstrap(pairs, "profile")}

@@ -80,6 +80,66 @@ def _gradient(tiles, quality):
     return kernels.poisson(qx / 127, qy / 127, tiles.mean(axis=1)), 5 * ((qx != 0).sum(axis=1) + (qy != 0).sum(axis=1)) + 32
 
 
+def of_cell(v: np.ndarray, cell: dict) -> tuple[np.ndarray, np.ndarray]:
+    """A sweep's cell (variant and quality) on a matrix of tiles."""
+    if cell["variant"] not in _VARIANTS:
+        raise KeyError(f"no variant {cell['variant']}")
+    quality = cell["quality"]
+    if quality is None or not 0 <= quality <= 100:
+        raise ValueError(f"quality {quality}")
+    return _VARIANTS[cell["variant"]][0](v, int(quality))
+
+
+def shared(v: np.ndarray, prims, quality: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """The four variants that layer something on one fit: the stacks alone, each tile's cheaper of stack and bicubic patch, and that with a residual layer at the quality's step and at half of it.
+    v: grey tiles in 0..1 (n x 64); prims: their stacks."""
+    from tilespark.operators import fits
+
+    stack, bits = fits.drawn(prims, codec.SIDE)[:, :, 0], fits.wire_bits(prims)
+    lam = ((101 - quality) / 100) ** 2 * (2e-4 if quality >= 90 else 1e-3)
+    patch, patch_bits = _bicubic(v - 0.5, quality)
+    patch = patch + 0.5
+    cheaper = ((v - patch) ** 2).mean(axis=1) + lam * patch_bits < ((v - stack) ** 2).mean(axis=1) + lam * bits
+    mixed, mixed_bits = np.where(cheaper[:, None], patch, stack), np.where(cheaper, patch_bits, bits)
+    out = {"stacks": (stack, bits), "hybrid": (mixed, mixed_bits)}
+    for name, step in (("hybrid-dct", codec.step_of(quality)), ("hybrid-dct-tight", codec.step_of(quality) / 2)):
+        q = kernels.dct_quantise(v - mixed, step)
+        out[name] = (np.clip(mixed + kernels.dct_restore(q, step), 0, 1), mixed_bits + 4 * (q != 0).sum(axis=1) + 32)
+    return out
+
+
+def compete_shared(tiles: DataFrame, cache: str, quality: int = 75) -> tuple[DataFrame, int]:
+    """image, variant, mse, bits, won for the four variants of one fit: the fit is made once for each distinct tile (or found in the cache) and every tile is read once for all variants; also the number of fits that were made.
+    The least mse + lam * bits of an image wins, the first on ties."""
+    import pyarrow as pa
+    from pyspark.sql import Window
+
+    from tilespark.operators import fits
+
+    names = ("stacks", "hybrid", "hybrid-dct", "hybrid-dct-tight")
+    grey = F.transform("v", lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x + 0.5)))
+    d = tiles.select("image", grey.alias("g")).withColumn("v", F.flatten(F.transform("g", lambda x: F.array(x, x, x))))
+    d, made = fits.fitted(d, fits.settings(quality), cache)
+    lam = ((101 - quality) / 100) ** 2 * (2e-4 if quality >= 90 else 1e-3)
+
+    def run(it):
+        for b in it:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                v = part.column("g").flatten().to_numpy(zero_copy_only=False).reshape(-1, codec.SIDE * codec.SIDE)
+                got = shared(v, part.column("prims"), quality)
+                cols = [x for n in names for x in (((v - got[n][0]) ** 2).mean(axis=1), np.asarray(got[n][1], float))]
+                yield pa.RecordBatch.from_arrays([part.column("image"), *map(pa.array, cols)], names=["image", *[f"{p}{i}" for i in range(len(names)) for p in "mb"]])
+
+    kind = tiles.schema["image"].dataType.simpleString()
+    sums = d.filter("prims IS NOT NULL").select("image", "g", "prims").mapInArrow(run, f"image {kind}, " + ", ".join(f"{p}{i} double" for i in range(len(names)) for p in "mb"))
+    sums = sums.groupBy("image").agg(*[F.avg(f"{p}{i}").alias(f"{p}{i}") for i in range(len(names)) for p in "mb"])
+    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(n).alias("variant"), F.col(f"m{i}").alias("mse"), F.col(f"b{i}").alias("bits")) for i, n in enumerate(names)]))
+    c = sums.select("image", rows.alias("r")).select("image", "r.*")
+    place = F.row_number().over(Window.partitionBy("image").orderBy(F.round(F.col("mse") + F.lit(lam) * F.col("bits"), 12), "ord"))
+    return c.select("image", "variant", "mse", "bits", (place == 1).alias("won")), made
+
+
 def compete(tiles: DataFrame, config: Config = Config()) -> DataFrame:  # noqa: B008
     """image, variant, psnr, bits, override: the tournament of all variants, image by image. Every tile is fitted once for each
     variant in one pass; only sums travel."""

@@ -32,7 +32,7 @@ def oracle_of(name: str) -> str:
 
 
 def _load() -> None:
-    from tilespark.plans import blocks_q, experiments_q, neighbours_q, pictures_q, relational_q, residual_q, scene_q, search_q, tiles_q, transforms_q  # noqa: F401
+    from tilespark.plans import blocks_q, experiments_q, neighbours_q, pictures_q, relational_q, residual_q, scene_q, search_q, sweeps_q, tiles_q, transforms_q  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
