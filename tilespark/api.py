@@ -38,6 +38,51 @@ def decode_files(parts: DataFrame, folder: str) -> DataFrame:
     return images.save(d.select(F.concat(stem, F.lit("-"), F.substring(F.sha2("image", 256), 1, 12), F.lit(".png")).alias("name"), "png"), folder)
 
 
+def encode_pictures(spark: SparkSession, path: str, out: str, quality: int = 75, basis: str = "auto") -> DataFrame:
+    """Image files below a folder to container files below out, by the encoder that suits each part (or by the one named): image, y, x, basis, mse, bits and error of each part. Parts are encoded once, into a table."""
+    from tilespark import session
+    from tilespark.operators import encoder
+    from tilespark.sources import images, tile_files
+
+    d = session.written(encoder.encode(images.tiles(spark, path, encoder.TILE), quality, basis), "pictures")
+    tile_files.save(d.filter("blocks IS NOT NULL"), out)
+    return d.drop("name", "blocks", "meta")
+
+
+def decode_pictures(spark: SparkSession, path: str, folder: str) -> DataFrame:
+    """Container files of encode_pictures to PNG files; name and bytes of each. Images that can't be restored are left out."""
+    from tilespark.operators import encoder
+    from tilespark.sources import images, tile_files
+
+    stem = F.regexp_extract("image", r"([^/]*?)(\.\w+)?$", 1)
+    d = encoder.restored(tile_files.load(spark, path, complete="true")).filter("png IS NOT NULL")
+    return images.save(d.select(F.concat(stem, F.lit("-"), F.substring(F.sha2("image", 256), 1, 12), F.lit(".png")).alias("name"), "png"), folder)
+
+
+def picture_experiment(spark: SparkSession, path: str, profiles: list[dict], weights: dict[str, float] | None = None) -> dict[str, DataFrame]:
+    """Profiles (name, quality and basis: few) on the image files below a folder: facts by profile and image (bits a pixel, mse, psnr, and the error of an image that failed), leaderboard, front and bootstrap."""
+    from tilespark import session
+    from tilespark.functions import rd
+    from tilespark.operators import encoder
+    from tilespark.operators.relational import skyline
+    from tilespark.sources import images
+
+    weights = weights or {"bits_per_pixel": 1.0, "psnr": -0.1}
+    tiles = session.written(images.tiles(spark, path, encoder.TILE), "tiles")
+    size = tiles.groupBy("image").agg(F.first(F.col("height") * F.col("width")).alias("pixels"))
+    facts = None
+    for p in profiles:
+        d = encoder.encode(tiles, int(p["quality"]), p.get("basis", "auto")).groupBy("image").agg(F.sum("bits").alias("bits"), F.sum(F.col("mse") * F.lit(1.0)).alias("m"), F.count(F.lit(1)).alias("n"), F.max("error").alias("error")).join(size, "image")
+        mse = F.when(F.col("error").isNull(), F.col("m") / F.col("n"))
+        d = d.select(F.lit(p["name"]).alias("profile"), "image", F.when(F.col("error").isNull(), F.col("bits") / F.col("pixels")).alias("bits_per_pixel"), mse.alias("mse"), (-10 * F.log10(F.greatest(mse, F.lit(1e-10)))).alias("psnr"), "error")
+        facts = d if facts is None else facts.unionByName(d)
+    facts = session.written(facts.withColumn("objective", rd.objective({m: F.col(m) for m in weights}, weights)), "facts")
+    board = experiments.leaderboard(facts, "profile", [*weights, "objective"], "objective")
+    lower, higher = [f"avg_{m}" for m, w in weights.items() if w > 0], [f"avg_{m}" for m, w in weights.items() if w <= 0]
+    pairs = experiments.paired(facts, "profile", "image", "objective", board.filter("place = 1"))
+    return {"facts": facts, "leaderboard": board, "pareto": skyline(board, lower, higher), "bootstrap": experiments.bootstrap(pairs, "profile")}
+
+
 def bench(tiles: DataFrame, qualities: list[int]) -> DataFrame:
     """One row for each quality and image: bytes, bits a sample, mean squared error and PSNR."""
     out = None
