@@ -201,3 +201,27 @@ def test_neighbour_deltas_undo(spark):
         back = bytes((x + (old[j] if j < len(old) else 0)) & 255 for j, x in enumerate(got[i].delta))
         assert back == b and got[i].prev_len == len(old)
         before[k] = b
+
+
+def test_skyline_of_three_measures_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, rng.randint(0, 9), rng.random() if i % 9 else None, float(rng.randint(0, 5))) for i in range(300)]
+    worse = lambda a, b: b[2] is not None and a[2] is not None and b[1] <= a[1] and b[2] <= a[2] and b[3] >= a[3] and (b[1] < a[1] or b[2] < a[2] or b[3] > a[3])
+    want = {a[0] for a in rows if not any(worse(a, b) for b in rows)}
+    d = spark.createDataFrame(rows, "n int, x int, y double, z double").repartition(7)
+    assert {r.n for r in R.skyline(d, ["x", "y"], ["z"]).collect()} == want
+    assert R.skyline(d.limit(0), ["x", "y"], ["z"]).count() == 0
+
+
+def test_stream_into_files(spark, tmp_path):
+    from tilespark.streaming import leaderboard
+
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    e.write.parquet(str(tmp_path / "in"))
+    q = leaderboard.start(spark, str(tmp_path / "in"), e.schema, str(tmp_path / "cp"), "to_files", path=str(tmp_path / "out"))
+    q.awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    whole = leaderboard.windowed(e.withColumn("ts", e.ts.cast("timestamp")), "1 day")
+    assert got.count() > 0 and got.select("profile", "window.start", "n").exceptAll(whole.select("profile", "window.start", "n")).count() == 0

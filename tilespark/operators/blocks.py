@@ -171,3 +171,20 @@ def values(payloads: DataFrame, keys: list[str], name: str, read: Callable[[byte
             yield pa.RecordBatch.from_arrays([*(b.column(k).take(of) for k in keys), pa.array(i, pa.int32()), pa.array(np.concatenate([*got, np.zeros(0)]))], names=[*keys, "i", "value"])
 
     return payloads.select(*keys, "payload").mapInArrow(run, f"{ddl}, i int, value double")
+
+
+def records(payloads: DataFrame, keys: list[str], names: list[str], read: Callable[[bytes], np.ndarray]) -> DataFrame:
+    """keys, i and several fields (as long) of a payload's records, a row for each: every payload is read once."""
+    ddl = ", ".join([*(f"`{k}` {payloads.schema[k].dataType.simpleString()}" for k in keys), "i int", *(f"`{n}` long" for n in names)])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            got = [read(x) for x in b.column("payload").to_pylist() if x]
+            has = np.flatnonzero(b.column("payload").is_valid().to_numpy(zero_copy_only=False))
+            size = np.array([len(x) for x in got], np.int64)
+            of = pa.array(np.repeat(has, size))
+            i = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            fields = [np.concatenate([*(x[n].astype(np.int64) for x in got), np.zeros(0, np.int64)]) for n in names]
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(of) for k in keys), pa.array(i, pa.int32()), *map(pa.array, fields)], names=[*keys, "i", *names])
+
+    return payloads.select(*keys, "payload").mapInArrow(run, ddl)

@@ -45,8 +45,7 @@ def block_cidx(spark, sf):
         return B.pack("CIDX", {"n": 1, "chunks": np.array([(r["start"], r["tiles"], 0, 0, 0, 0)], B.CHUNK)})
 
     p = B.packed(d, ["image"], ["start", "tiles"], build)
-    read = lambda name: B.values(p, ["image"], name, lambda x: {name: B.unpack("CIDX", x)["chunks"][name]}).select("image", F.col("value").cast("long").alias(name))
-    return read("start").join(read("tiles"), "image")
+    return B.records(p, ["image"], ["start", "tiles"], lambda x: B.unpack("CIDX", x)["chunks"]).select("image", "start", "tiles")
 
 
 def _per_tile(spark, sf, array, build, read, name, width):
@@ -132,8 +131,7 @@ def block_qtree(spark, sf):
     d = Q.embeddings(spark, sf).select((t % 97).alias("image"), F.struct((F.expr("tile div 97") % 4096 * 8).alias("y"), (t % 31 * 8).alias("x"), (F.lit(8) * F.pow(F.lit(2), t % 3)).cast("int").alias("size")).alias("e"), F.expr("tile div 65536").alias("part"))
     d = d.groupBy("image", "part").agg(F.collect_list("e").alias("e"))
     p = B.packed(d, ["image", "part"], ["e"], lambda r: B.pack("QTREE", {"n": len(r["e"]), "tiles": np.array([(e["y"], e["x"], e["size"]) for e in r["e"]], B.TILE)}))
-    read = lambda name: B.values(p, ["image", "part"], name, lambda x: {name: B.unpack("QTREE", x)["tiles"][name]}).withColumnRenamed("value", name)
-    out = read("size").join(read("y"), ["image", "part", "i"]).join(read("x"), ["image", "part", "i"])
+    out = B.records(p, ["image", "part"], ["size", "y", "x"], lambda x: B.unpack("QTREE", x)["tiles"])
     return out.groupBy("image", F.col("size").cast("int").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").cast("long").alias("y"), F.sum("x").cast("long").alias("x"))
 
 

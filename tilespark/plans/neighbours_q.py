@@ -131,29 +131,41 @@ def residual_apply(spark, sf):
 
 @register(
     "uniform_tiling",
-    """WITH p AS (SELECT CAST(a.range AS INTEGER) AS y, CAST(b.range AS INTEGER) AS x FROM range(24) a, range(24) b)
-    SELECT CAST(y // 8 AS BIGINT) AS ty, CAST(x // 8 AS BIGINT) AS tx, round(sum(least(y, 19) * 20 + least(x, 19)), 6)::DOUBLE AS total, 64 AS n FROM p GROUP BY 1, 2""",
+    """WITH p AS (SELECT vec_id // 9 AS image, CAST(vec_id % 9 // 3 * 8 + i // 8 AS INTEGER) AS y, CAST(vec_id % 3 * 8 + i % 8 AS INTEGER) AS x, v FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)),
+    e AS MATERIALIZED (SELECT image, CAST(a.range AS INTEGER) AS y, CAST(b.range AS INTEGER) AS x, v FROM p, range(24) a, range(24) b WHERE p.y < 20 AND p.x < 20 AND (a.range = p.y OR p.y = 19 AND a.range > 19) AND (b.range = p.x OR p.x = 19 AND b.range > 19))
+    SELECT image, CAST(y // 8 AS BIGINT) AS ty, CAST(x // 8 AS BIGINT) AS tx, round(sum(v), 6) AS total, CAST(count(*) AS INTEGER) AS n FROM e GROUP BY ALL""",
 )
 def uniform_tiling(spark, sf):
-    """A 20 by 20 image in tiles of 8: the last ones repeat its edge."""
-    px = spark.range(400).select(F.expr("CAST(id div 20 AS int)").alias("y"), (F.col("id") % 20).cast("int").alias("x"), F.col("id").cast("double").alias("v"))
-    d = T.cut(px, F.lit(20), F.lit(20), 8, [])
-    return d.select("ty", "tx", F.aggregate("samples", F.lit(0.0), lambda a, x: a + x).alias("total"), F.size("samples").alias("n"))
+    """Images of 20 by 20 in tiles of 8: the last ones repeat their image's edge."""
+    d = table(spark, sf, "embeddings").select((F.expr("vec_id div 9")).alias("image"), (F.col("vec_id") % 9).alias("k"), F.posexplode("embedding").alias("p", "v"))
+    y, x = F.expr("CAST(k div 3 * 8 + p div 8 AS int)"), F.expr("CAST(k % 3 * 8 + p % 8 AS int)")
+    px = d.select("image", y.alias("y"), x.alias("x"), F.col("v").cast("double").alias("v")).filter("y < 20 AND x < 20")
+    d = T.cut(px, F.lit(20), F.lit(20), 8, ["image"])
+    return d.select("image", "ty", "tx", F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.size("samples").alias("n"))
+
+
+#: Generated images of 16 by 16, as expressions over x, y and a part's own period s that both engines read alike.
+_PATTERNS = {
+    "ramp": "(x + y) / 30.0e0", "checker": "CASE WHEN (floor(x / s) + floor(y / s)) % 2 = 0 THEN 1e0 ELSE 0e0 END", "disc": "CASE WHEN power(x - 7.5e0, 2) + power(y - 7.5e0, 2) <= s * s THEN 0.9e0 ELSE 0.1e0 END",
+    "rings": "0.5e0 + 0.5e0 * cos(sqrt(power(x - 7.5e0, 2) + power(y - 7.5e0, 2)) / s * 3)", "stripes": "CASE WHEN floor(x / s) % 2 = 0 THEN 0.8e0 ELSE 0.2e0 END", "bars": "CASE WHEN floor((x + y) / s) % 2 = 0 THEN 0.7e0 ELSE 0.3e0 END",
+    "waves": "0.5e0 + 0.25e0 * sin(x / s) + 0.25e0 * cos(y / s)", "glow": "exp(-(power(x - 7.5e0, 2) + power(y - 7.5e0, 2)) / (2 * s * s))", "cross": "CASE WHEN abs(x - 7.5e0) < s / 2 OR abs(y - 7.5e0) < s / 2 THEN 1e0 ELSE 0.25e0 END",
+    "frame": "CASE WHEN least(x, y, 15 - x, 15 - y) < s / 2 THEN 0.9e0 ELSE 0.4e0 END", "saddle": "0.5e0 + (x - 7.5e0) * (y - 7.5e0) / 112.5e0", "quadrants": "(CASE WHEN x < 8 THEN 0.2e0 ELSE 0.6e0 END) + (CASE WHEN y < 8 THEN 0e0 ELSE 0.3e0 END)",
+}
 
 
 @register(
     "analytic_images",
-    """WITH p AS (SELECT CAST(a.range AS INTEGER) AS y, CAST(b.range AS INTEGER) AS x FROM range(64) a, range(64) b)
-    SELECT name, count(*) AS n, round(avg(v), 9) AS mean_value FROM (SELECT 'ramp' AS name, (x + y) / 126.0::DOUBLE AS v FROM p UNION ALL SELECT 'checker', CASE WHEN (x // 8 + y // 8) % 2 = 0 THEN 1.0 ELSE 0.0 END FROM p
-      UNION ALL SELECT 'disc', CASE WHEN power(x - 31.5, 2) + power(y - 31.5, 2) <= 400 THEN 0.9 ELSE 0.1 END FROM p UNION ALL SELECT 'rings', 0.5 + 0.5 * cos(sqrt(power(x - 31.5, 2) + power(y - 31.5, 2)) / 3) FROM p) GROUP BY 1""",
-)
+    "WITH p AS (SELECT p_partkey, 2e0 + p_size % 5 AS s, CAST(a.range AS DOUBLE) AS y, CAST(b.range AS DOUBLE) AS x FROM part, range(16) a, range(16) b) SELECT p_partkey, name, count(*) AS n, round(avg(v) + 1e-8, 7) AS mean_value FROM ("
+    + " UNION ALL ".join(f"SELECT p_partkey, '{k}' AS name, {v} AS v FROM p" for k, v in _PATTERNS.items()) + ") GROUP BY 1, 2",
+)
 def analytic_images(spark, sf):
-    """Generated images as expressions over a range: every pixel is made where it is used."""
-    p = spark.range(64 * 64).select(F.expr("CAST(id div 64 AS int)").alias("y"), (F.col("id") % 64).cast("int").alias("x"))
-    r = F.sqrt(F.pow(F.col("x") - 31.5, F.lit(2)) + F.pow(F.col("y") - 31.5, F.lit(2)))
-    kinds = {"ramp": (F.col("x") + F.col("y")) / 126.0, "checker": F.when((F.expr("x div 8") + F.expr("y div 8")) % 2 == 0, 1.0).otherwise(0.0), "disc": F.when(r * r <= 400, 0.9).otherwise(0.1), "rings": F.cos(r / 3) * 0.5 + 0.5}
-    d = p.select(F.explode(F.array(*[F.struct(F.lit(k).alias("name"), v.alias("v")) for k, v in kinds.items()])).alias("i"))
-    return d.groupBy("i.name").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("i.v"), 9).alias("mean_value"))
+    """Twelve generated images for each part, with its own period: every pixel is made where it is used."""
+    line = F.sequence(F.lit(0), F.lit(15))
+    p = table(spark, sf, "part").select("p_partkey", (F.col("p_size") % 5 + F.lit(2.0)).alias("s"), F.explode(line).alias("y")).select("p_partkey", "s", F.col("y").cast("double").alias("y"), F.explode(line).alias("x")).withColumn("x", F.col("x").cast("double"))
+    # a row a pixel with all patterns as columns, summed before anything is exploded
+    d = p.groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.expr(v)).alias(k) for k, v in _PATTERNS.items()])
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.col(k).alias("v")) for k in _PATTERNS])).alias("i")
+    return d.select("p_partkey", "n", rows).select("p_partkey", "i.name", "n", F.round(F.col("i.v") + 1e-8, 7).alias("mean_value"))
 
 
 @register(

@@ -252,15 +252,16 @@ def number_format(spark, sf):
 
 @register(
     "quality_curves",
-    """SELECT q, power((101.0 - least(100, greatest(0, q))) / 100, 2) * CASE WHEN least(100, greatest(0, q)) >= 90 THEN 2e-4 ELSE 1e-3 END AS lambda,
+    """SELECT l_orderkey, l_linenumber, l_partkey, q, power((101.0 - least(100, greatest(0, q))) / 100, 2) * CASE WHEN least(100, greatest(0, q)) >= 90 THEN 2e-4 ELSE 1e-3 END AS lambda,
       least(0.20, greatest(0.003, power((101.0 - least(99, greatest(10, q))) / 100, 2) * 0.2)) AS step,
       CASE WHEN q > 75 THEN power((100.0 - q) / 25, 2) ELSE 1.0 END AS select_scale, CAST(ceil(q / 64.0) * 64 AS BIGINT) AS aligned
-      FROM (SELECT CAST(range AS INTEGER) - 5 AS q FROM range(111))""",
+      FROM (SELECT *, CAST(l_quantity * 2 AS INTEGER) + CAST(l_linenumber AS INTEGER) - 5 AS q FROM lineitem)""",
 )
 def quality_curves(spark, sf):
-    q = spark.range(111).select((F.col("id").cast("int") - 5).alias("q"))
+    """What every line's quality, within 0 to 100 and beyond, makes of lambda, step and weights."""
     c = F.col("q")
-    return q.select("q", rd.tile_lambda(c).alias("lambda"), rd.dct_step(c).alias("step"), rd.select_lambda_scale(c).alias("select_scale"), numeric.align(c, 64).alias("aligned"))
+    q = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", ((F.col("l_quantity") * 2).cast("int") + F.col("l_linenumber").cast("int") - 5).alias("q"))
+    return q.select("l_orderkey", "l_linenumber", "l_partkey", "q", rd.tile_lambda(c).alias("lambda"), rd.dct_step(c).alias("step"), rd.select_lambda_scale(c).alias("select_scale"), numeric.align(c, 64).alias("aligned"))
 
 
 @register(

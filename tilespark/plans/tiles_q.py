@@ -378,14 +378,10 @@ def nearest_palette_assign(spark, sf):
     return d.select("seg", best["label"].alias("label")).groupBy("seg", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _mask_rows():
-    m = K.half_planes(8).astype(int)
-    return ", ".join(f"({i}, [{', '.join(map(str, row))}])" for i, row in enumerate(m.tolist()))
-
-
 @register(
     "half_plane_model_fit",
-    f"""WITH {_T}, mo(model, mask) AS (VALUES {_mask_rows()}), b AS (SELECT tile, model, mask[p + 1] AS side, var_pop(v) * count(*) AS sse, avg(v) AS c FROM t, mo GROUP BY ALL),
+    f"""WITH {_T}, mo AS (SELECT CAST(range AS INTEGER) AS model, pi() * (range // 3) / 6 AS angle, (range % 3 - 1) * 2 + 1e-9::DOUBLE AS edge FROM range(18)),
+    s AS (SELECT tile, model, v, CASE WHEN (x - 3.5) * cos(angle) + (y - 3.5) * sin(angle) > edge THEN 1 ELSE 0 END AS side FROM t, mo), b AS (SELECT tile, model, side, var_pop(v) * count(*) AS sse, avg(v) AS c FROM s GROUP BY ALL),
     m AS (SELECT tile, model, round(sum(sse) / 64, 9) AS mse, max(c) FILTER (side = 0) AS c0, max(c) FILTER (side = 1) AS c1 FROM b GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY mse, model) AS r FROM m) SELECT tile, CAST(model AS INTEGER) AS model, mse, round(c0, 6) AS c0, round(c1, 6) AS c1 FROM r WHERE r = 1""",
 )

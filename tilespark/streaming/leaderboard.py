@@ -12,9 +12,10 @@ def windowed(events: DataFrame, width: str, late: str | None = None) -> DataFram
     return d.groupBy(F.col("event_type").alias("profile"), F.window("ts", width)).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 10).alias("avg_value"))
 
 
-def start(spark: SparkSession, source: str, schema, checkpoint: str, name: str, width: str = "1 day", late: str = "2 days"):
-    """Streams Parquet files that arrive in a folder into an in-memory table of finished windows."""
+def start(spark: SparkSession, source: str, schema, checkpoint: str, name: str, width: str = "1 day", late: str = "2 days", path: str | None = None):
+    """Streams Parquet files that arrive in a folder into finished windows: into Parquet below path, which grows with the windows, or, without one, into a table named name in the driver's memory (for looking at
+    a few)."""
     events = spark.readStream.schema(schema).parquet(source)
     events = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    q = windowed(events, width, late).writeStream.format("memory").queryName(name).outputMode("append")
-    return q.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    w = windowed(events, width, late).writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    return w.format("parquet").queryName(name).start(path) if path else w.format("memory").queryName(name).start()
