@@ -41,13 +41,14 @@ def orientations(gx: np.ndarray, gy: np.ndarray) -> np.ndarray:
 
 
 def principal(points: np.ndarray, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of the points that a mask (n x p) picks: middle (cx, cy), axis (ux, uy) and the least and largest place along it. The axis points right, or down if it is upright."""
+    """Of the points that a mask (n x p) picks: middle (cx, cy), axis (ux, uy) and the least and largest place along it. The axis points right, or down if it is upright; points without a main direction have the level one."""
     n = np.maximum(1, points.sum(axis=1))
     cx, cy = (points * x).sum(axis=1) / n, (points * y).sum(axis=1) / n
     dx, dy = x[None] - cx[:, None], y[None] - cy[:, None]
     sxx, syy, sxy = ((points * p).sum(axis=1) for p in (dx * dx, dy * dy, dx * dy))
-    angle = 0.5 * np.arctan2(2 * sxy, sxx - syy)
+    angle = np.where(np.hypot(2 * sxy, sxx - syy) > 1e-9 * (sxx + syy), 0.5 * np.arctan2(2 * sxy, sxx - syy), 0.0)
     ux, uy = np.cos(angle), np.sin(angle)
+    uy = np.where(np.abs(ux) < 1e-9, np.abs(uy), uy)
     along = dx * ux[:, None] + dy * uy[:, None]
     return cx, cy, ux, uy, np.where(points, along, np.inf).min(axis=1), np.where(points, along, -np.inf).max(axis=1)
 

@@ -204,7 +204,8 @@ _SOBEL = f"""{Q._T}, n AS (SELECT a.tile, a.y, a.x, sum(b.v * (b.x - a.x) * (2 -
     ramp AS (SELECT k.tile, row_number() OVER (PARTITION BY k.tile ORDER BY bin) - 1 AS ord, 'ramp' AS family, 4 - cos(th) * 4.2 AS x0, 4 - sin(th) * 4.2 AS y0, 4 + cos(th) * 4.2 AS x1, 4 + sin(th) * 4.2 AS y1,
       avg(v) FILTER ((x - 3.5) * cos(th) + (y - 3.5) * sin(th) < 0) AS c0, avg(v) FILTER ((x - 3.5) * cos(th) + (y - 3.5) * sin(th) >= 0) AS c1 FROM k JOIN t USING (tile) GROUP BY k.tile, bin, th),
     e AS (SELECT *, x + 0.5 AS px, y + 0.5 AS py FROM (SELECT *, quantile_cont(m, 0.75) OVER (PARTITION BY tile) AS edge FROM r) WHERE m >= edge AND m > 0),
-    c AS (SELECT tile, avg(px) AS cx, avg(py) AS cy, avg(v) AS colour, 0.5 * atan2(2 * covar_pop(px, py), var_pop(px) - var_pop(py)) AS th FROM e GROUP BY tile HAVING count(*) >= 2),
+    c AS (SELECT tile, avg(px) AS cx, avg(py) AS cy, avg(v) AS colour, CASE WHEN sqrt(power(2 * covar_pop(px, py), 2) + power(var_pop(px) - var_pop(py), 2)) > 1e-9 * (var_pop(px) + var_pop(py)) THEN 0.5 * atan2(2 * covar_pop(px, py), var_pop(px) - var_pop(py)) ELSE 0 END AS th0,
+      CASE WHEN abs(cos(th0)) < 1e-9 THEN abs(th0) ELSE th0 END AS th FROM e GROUP BY tile HAVING count(*) >= 2),
     l AS (SELECT tile, cx, cy, th, colour, min((px - cx) * cos(th) + (py - cy) * sin(th)) AS low, max((px - cx) * cos(th) + (py - cy) * sin(th)) AS high FROM e JOIN c USING (tile) GROUP BY ALL),
     line AS (SELECT tile, (SELECT count(*) FROM k WHERE k.tile = l.tile) AS ord, 'line' AS family, cx + low * cos(th) AS x0, cy + low * sin(th) AS y0, cx + high * cos(th) AS x1, cy + high * sin(th) AS y1, colour AS c0, colour AS c1 FROM l)
     SELECT tile, CAST(ord AS INTEGER) AS ord, family, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1, round(c0, 7) AS c0, round(c1, 7) AS c1 FROM (FROM ramp UNION ALL FROM line)""",
