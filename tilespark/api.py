@@ -69,11 +69,13 @@ def picture_experiment(spark: SparkSession, path: str, profiles: list[dict], wei
 
     weights = weights or {"bits_per_pixel": 1.0, "psnr": -0.1}
     tiles = session.written(images.tiles(spark, path, encoder.TILE), "tiles")
-    size = tiles.groupBy("image").agg(F.first(F.col("height") * F.col("width")).alias("pixels"))
+    size = tiles.groupBy("image").agg(F.first("height").alias("height"), F.first("width").alias("width"))
+    part = F.least(F.lit(encoder.SIDE), F.col("height") - F.col("y")) * F.least(F.lit(encoder.SIDE), F.col("width") - F.col("x"))
     facts = None
     for p in profiles:
-        d = encoder.encode(tiles, int(p["quality"]), p.get("basis", "auto")).groupBy("image").agg(F.sum("bits").alias("bits"), F.sum(F.col("mse") * F.lit(1.0)).alias("m"), F.count(F.lit(1)).alias("n"), F.max("error").alias("error")).join(size, "image")
-        mse = F.when(F.col("error").isNull(), F.col("m") / F.col("n"))
+        d = encoder.encode(tiles, int(p["quality"]), p.get("basis", "auto")).join(size, "image")
+        d = d.groupBy("image").agg(F.sum("bits").alias("bits"), F.sum(F.col("mse") * part).alias("m"), F.sum(part).alias("pixels"), F.max("error").alias("error"))
+        mse = F.when(F.col("error").isNull(), F.col("m") / F.col("pixels"))
         d = d.select(F.lit(p["name"]).alias("profile"), "image", F.when(F.col("error").isNull(), F.col("bits") / F.col("pixels")).alias("bits_per_pixel"), mse.alias("mse"), (-10 * F.log10(F.greatest(mse, F.lit(1e-10)))).alias("psnr"), "error")
         facts = d if facts is None else facts.unionByName(d)
     facts = session.written(facts.withColumn("objective", rd.objective({m: F.col(m) for m in weights}, weights)), "facts")
