@@ -6,7 +6,7 @@
    words by a hash of their last three bytes: each symbol in turn moves to the class that raises the likelihood of the class
    bigrams most, until a round moves nothing or ROUNDS are over. Ties go to the lower class; so runs agree.
 3. Exchange over all words, distributed: bundles send how often each word stands before and after words of each class; in its bucket,
-   every word seen LEAST times or more moves to the class that raises the likelihood most while all others stay. FULL rounds
+   every word seen LEAST times or more moves to the class that raises the likelihood most while all others stay (the FREQUENT keep the class that step 2 has found for them one by one). FULL rounds
    are made, the class bigrams are counted anew after each, and the assignment with the best likelihood on the training
    texts is kept, so rounds never worsen it. The clustered vocabulary grows with the corpus; only words seen less often, and
    unseen ones, have the class of their group.
