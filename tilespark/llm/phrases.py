@@ -236,12 +236,14 @@ def recurring(texts: list[bytes], size: np.ndarray, least: np.ndarray, most: np.
     place = np.arange(total) + of
     letters[place] = words.index
     line = alphabet(letters)
-    at, lead = elected_at(start[order], anchor[order], phrase), np.repeat(first, count)
+    some = np.repeat(shared, count)
+    at, lead = elected_at(start[order][some], anchor[order][some], phrase), np.cumsum(count[shared]) - count[shared]
     other = np.zeros(len(at), bool)  # another phrase than the first of its hash
+    leader = np.repeat(at[lead], count[shared])
     for j in range(PHRASE):
-        other |= words.index[at + j] != words.index[at[lead] + j]
-    other[first] = True
-    told = at[other & np.repeat(shared, count)]
+        other |= words.index[at + j] != words.index[leader + j]
+    other[lead] = True
+    told = at[other]
     hit = located(line, list(dict.fromkeys(line[p : p + PHRASE] for p in place[told].tolist())))[place]
     # a window's first located phrase and its place
     nearest = np.where(hit >= 0, np.arange(total), total + WINDOW)
