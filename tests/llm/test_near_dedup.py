@@ -192,6 +192,20 @@ def test_sketches_meet_where_texts_link(length, percent):
     assert met >= 0.9 * 200
 
 
+@pytest.mark.parametrize("size", [1, 7, 64, 1000])
+def test_buckets_are_counted_as_they_come(size):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    runs = rng.choice([1, 1, 1, 2, 5, 63, 64, 65, 300], 60)
+    value = np.repeat(np.sort(rng.choice(10**6, 60, replace=False)) - 500_000, runs)
+    row = rng.permutation(len(value))
+    parts = [pa.record_batch([pa.array(value[i : i + size]), pa.array(row[i : i + size])], names=["value", "row"]) for i in range(0, len(value), size)]
+    got = [x for b in near_dedup._counted(iter(parts)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    n = dict(zip(*np.unique(value, return_counts=True), strict=True))
+    assert got == [(v, r, min(64, n[v])) for v, r in zip(value.tolist(), row.tolist(), strict=True) if n[v] > 1]
+
+
 def test_sketches_of_short_texts_and_of_other_orders():
     w = np.arange(1, 400, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     assert [len(near_dedup.sketch(w[:n])) for n in (0, 4, 5, 6, 8, 9, 300)] == [0, 0, 1, 1, 6, 84, 84]

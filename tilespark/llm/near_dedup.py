@@ -187,12 +187,12 @@ def _aligned(x: Text, y: Text) -> bool:
     return low <= most and (high <= most or banded_distance(x.h, y.h, most) <= most)
 
 
-_TEXTS = "row long, doc_id long, bundle string, idx int, content binary, sketch array<long>"
+_TEXTS = "row long, doc_id long, bundle string, idx int, size int, content binary, sketch array<long>"
 
 
 def _texts(docs: DataFrame, folder: str) -> DataFrame:
     """A row for each document, as a table; texts go into bundles."""
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("bundle", pa.string()), ("idx", pa.int32()), ("content", pa.binary()), ("sketch", pa.list_(pa.int64()))])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("bundle", pa.string()), ("idx", pa.int32()), ("size", pa.int32()), ("content", pa.binary()), ("sketch", pa.list_(pa.int64()))])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -204,7 +204,7 @@ def _texts(docs: DataFrame, folder: str) -> DataFrame:
             words = Words(texts)
             h, cut, n = words.hashes(), np.append(0, np.cumsum(words.sizes)).tolist(), len(texts)
             yield batches.batch(schema, [
-                row + np.arange(n), table.column("doc_id").cast(pa.int64()).to_pylist(), [name] * n, list(range(n)),
+                row + np.arange(n), table.column("doc_id").cast(pa.int64()).to_pylist(), [name] * n, list(range(n)), np.diff(cut).astype(np.int32),
                 [xxh128_digest(b" ".join(t.split())) for t in texts], [sketch(h[a:b]).view(np.int64) for a, b in zip(cut[:-1], cut[1:], strict=True)],
             ])
             row += n
@@ -212,17 +212,48 @@ def _texts(docs: DataFrame, folder: str) -> DataFrame:
     return store.table(batches.mapped(docs, run, _TEXTS), "near-texts")
 
 
+#: Beyond that many texts a bucket's exact size makes no difference.
+CROWD = 64
+
+
+def _counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (value, row) with n, how many rows have the value (CROWD at most), without those that are alone. What is held is one run of fewer than CROWD rows."""
+    schema = pa.schema([("value", pa.int64()), ("row", pa.int64()), ("n", pa.int64())])
+    value, row = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    large = None  # a value that has shown CROWD rows already
+
+    def made(upto: int, n: np.ndarray) -> pa.RecordBatch:
+        some = np.flatnonzero(n[:upto] > 1)
+        return batches.batch(schema, [value[some], row[some], n[some]])
+
+    for b in it:
+        value, row = np.append(value, b.column("value").to_numpy()), np.append(row, b.column("row").to_numpy())
+        if not len(value):
+            continue
+        start, size = bundles.runs_of(value)
+        n = np.repeat(np.minimum(size, CROWD), size)
+        if value[0] == large:
+            n[: size[0]] = CROWD
+        ended = n[-1] == CROWD
+        upto = len(value) if ended else int(start[-1])
+        large = value[-1] if ended else None
+        yield made(upto, n)
+        value, row = value[upto:], row[upto:]
+    if len(value) > 1:
+        yield made(len(value), np.full(len(value), len(value)))
+
+
 def buckets(reps: DataFrame) -> DataFrame:
-    """A table of value, row, copies, n of the buckets of n > 1 rows, from (row, sketch, copies)."""
-    bands = reps.select("row", "copies", F.explode("sketch").alias("value"))
-    many = bands.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return store.table(bands.join(many, "value"), "near-bands")  # texts alone in all buckets are gone
+    """A table of value, row, n of the buckets of n > 1 rows, from (row, sketch): numbers are dealt out once and counted as they come; texts alone in all buckets are gone."""
+    dealt = reps.select("row", F.explode("sketch").alias("value")).select("value", "row").repartition("value").sortWithinPartitions("value")
+    return store.table(batches.mapped(dealt, _counted, "value long, row long, n long"), "near-bands")
 
 
-def hubs(bands: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of rows: members and hubs."""
+def hubs(bands: DataFrame, reps: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of rows: members and hubs. reps: row and copies."""
     # a text of many copies is likely what near copies were made from
-    spread = bands.groupBy("row").agg((F.sum(F.log2(F.least("n", F.lit(64)))) + 8 * F.log2(F.max("copies"))).alias("spread"))
+    spread = bands.groupBy("row").agg(F.sum(F.log2("n")).alias("spread")).join(reps.select("row", "copies"), "row")
+    spread = spread.select("row", (F.col("spread") + 8 * F.log2("copies")).alias("spread"))
     hub = bands.join(spread, "row").groupBy("value").agg(F.max(F.struct("spread", "row"))["row"].alias("hub"))
     starred = bands.select("value", "row").join(hub, "value")
     return starred.select(F.least("row", "hub").alias("a"), F.greatest("row", "hub").alias("b")).filter("a <> b").distinct()
@@ -331,7 +362,10 @@ def rest(crowd: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
 
 
 def links(pairs: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
-    """(u, v) of the candidates that are similar enough."""
+    """(u, v) of the candidates that are similar enough. Pairs whose lengths differ by more words than may be edited can't be, and send nothing."""
+    size = lambda end, name: texts.select(F.col("row").alias(end), F.col("size").alias(name))
+    allowed = F.floor(F.greatest("sa", "sb") * F.lit(1 - SIMILARITY) + 1e-9)
+    pairs = pairs.join(size("a", "sa"), "a").join(size("b", "sb"), "b").filter(F.abs(F.col("sa") - F.col("sb")) <= allowed).select("a", "b")
     pairs = store.table(pairs, "near-pairs")
     # the end with more pairs leads; its members are dealt into groups
     ends = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).groupBy("row").agg(F.count(F.lit(1)).alias("n"))
@@ -381,9 +415,9 @@ def _classes(docs: DataFrame, folder: str) -> DataFrame:
     place = F.struct(F.coalesce("doc_id", F.lit(np.iinfo(np.int64).max)).alias("id"), "row")  # null ids last
     copies = texts.groupBy("content").agg(F.min("row").alias("rep"), F.min(place).alias("least"), F.count(F.lit(1)).alias("copies"))
     copies = store.table(copies, "near-copies")
-    reps = texts.join(copies.select(F.col("rep").alias("row"), "copies"), "row").select("row", "copies", "sketch")
-    bands = buckets(reps)
-    found = components(links(hubs(bands), texts, folder))
+    reps = copies.select(F.col("rep").alias("row"), "copies")
+    bands = buckets(texts.join(reps, "row").select("row", "sketch"))
+    found = components(links(hubs(bands, reps), texts, folder))
     opened = still_open(bands, found)
     crowd = crowded(opened)
     pairs = small(opened)
