@@ -98,36 +98,13 @@ def dedup_first(df: DataFrame, key: Sequence[Column], order: Sequence[str]) -> D
     return d.groupBy(*names).agg(first.alias("__f")).select(*[F.col(f"__f.{c}").alias(c) for c in df.columns])
 
 
-def _own_skyline(points: DataFrame, lower: Sequence[str], higher: Sequence[str]) -> DataFrame:
-    """Of each partition's points those that none of its others dominates; what is held is that front."""
-    import numpy as np
-    import pyarrow as pa
-
-    names = [*lower, *higher]
-
-    def front(m: np.ndarray) -> np.ndarray:
-        keep = m[np.lexsort(m.T[::-1])]
-        at = 0
-        while at < len(keep):  # in this order nothing is dominated by what follows
-            worse = (keep >= keep[at]).all(axis=1) & (keep > keep[at]).any(axis=1)
-            keep = keep[~worse]
-            at += 1
-        return keep
-
-    def run(it):
-        held = np.zeros((0, len(names)))
-        for b in it:
-            m = np.stack([b.column(n).to_numpy(zero_copy_only=False).astype(float) for n in names], axis=1) * np.where(np.arange(len(names)) < len(lower), 1, -1)
-            held = front(np.concatenate([held, m]))
-        yield pa.RecordBatch.from_arrays([pa.array(held[:, i] * (1 if i < len(lower) else -1)) for i in range(len(names))], names=names)
-
-    return points.select(*[F.col(n).cast("double").alias(n) for n in names]).filter(reduce(Column.__and__, [F.col(n).isNotNull() & ~F.isnan(n) for n in names])).mapInArrow(run, ", ".join(f"`{n}` double" for n in names))
-
-
 def skyline(df: DataFrame, lower: Sequence[str], higher: Sequence[str]) -> DataFrame:
-    """Rows that no other row dominates: as good everywhere and better somewhere. Every partition sends only its own front, and rows meet the fronts of all partitions in a nested loop (measures as doubles; rows with a null or NaN measure
-    dominate nothing and stay)."""
-    b = _own_skyline(df, lower, higher).distinct().alias("b")
+    """Rows that no other row dominates: as good everywhere and better somewhere. Of all rows that agree in every measure but the last only the best of that one can decide, so rows meet one row for each
+    of these, found by a partial aggregate, in a nested loop: for tables of means (a row a profile). Rows with a null or NaN measure dominate nothing and stay."""
+    names = [*lower, *higher]
+    *rest, last = names
+    real = df.select(*names).filter(reduce(Column.__and__, [F.col(n).isNotNull() & ~F.isnan(F.col(n).cast("double")) for n in names]))
+    b = real.groupBy(*rest).agg((F.min if last in lower else F.max)(last).alias(last)).alias("b")
     a = df.alias("a")
     le = [F.col(f"b.{c}") <= F.col(f"a.{c}") for c in lower] + [F.col(f"b.{c}") >= F.col(f"a.{c}") for c in higher]
     lt = [F.col(f"b.{c}") < F.col(f"a.{c}") for c in lower] + [F.col(f"b.{c}") > F.col(f"a.{c}") for c in higher]
