@@ -413,10 +413,12 @@ def _classes(docs: DataFrame, folder: str) -> DataFrame:
     """The texts' table with class_id and kept."""
     texts = _texts(docs, folder)
     place = F.struct(F.coalesce("doc_id", F.lit(np.iinfo(np.int64).max)).alias("id"), "row")  # null ids last
-    copies = texts.groupBy("content").agg(F.min("row").alias("rep"), F.min(place).alias("least"), F.count(F.lit(1)).alias("copies"))
-    copies = store.table(copies, "near-copies")
-    reps = copies.select(F.col("rep").alias("row"), "copies")
-    bands = buckets(texts.join(reps, "row").select("row", "sketch"))
+    # the sketch goes along here, once for each text and task, so that nothing joins sketches with their representatives
+    first = F.min(F.struct("row", "sketch"))
+    copies = texts.groupBy("content").agg(first.alias("first"), F.min(place).alias("least"), F.count(F.lit(1)).alias("copies"))
+    copies = store.table(copies.select("content", F.col("first.row").alias("rep"), "least", "copies", F.col("first.sketch").alias("sketch")), "near-copies")
+    reps = copies.select(F.col("rep").alias("row"), "copies", "sketch")
+    bands = buckets(reps)
     found = components(links(hubs(bands, reps), texts, folder))
     opened = still_open(bands, found)
     crowd = crowded(opened)
