@@ -113,3 +113,18 @@ def test_greedy_never_worsens_and_finds_a_ramp():
 
 def test_png_has_a_header():
     assert images.png(np.zeros((3, 5, 3)))[16:24] == b"\0\0\0\5\0\0\0\3"
+
+
+def test_chunks_side_by_side_are_coded_as_one_by_one(monkeypatch):
+    data = [RNG.geometric(p, n).clip(0, 255).astype(np.uint8).tobytes() for p in (0.01, 0.3, 0.9) for n in RNG.integers(1, 900, 150)]
+    data += [b"", b"a", b"a" * 5000, bytes(range(256)) * 4, b"\0" * 70000 + b"\1"]
+    blobs = [entropy.encode(x) for x in data]
+    assert entropy.encode_all(data) == blobs and entropy.decode_all(blobs) == data
+    assert entropy.encode_all([]) == entropy.decode_all([]) == []
+    with pytest.raises(ValueError):
+        entropy.decode_all([*blobs, b"\x09\0\0\0\0"])
+    # hundreds of chunks cost as many steps as the longest has symbols, so none of them goes to the one-by-one coder
+    many = [x for x, b in zip(data, blobs, strict=True) if b[0] == entropy.CODED and len(x) < 1000][:200]
+    monkeypatch.setattr(entropy, "encode", None)
+    monkeypatch.setattr(entropy, "decode", None)
+    assert len(many) == 200 and entropy.decode_all(entropy.encode_all(many)) == many
