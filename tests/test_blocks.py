@@ -1,7 +1,9 @@
 """Block payloads: exact round trips, guards, versions."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructType
 
 from tilespark.operators import blocks as B
 from tilespark.sources.container import FormatError
@@ -65,3 +67,35 @@ def test_what_cannot_be_packed_is_an_error_column(spark):
     d = spark.createDataFrame([(1, [1, 2]), (2, [2, 1])], "k int, offsets array<int>")
     got = {r.k: r for r in B.packed(d, ["k"], ["offsets"], lambda r: B.pack("TOC", {"n": 2, "offsets": r["offsets"]})).collect()}
     assert got[1].error is None and got[2].payload is None and "descend" in got[2].error
+
+
+class Held:
+    """In place of a DataFrame: hands out the function that tasks run on batches."""
+
+    schema = StructType().add("k", IntegerType()).add("v", ArrayType(IntegerType())).add("payload", BinaryType())
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, ddl):
+        return run
+
+
+def test_large_batches_are_packed_and_read_in_parts():
+    n, each = 40, B.MOST // 5
+    v = [[*range(i, i + each)] for i in range(n)]
+    v[3], v[20] = [], [5, 4]
+    batch = pa.record_batch({"k": pa.array(range(n), pa.int32()), "v": pa.array(v, pa.list_(pa.int32()))})
+    made = list(B.packed(Held(), ["k"], ["v"], lambda r: B.pack("TOC", {"n": len(r["v"]), "offsets": r["v"]}))(iter([batch])))
+    assert max(b.num_rows for b in made) <= 7
+    whole = pa.Table.from_batches(made).combine_chunks().to_batches()[0]
+    assert whole.column("k").to_pylist() == [*range(n)] and [i for i, e in enumerate(whole.column("error").to_pylist()) if e] == [20]
+    got = list(B.values(Held(), ["k"], "offsets", lambda x: B.unpack("TOC", x))(iter([whole.select(["k", "payload"])])))
+    assert max(b.num_rows for b in got) <= B.MOST
+    rows = pa.Table.from_batches(got)
+    assert rows.column("value").to_pylist() == [x for i, a in enumerate(v) if i != 20 for x in a]
+    assert rows.column("k").to_pylist() == [i for i, a in enumerate(v) if i != 20 for _ in a]
+    tiles = B.pack("QTREE", {"n": 9000, "tiles": np.array([(8, 16, 32)] * 9000, B.TILE)})
+    batch = pa.record_batch({"k": pa.array(range(9), pa.int32()), "payload": pa.array([tiles] * 4 + [None] + [tiles] * 4, pa.binary())})
+    got = list(B.records(Held(), ["k"], ["size", "x"], lambda x: B.unpack("QTREE", x)["tiles"])(iter([batch])))
+    assert len(got) > 1 and pa.Table.from_batches(got).column("k").to_pylist() == [k for k in range(9) if k != 4 for _ in range(9000)]

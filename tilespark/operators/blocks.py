@@ -12,9 +12,11 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -139,16 +141,38 @@ def atoms_json(atoms: list[dict]) -> str:
     return json.dumps(atoms, separators=(",", ":"))
 
 
+#: Elements that a task packs at once, and bytes of payloads that it reads at once: a batch of Spark's has millions.
+MOST = 1 << 17
+
+
+def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about MOST elements and bytes of its lists and payloads, one row at least."""
+    size = np.ones(b.num_rows, np.int64)
+    for c in b.columns:
+        if pa.types.is_list(c.type) or pa.types.is_binary(c.type):
+            size += pc.fill_null((pc.list_value_length if pa.types.is_list(c.type) else pc.binary_length)(c), 0).to_numpy(zero_copy_only=False)
+    at = [0, *(np.flatnonzero(np.diff((np.cumsum(size) - size) // MOST)) + 1).tolist(), b.num_rows]
+    for i, j in pairwise(at):
+        yield b.slice(i, j - i)
+
+
+def _cells(c: pa.Array) -> list:
+    """A column's values, lists of numbers as arrays."""
+    if pa.types.is_list(c.type) and pa.types.is_primitive(c.type.value_type) and not c.flatten().null_count:
+        return [x.values.to_numpy(zero_copy_only=False) if x.is_valid else None for x in c]
+    return c.to_pylist()
+
+
 def packed(df: DataFrame, keys: list[str], columns: list[str], build: Callable[[dict], bytes]) -> DataFrame:
-    """keys, payload, error of each row: build makes the payload of a row's columns; what can't be packed is an error, not a failure."""
+    """keys, payload, error of each row: build makes the payload of a row's columns (lists of numbers come as arrays); what can't be packed is an error, not a failure."""
     ddl = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in (part for b in it for part in _slices(b)):
             made, told = [], []
-            for r in b.select(columns).to_pylist():
+            for r in zip(*(_cells(b.column(c)) for c in columns), strict=True):
                 try:
-                    made.append(build(r))
+                    made.append(build(dict(zip(columns, r, strict=True))))
                     told.append(None)
                 except FormatError as e:
                     made.append(None)
@@ -163,7 +187,7 @@ def values(payloads: DataFrame, keys: list[str], name: str, read: Callable[[byte
     ddl = ", ".join(f"`{k}` {payloads.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in (part for b in it for part in _slices(b)):
             got = [np.asarray(read(x)[name], float) if x else np.zeros(0) for x in b.column("payload").to_pylist()]
             size = np.array([len(x) for x in got], np.int64)
             of = pa.array(np.repeat(np.arange(len(got)), size))
@@ -178,7 +202,7 @@ def records(payloads: DataFrame, keys: list[str], names: list[str], read: Callab
     ddl = ", ".join([*(f"`{k}` {payloads.schema[k].dataType.simpleString()}" for k in keys), "i int", *(f"`{n}` long" for n in names)])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in (part for b in it for part in _slices(b)):
             got = [read(x) for x in b.column("payload").to_pylist() if x]
             has = np.flatnonzero(b.column("payload").is_valid().to_numpy(zero_copy_only=False))
             size = np.array([len(x) for x in got], np.int64)
