@@ -59,3 +59,9 @@ def test_expressions_stay_in_the_engine(spark, name):
 @pytest.mark.parametrize("name", ["dct8_quantize", "half_plane_model_fit", "bicubic_fit_eval", "edge_iou"])
 def test_kernels_need_no_shuffle(spark, name):
     assert "Exchange" not in plan(catalogue.queries()[name](spark, SF))
+
+
+@pytest.mark.parametrize("name", ["residual_restored", "residual_mixed_sizes"])
+def test_residual_tiles_go_to_python_as_vectors_not_samples(spark, name):
+    before = plan(catalogue.queries()[name](spark, SF)).split("MapInArrow", 1)[1]
+    assert "embedding" in before and "lambda" not in before

@@ -197,3 +197,14 @@ def test_a_directory_longer_than_the_first_read():
     d = container.Directory(fetch, len(blob))
     assert len(d.blocks) == 400 and len(reads) == 2
     assert d.payload(d.blocks[7]) == blocks["B007"] and reads[2] <= 64
+
+
+def test_residual_samples_made_in_the_task_give_the_same(spark):
+    rows = [(i, 8 << i % 3, i // 3 % 3, 0.5 + i % 4 / 2, RNG.normal(0, 0.3, 4).tolist()) for i in range(20)] + [(20, 8, 2, 1.0, None), (21, 8, 0, 1.0, [0.5, 0.25])]
+    made = lambda c, s: np.resize(L.ragged(c, 4, np.nan).T, (3 * s * s, len(c))).T.reshape(-1, s * s, 3)
+    d = spark.createDataFrame(rows, "tile int, size int, mode int, scale double, e array<double>")
+    got = {r.tile: r for r in R.coded(d, 0.01, 0.5, ["q", "mse"], ("e", made)).collect()}
+    wide = spark.createDataFrame([(*r[:4], np.resize(r[4], 3 * r[1] ** 2).tolist()) for r in rows[:20]], "tile int, size int, mode int, scale double, v array<double>")
+    for r in R.coded(wide, 0.01, 0.5).collect():
+        assert got[r.tile].q == r.q and abs(got[r.tile].mse - r.mse) < 1e-12
+    assert [(got[i].mse, len(got[i].q), {*got[i].q}) for i in (20, 21)] == [(None, 96, {None}), (None, 192, {None})]

@@ -37,7 +37,7 @@ class Layers:
         return len(self.kind)
 
 
-def _ragged(column: pa.Array, width: int, fill: float = 0.0) -> np.ndarray:
+def ragged(column: pa.Array, width: int, fill: float = 0.0) -> np.ndarray:
     """A list column as rows of width; what is missing (or null) is fill."""
     n = len(column)
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
@@ -56,11 +56,11 @@ def layers(column: pa.Array) -> Layers:
     field = lambda name: p.field(name)
     geom = field("geom")
     width = max([1, *geom.value_lengths().fill_null(0).to_pylist()])
-    c0 = _ragged(field("color0"), 3)
-    c1 = _ragged(field("color1"), 3, np.nan)
+    c0 = ragged(field("color0"), 3)
+    c1 = ragged(field("color1"), 3, np.nan)
     return Layers(
         np.repeat(np.arange(len(column)), sizes), np.arange(len(p)) - np.repeat(np.cumsum(sizes) - sizes, sizes), field("kind").to_numpy(zero_copy_only=False).astype(np.int64),
-        _ragged(geom, width), c0, np.where(np.isnan(c1), c0, c1), np.clip(field("alpha").to_numpy(zero_copy_only=False).astype(float), 0, 1),
+        ragged(geom, width), c0, np.where(np.isnan(c1), c0, c1), np.clip(field("alpha").to_numpy(zero_copy_only=False).astype(float), 0, 1),
     )
 
 

@@ -6,7 +6,7 @@ dealt by size, so each transform is one product of matrices. Coefficients of a t
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -99,11 +99,19 @@ def split_flat(flat: np.ndarray, sizes: Sequence[int], mode: int) -> list[np.nda
     return np.split(flat, np.cumsum(n)[:-1]) if n else []
 
 
-def coded(tiles: DataFrame, step: float, alpha: float = 0.0) -> DataFrame:
-    """(.., size, mode, scale, v) of colour tiles with q (their coefficients), back (what these give) and mse: every size and mode of a batch in one pass each. Rows with a null v, or with
-    one of another length than size asks for, keep nulls."""
-    keep = [c for c in tiles.columns if c != "v"]
-    ddl = ", ".join(f"`{c}` {tiles.schema[c].dataType.simpleString()}" for c in keep)
+_MADE = {"q": pa.list_(pa.int32()), "back": pa.list_(pa.float64()), "mse": pa.float64()}
+_DDL = {"q": "array<int>", "back": "array<double>", "mse": "double"}
+
+
+def coded(tiles: DataFrame, step: float, alpha: float = 0.0, out: Sequence[str] = ("q", "back", "mse"), samples: tuple[str, Callable[[pa.Array, int], np.ndarray]] | None = None) -> DataFrame:
+    """(.., size, mode, scale, v) of colour tiles with those of out: q (their coefficients), back (what these give) and mse; every size and mode of a batch in one pass each. Rows with a null v, or
+    with one of another length than size asks for, keep nulls; where samples are missing or not finite, all coefficients are null and so are the others.
+
+    Wide rows make large batches in Python. With samples (a column, and what makes n x size^2 x 3 samples of n of its values) that column takes the place of v, and samples only exist
+    for the rows at hand."""
+    source, make = samples or ("v", None)
+    keep = [c for c in tiles.columns if c != source]
+    ddl = ", ".join([*(f"`{c}` {tiles.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} {_DDL[c]}" for c in out)])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -112,22 +120,25 @@ def coded(tiles: DataFrame, step: float, alpha: float = 0.0) -> DataFrame:
                 n = part.num_rows
                 size, mode = (part.column(c).fill_null(0).to_numpy(zero_copy_only=False) for c in ("size", "mode"))
                 scale = part.column("scale").fill_null(1.0).to_numpy(zero_copy_only=False)
-                lengths = part.column("v").value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
-                q, back, mse = [None] * n, [None] * n, [None] * n
+                lengths = part.column(source).value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+                made: dict[str, list] = {"q": [None] * n, "back": [None] * n, "mse": [None] * n}
                 for s, m in sorted({*zip(size.tolist(), mode.tolist(), strict=True)}):
-                    rows = np.flatnonzero((size == s) & (mode == m) & (lengths == 3 * s * s) & (s > 0))
+                    rows = np.flatnonzero((size == s) & (mode == m) & (s > 0) & (make is not None or lengths == 3 * s * s))
                     if not len(rows):
                         continue
-                    v = part.column("v").take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), s * s, 3)
+                    v = part.column(source).take(pa.array(rows))
+                    v = make(v, s) if make else v.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), s * s, 3)
+                    whole = np.isfinite(v).all(axis=(1, 2))
+                    for row in rows[~whole].tolist():
+                        made["q"][row] = [None] * sum(x * x for x in channel_sizes(s, m))
+                    v, rows = v[whole], rows[whole]
                     c = encode(v, s, m, step, alpha, scale[rows])
-                    r = decode(c, s, m, step, alpha, scale[rows])
+                    r = decode(c, s, m, step, alpha, scale[rows]) if {"back", "mse"} & {*out} else v
                     for i, row in enumerate(rows.tolist()):
-                        q[row], back[row], mse[row] = c[i].astype(np.int32), r[i].reshape(-1), float(((r[i] - v[i]) ** 2).mean())
-                made = [pa.array(q, pa.list_(pa.int32())), pa.array(back, pa.list_(pa.float64())), pa.array(mse, pa.float64())]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *made], names=[*keep, "q", "back", "mse"])
+                        made["q"][row], made["back"][row], made["mse"][row] = c[i].astype(np.int32), r[i].reshape(-1), float(((r[i] - v[i]) ** 2).mean())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(made[c], _MADE[c]) for c in out)], names=[*keep, *out])
 
-    d = tiles.select(*keep, F.col("v").cast("array<double>").alias("v"))
-    return d.mapInArrow(run, f"{ddl}, q array<int>, back array<double>, mse double")
+    return tiles.select(*keep, F.col(source).cast("array<double>").alias(source)).mapInArrow(run, ddl)
 
 
 def extract(macros: DataFrame, leaves: DataFrame, keep: Sequence[str], side: int = 32) -> DataFrame:

@@ -33,7 +33,7 @@ def _grids(column: pa.Array, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bias(column: pa.Array, at: np.ndarray) -> np.ndarray:
-    return L._ragged(column.take(pa.array(at)), 3)
+    return L.ragged(column.take(pa.array(at)), 3)
 
 
 def draw(leaves: pa.Array, size: int, pixels: int, at: np.ndarray) -> np.ndarray:

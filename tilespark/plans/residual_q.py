@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tilespark.operators import residual as R
 from tilespark.operators import tiles as T
+from tilespark.operators.layers import ragged
 from tilespark.plans.catalogue import register
 from tilespark.session import table
 
@@ -49,16 +51,17 @@ def adaptive_extraction(spark, sf):
 
 
 def _colour_tiles(spark, sf):
-    """Tiles of 8, 16 and 32 in all three modes, with a scale each: sample (y, x, c) is component y * 5 + x * 3 + c * 11 + y * x, halved."""
+    """Tiles of 8, 16 and 32 in all three modes, with a scale each; ``_samples`` makes their samples of the vector."""
     k = F.col("vec_id")
-    d = table(spark, sf, "embeddings").select(k.alias("tile"), F.expr("shiftleft(8, cast(vec_id % 3 as int))").alias("size"), F.expr("cast(vec_id div 3 % 3 as int)").alias("mode"), (F.lit(0.5) + (k % 4) * 0.5).alias("scale"), "embedding")
-    s = F.col("size")
+    return table(spark, sf, "embeddings").select(k.alias("tile"), F.expr("shiftleft(8, cast(vec_id % 3 as int))").alias("size"), F.expr("cast(vec_id div 3 % 3 as int)").alias("mode"), (F.lit(0.5) + (k % 4) * 0.5).alias("scale"), "embedding")
 
-    def sample(i):
-        y, x, c = F.floor(i / (s * 3)), F.floor(i / 3) % s, i % 3
-        return F.get("embedding", ((y * 5 + x * 3 + c * 11 + y * x) % 64).cast("int")).cast("double") * 0.5
 
-    return d.withColumn("v", F.transform(F.sequence(F.lit(0), s * s * 3 - 1), sample)).drop("embedding")
+def _samples(embedding, size):
+    """Sample (y, x, c) is component y * 5 + x * 3 + c * 11 + y * x, halved; NaN where a vector lacks it."""
+    y, x, c = np.mgrid[:size, :size, :3]
+    longest = int(embedding.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).max(initial=0))
+    v = ragged(embedding, max(64, longest), np.nan)
+    return v[:, ((y * 5 + x * 3 + c * 11 + y * x) % 64).reshape(size * size, 3)] * 0.5
 
 
 _STEP, _ALPHA = 0.02, 0.5
@@ -77,7 +80,7 @@ q AS (SELECT tile, mode, c, side, i, j, CAST(greatest(-32767, least(32767, round
 @register("residual_mixed_sizes", f"""WITH {_BY_MODE} SELECT tile, mode, c AS ch, CAST(side AS INTEGER) AS side, count(*) AS n, CAST(sum(q) AS BIGINT) AS total, CAST(sum(abs(q)) AS BIGINT) AS size, CAST(sum(q * (i * 7 + j * 3 + 1)) AS BIGINT) AS weighted FROM q GROUP BY ALL""")
 def residual_mixed_sizes(spark, sf):
     """Quantised transforms of tiles of 8, 16 and 32 in three chroma modes with a scale each."""
-    d = R.coded(_colour_tiles(spark, sf), _STEP, _ALPHA).select("tile", "size", "mode", F.posexplode("q").alias("p", "q"))
+    d = R.coded(_colour_tiles(spark, sf), _STEP, _ALPHA, ["q"], ("embedding", _samples)).select("tile", "size", "mode", F.posexplode("q").alias("p", "q"))
     half = F.when(F.col("mode") == 2, F.expr("size div 2")).otherwise(F.col("size"))
     rest = F.col("p") - F.col("size") * F.col("size")
     ch = F.when(rest < 0, 0).otherwise(F.floor(rest / (half * half)) + 1).cast("int")
@@ -99,4 +102,4 @@ SELECT tile, CAST(any_value(size) AS INTEGER) AS size, any_value(mode) AS mode,
 @register("residual_restored", _ERROR)
 def residual_restored(spark, sf):
     """What the same tiles lose by it."""
-    return R.coded(_colour_tiles(spark, sf), _STEP, _ALPHA).select("tile", "size", "mode", F.round("mse", 8).alias("mse"))
+    return R.coded(_colour_tiles(spark, sf), _STEP, _ALPHA, ["mse"], ("embedding", _samples)).select("tile", "size", "mode", F.round("mse", 8).alias("mse"))
