@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -128,3 +129,27 @@ def test_chunks_side_by_side_are_coded_as_one_by_one(monkeypatch):
     monkeypatch.setattr(entropy, "encode", None)
     monkeypatch.setattr(entropy, "decode", None)
     assert len(many) == 200 and entropy.decode_all(entropy.encode_all(many)) == many
+
+
+def test_patches_are_rendered_in_batches(spark, monkeypatch):
+    from tilespark.plans import transforms_q as Q
+
+    class Held:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, ddl):
+            self.run = run
+            return self
+
+    held, k = Held(), np.arange(2500)
+    monkeypatch.setattr(Q, "table", lambda *_: held)
+    Q.primitive_render(spark, "")
+    g, v, a = np.stack([k % 16, k * 3 % 16, k * 5 % 16 + 1, k * 7 % 16 + 2], axis=1).astype(float), k % 9 / 9.0, k % 5 / 5.0
+    same = {"color1": [1.0] * 3, "geom": []}
+    drawn = [P.render([{**same, "kind": P.CONST, "color0": [c] * 3, "alpha": 1.0}, {**same, "kind": P.LINEAR, "geom": p, "color0": [c] * 3, "alpha": b}], 8)[:, :, 0] for p, c, b in zip(g.tolist(), v, a, strict=True)]
+    monkeypatch.setattr(P, "render", None)
+    batch = pa.record_batch({"k": k, "v": v, **dict(zip(("x0", "y0", "x1", "y1"), g.T.copy(), strict=True)), "a": a})
+    got = pa.Table.from_batches(held.run(iter([batch.slice(0, 0), batch])))
+    assert got.column("k").to_pylist() == k.tolist()
+    assert np.abs(got.column("m").to_numpy() - [t.mean() for t in drawn]).max() < 1e-12 and np.abs(got.column("t").to_numpy() - [t.max() for t in drawn]).max() < 1e-12

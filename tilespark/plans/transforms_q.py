@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tilespark.functions import color
 from tilespark.operators import entropy as En
+from tilespark.operators import layers as L
 from tilespark.operators import primitives as P
 from tilespark.plans.catalogue import register
 from tilespark.session import table
@@ -158,15 +159,14 @@ def primitive_render(spark, sf):
         {"x0": k % 16, "y0": k * 3 % 16, "x1": k * 5 % 16 + 1, "y1": k * 7 % 16 + 2}.items()], (k % 5 / 5.0).alias("a"))
 
     def run(it):
-        for b in it:
-            out = []
-            for r in b.to_pylist():
-                base = {"kind": P.CONST, "geom": [], "color0": [r["v"]] * 3, "color1": None, "alpha": 1.0}
-                patch = {"kind": P.LINEAR, "geom": [r["x0"], r["y0"], r["x1"], r["y1"]], "color0": [r["v"]] * 3, "color1": [1.0] * 3, "alpha": r["a"]}
-                t = P.render([base, patch], 8)[:, :, 0]
-                out.append((r["k"], float(t.mean()), float(t.max())))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*out, strict=True)], names=["k", "m", "t"])
+        for b in (b.slice(at, 1024) for b in it for at in range(0, b.num_rows, 1024)):
+            n = b.num_rows
+            v, *geom, a = (b.column(c).to_numpy(zero_copy_only=False)[:, None] for c in ("v", "x0", "y0", "x1", "y1", "a"))
+            grey, tile, one = np.repeat(v, 3, axis=1), np.arange(n), np.ones(n)
+            base = L.Layers(tile, np.zeros(n, np.int64), np.full(n, P.CONST), np.zeros((n, 4)), grey, grey, one)
+            patch = L.Layers(tile, np.ones(n, np.int64), np.full(n, P.LINEAR), np.hstack(geom), grey, np.ones((n, 3)), np.clip(a[:, 0], 0, 1))
+            t = L.compose(patch, n, 8, 8, base=L.compose(base, n, 8, 8))[:, :, 0]
+            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(t.mean(axis=1)), pa.array(t.max(axis=1))], names=["k", "m", "t"])
 
     return d.mapInArrow(run, "k long, m double, t double").select("k", F.round("m", 6).alias("mean_value"), F.round("t", 6).alias("top"))
 
